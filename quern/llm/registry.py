@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import simhash
+from quern.llm import quality, simhash
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
     "op6_simhash": simhash.query,
 }
 
