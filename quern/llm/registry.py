@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import quality, simhash
+from quern.llm import licenses, quality, simhash
 
 QUERIES = {
+    "op2_license_scan": licenses.query,
     "op1_quality_rules": quality.query,
     "op6_simhash": simhash.query,
 }
