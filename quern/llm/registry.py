@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import licenses, quality, simhash
+from quern.llm import bpe, licenses, quality, simhash
 
 QUERIES = {
     "op2_license_scan": licenses.query,
     "op1_quality_rules": quality.query,
     "op6_simhash": simhash.query,
+    "op7_bpe": bpe.query,
 }
 
 SQL: dict[str, str] = {}
