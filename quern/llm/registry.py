@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, licenses, quality, simhash
+from quern.llm import bpe, licenses, quality, simhash, spans
 
 QUERIES = {
     "op2_license_scan": licenses.query,
     "op1_quality_rules": quality.query,
+    "op3_sentence_spans": spans.query,
     "op6_simhash": simhash.query,
     "op7_bpe": bpe.query,
 }
