@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, itq, licenses, quality, simhash, spans
+from quern.llm import bpe, chat, itq, licenses, quality, simhash, spans
 
 QUERIES = {
     "op2_license_scan": licenses.query,
     "op1_quality_rules": quality.query,
     "op3_sentence_spans": spans.query,
     "op4_itq": itq.query,
+    "op5_chat_format": chat.query,
     "op6_simhash": simhash.query,
     "op7_bpe": bpe.query,
 }
