@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat, itq, licenses, mixing, quality, simhash, spans
+from quern.llm import bpe, chat, html, itq, licenses, mixing, quality, simhash, spans
 
 QUERIES = {
     "op2_license_scan": licenses.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_bpe": bpe.query,
     "op9_mixing": mixing.query,
+    "op10_html_extract": html.query,
 }
 
 SQL: dict[str, str] = {}
