@@ -19,8 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
@@ -69,27 +68,31 @@ def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     import xxhash
 
     boundary = _cutter()
-    names = ["h1", "h2", "doc_id", "row_key", "a", "b"]
+    names = ["h1", "h2", "place", "row_key", "run", "again"]
     held: list[tuple] = []
     rows = 0
 
     def flush() -> pa.RecordBatch:
-        halves, places, ids, keys, counts = zip(*held, strict=True)
-        h, p = np.concatenate(halves), np.concatenate(places)
+        digests, runs_, again, places, keys, counts = zip(*held, strict=True)
+        h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         n = np.array(counts)
-        doc_ids = pc.take(pa.array(ids, pa.int64()), pa.array(np.repeat(np.arange(len(n)), n)))
-        return pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), doc_ids, pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=names)
+        each = lambda x: pa.array(np.repeat(np.array(x, np.int64), n))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h[:, 0].copy()), pa.array(h[:, 1].astype(np.int32)), each(places), each(keys), pa.array(np.concatenate(runs_)), pa.array(np.concatenate(again))], names=names
+        )
 
     for batch in batches:
-        for key, doc_id, text in zip(batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for key, place, text in zip(batch.column("row_key").to_pylist(), batch.column("place").to_pylist(), batch.column("text"), strict=True):
             sentences, _ = cut(text.as_py() or "", boundary)
             words = [s.lower().split() for s in sentences]
             joined = [" ".join(w) for w in words]
             found = runs(np.array([len(w) for w in words]), least)
             if not found:
                 continue
-            digests = b"".join([xxhash.xxh3_128_digest(" ".join(filter(None, joined[a:b]))) for a, b in found])
-            held.append((np.frombuffer(digests, np.int64).reshape(-1, 2), np.array(found, np.int32), doc_id, key, len(found)))
+            digests = [xxhash.xxh3_128_digest(" ".join(filter(None, joined[a:b]))) for a, b in found]
+            seen: set[bytes] = set()
+            again = [d in seen or seen.add(d) is not None for d in digests]
+            held.append((b"".join(digests), np.array([a << 32 | b for a, b in found]), np.array(again), place, key, len(found)))
             rows += len(found)
             if rows > 50_000:
                 yield flush()
@@ -98,21 +101,29 @@ def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield flush()
 
 
+def _place(ident: Column, key: Column) -> Column:
+    """A document's place in the order of ids; rows with a null id come last, by content."""
+    return F.coalesce(ident, F.lit(2**63 - 1) - F.shiftrightunsigned(key, 2))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(h1, h2, doc_id, row_key, a, b)``: a row for each run, sentences a up to b."""
+    """``(h1, h2, place, row_key, run, again)``: a row for each run.
+
+    run: first sentence << 32 | end; again: whether the text has had the run before.
+    """
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    rows = docs.select(ident.alias("doc_id"), C.row_key(ident, text).alias("row_key"), text.alias("text")).where("text is not null")
-    return rows.mapInArrow(lambda it: _spans(it, min_words), "h1 long, h2 long, doc_id long, row_key long, a int, b int")
+    key = C.row_key(ident, text)
+    rows = docs.select(_place(ident, key).alias("place"), key.alias("row_key"), text.alias("text")).where("text is not null")
+    return rows.mapInArrow(lambda it: _spans(it, min_words), "h1 long, h2 int, place long, row_key long, run long, again boolean")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """``(doc_id, row_key, gone array<int>)``: sentences that a non-first place of a run covers."""
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "a")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    first = first.select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).where(place > F.col("first"))
-    one = later.select("doc_id", "row_key", F.explode(F.sequence("a", F.col("b") - 1)).alias("s"))
-    return one.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("s")).alias("gone"))
+    """``(place, row_key, gone array<int>)``: sentences that a non-first place of a run covers."""
+    first = found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = found.join(first, ["h1", "h2"]).where("place > first or again")
+    a, b = F.shiftright("run", 32).cast("int"), F.col("run").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    one = later.select("place", "row_key", F.explode(F.sequence(a, b - 1)).alias("s"))
+    return one.groupBy("place", "row_key").agg(F.array_sort(F.collect_set("s")).alias("gone"))
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +148,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """The rows of docs with their text less its repeated spans, and ``__total``, ``__removed`` sentences.
 
     Every row stays, also where nothing of its text is left (empty) and where
-    the text is null. Wholly equal rows count as one and are treated alike.
+    the text is null. Rows that share an id count as one document and keep each
+    other's runs. Rows with a null id are documents of their own, after the rest.
     Sentences are compared in lower case with single spaces.
     """
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    gone = repeated(spans(docs, id_col, text_col, min_words)).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("__row", C.row_key(ident, text))
-    joined = keyed.join(gone, (keyed["__row"] == gone["__key"]) & ident.eqNullSafe(F.col("__id")), "left")
+    key = C.row_key(ident, text)
+    gone = repeated(spans(docs, id_col, text_col, min_words)).select(F.col("place").alias("__place"), F.col("row_key").alias("__key"), F.col("gone").alias("__gone"))
+    keyed = docs.withColumn("__row", key).withColumn("__at", _place(ident, key))
+    joined = keyed.join(gone, (keyed["__row"] == gone["__key"]) & (keyed["__at"] == gone["__place"]), "left")
     others = [c for c in docs.columns if c != text_col]
     rows = joined.select(*[F.col(c) for c in others], text.alias("__text"), "__gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", __text string, __total int, __removed int"
