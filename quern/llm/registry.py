@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat, html, itq, licenses, mixing, quality, simhash, spans
+from quern.llm import bpe, chat, html, itq, licenses, mixing, ngram, quality, simhash, spans
 
 QUERIES = {
     "op2_license_scan": licenses.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_format": chat.query,
     "op6_simhash": simhash.query,
     "op7_bpe": bpe.query,
+    "op8_ngram_lm": ngram.query,
     "op9_mixing": mixing.query,
     "op10_html_extract": html.query,
 }
