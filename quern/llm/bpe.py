@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from quern.llm import common as C
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-BLOCK_CHARS = 14 << 20
+BLOCK_CHARS = 8 << 20
+BATCH_TOKENS = 1 << 19
 _ROW = "kind int, block long, bucket int, at long, doc_id long, payload binary, mark long"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("payload", pa.binary()), ("mark", pa.int64())])
 
@@ -220,10 +221,17 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a block its words' ids come first, then its texts."""
     block, parts, table = None, [], None
+    out: list[np.ndarray] = []
+    docs: list[int | None] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        offsets = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))], names=["doc_id", "ids"])
+
     for b in batches:
-        ids_out: list[np.ndarray] = []
-        docs: list[int | None] = []
-        for r in b.to_pylist():
+        for i in range(b.num_rows):
+            r = {n: b.column(n)[i].as_py() for n in ("kind", "block", "doc_id", "payload", "mark")}
             if r["block"] != block:
                 block, parts, table = r["block"], [], None
             if r["kind"] == 0:
@@ -236,12 +244,14 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = from_varint(r["payload"])
             n = size[places]
             into = np.repeat(start[places] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            ids_out.append(ids[into])
+            out.append(ids[into])
             docs.append(r["doc_id"])
-        if docs:
-            flat = np.concatenate(ids_out).astype(np.int32)
-            offsets = np.r_[0, np.cumsum([len(x) for x in ids_out])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+            held += len(into)
+            if held >= BATCH_TOKENS:
+                yield flush()
+                out, docs, held = [], [], 0
+    if docs:
+        yield flush()
 
 
 def _table(parts: list, mark: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,17 +260,17 @@ def _table(parts: list, mark: int, block: int) -> tuple[np.ndarray, np.ndarray,
         raise RuntimeError(f"block {block}: its words and its texts come from different readings of the input")
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none.astype(np.int32)
     rank = np.concatenate([np.frombuffer(p[0], np.int32) for _, p in parts])
     sizes = np.concatenate([np.frombuffer(p[1], np.int32) for _, p in parts]).astype(np.int64)
-    ids = np.concatenate([from_varint(p[2]) for _, p in parts])
+    ids = np.concatenate([from_varint(p[2]).astype(np.int32) for _, p in parts])
     start, size = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
     start[rank], size[rank] = np.cumsum(sizes) - sizes, sizes
     return start, size, ids
 
 
-def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(doc_id, ids array<int>)`` for every row of docs; null text counts as empty (no ids)."""
+def _coded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+    """Blocks one after the other: first the ids of a block's words, then its texts."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -269,8 +279,17 @@ def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "d
 
     ids = blocks(0).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _encode(it, tokenizer), _ROW)
     # The texts come first in the union: blocks are numbered by partition, which a union counts through.
-    together = blocks(1).unionByName(ids).repartition("block").sortWithinPartitions("block", "kind", "at")
-    return together.mapInArrow(_join, "doc_id long, ids array<int>")
+    return blocks(1).unionByName(ids).repartition("block").sortWithinPartitions("block", "kind", "at")
+
+
+def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``(doc_id, ids array<int>)`` for every row of docs; null text counts as empty (no ids)."""
+    return _coded(docs, tokenizer, id_col, text_col, block_chars).mapInArrow(_join, "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``decode(encode(docs))`` with both steps in one worker."""
+    return _coded(docs, tokenizer, id_col, text_col, block_chars).mapInArrow(lambda it: _decode(_join(it), tokenizer), "doc_id long, ids array<int>, text string")
 
 
 @functools.cache
@@ -309,17 +328,16 @@ def decode(coded: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     return rows.mapInArrow(lambda it: _decode(it, tokenizer), "doc_id long, ids array<int>, text string")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7: ids and decoded text of every document, as digests."""
-    return _digests(C.table(spark, sf_dir, "documents"))
+def digests(got: DataFrame) -> DataFrame:
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"), "ids")
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    got = decode(encode(docs))
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7: ids and decoded text of every document, as digests."""
+    return digests(round_trip(C.table(spark, sf_dir, "documents"))).drop("ids")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: ``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``."""
-    got = decode(encode(docs))
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"), "ids")
+    return digests(round_trip(docs))
