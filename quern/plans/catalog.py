@@ -236,9 +236,9 @@ def kappa_strict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same number of labelled documents of either quality from every language."""
-    joined = P.read(spark, sf_dir, "labels").join(P.read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    rows = joined.select(F.col("lang").alias("workload"), F.col("doc_id").cast("string").alias("source_pair_id"), F.col("quality").alias("label"))
+    """The same number of labelled documents of either quality from even and odd ids."""
+    joined = P.read(spark, sf_dir, "labels").join(P.read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    rows = joined.select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("workload"), F.col("doc_id").cast("string").alias("source_pair_id"), F.col("quality").alias("label"))
     return sampling.stratified(rows, n=6, seed=42).select("workload", "pair_id", "source_pair_id", "label", F.col("position").cast("long").alias("position"))
 
 

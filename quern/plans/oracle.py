@@ -179,7 +179,7 @@ SELECT lang, tp, fp, fn, tn, round(k, 6) AS kappa FROM ({_kappa("c", "*")})""",
     "kappa_strict_gate": f"""WITH {_PAIRS}, filled AS (SELECT workload, pair_id, original_label, coalesce(author_label, CASE WHEN workload = 'faq' THEN NULL ELSE original_label END) AS author_label FROM pairs),
 c AS (SELECT s.scope, {_contingency("p.original_label", "p.author_label")} FROM (VALUES ('overall'), ('faq'), ('code'), ('chat')) s(scope) JOIN filled p ON s.scope IN ('overall', p.workload) GROUP BY s.scope)
 SELECT scope, n_excluded, round(k, 6) AS kappa, n_excluded = 0 AND coalesce(k < 0.9, true) AS failed FROM ({_kappa("c", "*")})""",
-    "stratified_sample": """WITH c AS (SELECT lang AS workload, CAST(doc_id AS VARCHAR) AS source_pair_id, quality AS label, md5('42:' || doc_id) AS h FROM labels JOIN documents USING (doc_id)),
+    "stratified_sample": """WITH c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS workload, CAST(doc_id AS VARCHAR) AS source_pair_id, quality AS label, md5('42:' || doc_id) AS h FROM labels JOIN documents USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY workload, label = 1 ORDER BY h, source_pair_id) AS rank FROM c),
 p AS (SELECT workload, source_pair_id, label, row_number() OVER (PARTITION BY workload ORDER BY md5('order:' || h), source_pair_id) - 1 AS position FROM r WHERE rank <= 3)
 SELECT workload, printf('%s-%04d', workload, position) AS pair_id, source_pair_id, label, position FROM p""",
