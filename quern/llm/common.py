@@ -76,6 +76,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(key: Column) -> Column:
+    """A long key for an equi-join in which a hot key must be split.
+
+    Below an aggregation by the same key Spark keeps the rows where they are,
+    and then cannot split a partition. This key deals both sides anew: one more
+    exchange, of the aggregated side.
+    """
+    return key.bitwiseXOR(F.lit(0x2545F4914F6CDD1D))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; root is its component's least node.
 
@@ -89,9 +99,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = least.select(apart(F.col("a")).alias("k"), "m")
+        large = both.withColumn("k", apart(F.col("a"))).join(least, "k").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = large.withColumn("k", apart(F.col("a"))).join(low.select(apart(F.col("a")).alias("k"), "m"), "k")
         now = durable(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         )
@@ -115,7 +126,8 @@ def blocked(keyed: DataFrame, item: Column, block: int) -> DataFrame:
     """
     shared = keyed.groupBy("k").agg(F.count("*").alias("n_k")).where("n_k > 1")
     parts = F.ceil(F.col("n_k") / block).cast("int")
-    dealt = keyed.join(shared, "k").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int")).drop("n_k")
+    shared = shared.select(apart(F.col("k")).alias("k_apart"), "n_k")
+    dealt = keyed.withColumn("k_apart", apart(F.col("k"))).join(shared, "k_apart").drop("k_apart").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int")).drop("n_k")
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     return (
         dealt.withColumn("other", other)

@@ -167,7 +167,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     rooted = C.components(ranked.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
     full = classes.join(counted, "cid", "left").join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = full.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    done = full.join(named, "root").select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    named = named.select(C.apart(F.col("root")).alias("k"), "component_id")
+    done = full.withColumn("k", C.apart(F.col("root"))).join(named, "k").select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     joined = rows.where("v is not null").join(done, F.col("v") == F.col("w")).select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -123,7 +123,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = C.components(links(classes.select("fp")))
     rooted = classes.join(joined, classes.fp == joined.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = C.durable(rooted.join(names, "root").select(F.col("fp").alias("fp_"), "root", "component_id"))
+    names = names.select(C.apart(F.col("root")).alias("k"), "component_id")
+    named = C.durable(rooted.withColumn("k", C.apart(F.col("root"))).join(names, "k").select(F.col("fp").alias("fp_"), "root", "component_id"))
     return rows.join(named, rows.fp == named.fp_).drop("fp_")
 
 
