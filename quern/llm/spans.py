@@ -120,7 +120,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 def repeated(found: DataFrame) -> DataFrame:
     """``(place, row_key, gone array<int>)``: sentences that a non-first place of a run covers."""
     first = found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).where("place > first or again")
+    first = first.select(C.apart(F.col("h1")).alias("k"), "h2", "first")
+    later = found.withColumn("k", C.apart(F.col("h1"))).join(first, ["k", "h2"]).where("place > first or again")
     a, b = F.shiftright("run", 32).cast("int"), F.col("run").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     one = later.select("place", "row_key", F.explode(F.sequence(a, b - 1)).alias("s"))
     return one.groupBy("place", "row_key").agg(F.array_sort(F.collect_set("s")).alias("gone"))
