@@ -228,6 +228,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the scan of docs, without a join.
     """
     rules = learn_from(C.durable(stats(docs)), C.table(spark, sf_dir, "labels"))
-    judged = docs.withColumn("__counts", counts(F.col("text")))
-    c = F.col("__counts")
-    return judged.where(~base_failed(c) & (rejected(rules, features(c)) == 0)).select(*docs.columns)
+    # One expression, so that the counts of a text are made once however often the verdict refers to them.
+    good = C.let(counts(F.col("text")), lambda c: ~base_failed(c) & (rejected(rules, features(c)) == 0))
+    return docs.where(good)
