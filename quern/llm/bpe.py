@@ -69,6 +69,24 @@ def _latin(end: int = 0x250):
     return re.compile(pattern).findall, re.compile(f"[^\\x00-{chr(end - 1)}]").search
 
 
+@functools.cache
+def _unassigned():
+    """What finds code points that had no meaning yet in this Python's Unicode version."""
+    import re
+    import sys
+    import unicodedata
+
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        open_ = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if open_ and start is None:
+            start = c
+        elif not open_ and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(out)}]").search
+
+
 @functools.cache
 def _splitter(path: str):
     """(function from a text to its words, special strings with their ids)."""
@@ -78,10 +96,14 @@ def _splitter(path: str):
     if (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"] or spec["pre_tokenizer"].get("add_prefix_space"):
         raise ValueError(f"{path} is not a plain byte-level tokenizer")
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    every, (few, other) = regex.compile(PATTERN).findall, _latin()
+    every, (few, other), new = regex.compile(PATTERN).findall, _latin(), _unassigned()
+    own = _tokenizer(path).pre_tokenizer.pre_tokenize_str
 
     def find(text: str) -> list[str]:
-        return every(text) if other(text) else few(text)
+        if not other(text):
+            return few(text)
+        # Of code points that are newer than one of the Unicode tables only the library knows what it takes them for.
+        return [text[s:e] for _, (s, e) in own(text)] if new(text) else every(text)
 
     if not special:
         return find, special
