@@ -1,16 +1,17 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences. From every sentence on, and up to every
-sentence, the shortest run of consecutive sentences with at least
-``MIN_WORDS`` words is hashed: a window that slides by sentences and holds
-enough words that it does not repeat by chance. All runs of all texts are
-joined on their hash; of a run that occurs again, the first place (least
+A text is cut into sentences, long ones at their commas. From every sentence
+on, and up to every sentence, the shortest run of consecutive sentences with
+at least ``MIN_WORDS`` words is hashed: a window that slides by sentences and
+holds enough words that it does not repeat by chance. All runs of all texts
+are joined on their hash; of a run that occurs again, the first place (least
 document, then least sentence) stays, and sentences that any later place
 covers are removed.
 
-Only hashes and places are shuffled for the join. The first place of a hash is
-a map-side combined minimum, so a passage that a third of the corpus holds
-costs one row a task, and the join back on it can be split.
+The join is one exchange of hashes and places. Before it every block of texts
+settles its own repeats: only a block's first place of a run goes to the
+run's group, its later ones are known to go and are dealt out by content. So a
+passage that a third of the corpus holds makes a group of one row a block.
 """
 
 from __future__ import annotations
@@ -19,36 +20,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
 
-MIN_WORDS = 25
+MIN_WORDS = 26
+LONG_SENTENCE = 12
+BLOCK_RUNS = 1 << 19
 
 #: A sentence ends after a line break, after an end mark before white space,
 #: and before a capitalised word: a passage put into the middle of another
 #: text starts with one.
 BOUNDARY = r"(?<=[.!?…。！？])\s+|\s*\n\s*|\s+(?=\p{Lu}\p{Ll})"
+CLAUSE = r"(?<=[,;:、，；：])\s+"
 
 
 def _cutter():
+    """(what ends a sentence, what ends a clause)."""
     import regex
 
-    return regex.compile(BOUNDARY)
+    return regex.compile(BOUNDARY), regex.compile(CLAUSE)
 
 
-def cut(text: str, boundary) -> tuple[list[str], list[str]]:
-    """(sentences, what stands after each); joined in turn they are the text again."""
-    sentences, gaps, at = [], [], 0
+def _pieces(text: str, boundary) -> Iterator[tuple[str, str]]:
+    at = 0
     for m in boundary.finditer(text):
-        if m.end() == m.start():
-            continue
-        sentences.append(text[at : m.start()])
-        gaps.append(m[0])
-        at = m.end()
-    sentences.append(text[at:])
-    gaps.append("")
+        if m.end() > m.start():
+            yield text[at : m.start()], m[0]
+            at = m.end()
+    yield text[at:], ""
+
+
+def cut(text: str, cutter) -> tuple[list[str], list[str]]:
+    """(sentences, what stands after each); joined in turn they are the text again.
+
+    A sentence of more than ``LONG_SENTENCE`` words counts as its clauses.
+    """
+    sentences, gaps = [], []
+    for sentence, gap in _pieces(text, cutter[0]):
+        if len(sentence) > 2 * LONG_SENTENCE and len(sentence.split()) > LONG_SENTENCE:
+            for clause, inner in _pieces(sentence, cutter[1]):
+                sentences.append(clause)
+                gaps.append(inner)
+            gaps[-1] = gap
+        else:
+            sentences.append(sentence)
+            gaps.append(gap)
     return sentences, gaps
 
 
@@ -64,40 +82,50 @@ def runs(sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
     return sorted(forward | back)
 
 
-def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _settle(digests: list[bytes], run: np.ndarray, place: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """A block's runs, those that repeat an earlier place of the block marked as ``again``."""
+    h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    order = np.lexsort((run, key, place, h[:, 1], h[:, 0]))
+    h, run, place, key = h[order], run[order], place[order], key[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (h[1:] != h[:-1]).any(axis=1)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
+    again = place > place[first]
+    again[1:] |= ~new[1:] & (place[1:] == place[:-1]) & (key[1:] == key[:-1])
+    # Those need no comparison any more, so they are not dealt by their hash, which may be a very common one.
+    h1 = np.where(again, key ^ (run * np.int64(0x5851F42D4C957F2D)), h[:, 0])
+    columns = [h1, h[:, 1].astype(np.int32), place, key, run, again]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "place", "row_key", "run", "again"])
+
+
+def _spans(batches: Iterator[pa.RecordBatch], least: int, block: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    boundary = _cutter()
-    names = ["h1", "h2", "place", "row_key", "run", "again"]
-    held: list[tuple] = []
-    rows = 0
+    cutter = _cutter()
+    digests: list[bytes] = []
+    found: list[np.ndarray] = []
+    rows: list[tuple[int, int, int]] = []
 
     def flush() -> pa.RecordBatch:
-        digests, runs_, again, places, keys, counts = zip(*held, strict=True)
-        h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        n = np.array(counts)
-        each = lambda x: pa.array(np.repeat(np.array(x, np.int64), n))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h[:, 0].copy()), pa.array(h[:, 1].astype(np.int32)), each(places), each(keys), pa.array(np.concatenate(runs_)), pa.array(np.concatenate(again))], names=names
-        )
+        places, keys, counts = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        return _settle(digests, np.concatenate(found), np.repeat(places, counts), np.repeat(keys, counts))
 
     for batch in batches:
         for key, place, text in zip(batch.column("row_key").to_pylist(), batch.column("place").to_pylist(), batch.column("text"), strict=True):
-            sentences, _ = cut(text.as_py() or "", boundary)
-            words = [s.lower().split() for s in sentences]
-            joined = [" ".join(w) for w in words]
-            found = runs(np.array([len(w) for w in words]), least)
-            if not found:
+            words = [x.lower().split() for x in cut(text.as_py() or "", cutter)[0]]
+            own = runs(np.array([len(w) for w in words]), least)
+            if not own:
                 continue
-            digests = [xxhash.xxh3_128_digest(" ".join(filter(None, joined[a:b]))) for a, b in found]
-            seen: set[bytes] = set()
-            again = [d in seen or seen.add(d) is not None for d in digests]
-            held.append((b"".join(digests), np.array([a << 32 | b for a, b in found]), np.array(again), place, key, len(found)))
-            rows += len(found)
-            if rows > 50_000:
+            joined = [" ".join(w) for w in words]
+            digests += [xxhash.xxh3_128_digest(" ".join(filter(None, joined[a:b]))) for a, b in own]
+            found.append(np.array([a << 32 | b for a, b in own]))
+            rows.append((place, key, len(own)))
+            if len(digests) >= block:
                 yield flush()
-                held, rows = [], 0
-    if held:
+                digests.clear()
+                found.clear()
+                rows.clear()
+    if rows:
         yield flush()
 
 
@@ -106,34 +134,34 @@ def _place(ident: Column, key: Column) -> Column:
     return F.coalesce(ident, F.lit(2**63 - 1) - F.shiftrightunsigned(key, 2))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, block: int = BLOCK_RUNS) -> DataFrame:
     """``(h1, h2, place, row_key, run, again)``: a row for each run.
 
-    run: first sentence << 32 | end; again: whether the text has had the run before.
+    run: first sentence << 32 | end; again: whether it is known to repeat an
+    earlier place (h1 then only deals it out).
     """
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     key = C.row_key(ident, text)
     rows = docs.select(_place(ident, key).alias("place"), key.alias("row_key"), text.alias("text")).where("text is not null")
-    return rows.mapInArrow(lambda it: _spans(it, min_words), "h1 long, h2 int, place long, row_key long, run long, again boolean")
+    return rows.mapInArrow(lambda it: _spans(it, min_words, block), "h1 long, h2 int, place long, row_key long, run long, again boolean")
 
 
 def repeated(found: DataFrame) -> DataFrame:
     """``(place, row_key, gone array<int>)``: sentences that a non-first place of a run covers."""
-    first = found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = first.select(C.apart(F.col("h1")).alias("k"), "h2", "first")
-    later = found.withColumn("k", C.apart(F.col("h1"))).join(first, ["k", "h2"]).where("place > first or again")
+    first = F.min(F.when(~F.col("again"), F.col("place"))).over(Window.partitionBy("h1", "h2"))
+    later = found.withColumn("first", first).where("again or place > first")
     a, b = F.shiftright("run", 32).cast("int"), F.col("run").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     one = later.select("place", "row_key", F.explode(F.sequence(a, b - 1)).alias("s"))
     return one.groupBy("place", "row_key").agg(F.array_sort(F.collect_set("s")).alias("gone"))
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    boundary = _cutter()
+    cutter = _cutter()
     for b in batches:
         texts, total, removed = [], [], []
         for text, gone in zip(b.column("__text"), b.column("__gone").to_pylist(), strict=True):
             text = text.as_py()
-            sentences, gaps = cut(text or "", boundary)
+            sentences, gaps = cut(text or "", cutter)
             out = set(gone or ())
             total.append(len(sentences) if text else 0)
             removed.append(len(out))
