@@ -3,14 +3,14 @@ import pytest
 
 from quern.llm import spans
 
-BOUNDARY = spans._cutter()
+CUTTER = spans._cutter()
 
 
 def brute(rows, least=spans.MIN_WORDS):
     """Removed sentences by row, by comparing runs as text."""
     found, first, gone = [], {}, {}
     for n, (doc_id, text) in enumerate(rows):
-        words = [s.lower().split() for s in spans.cut(text or "", BOUNDARY)[0]]
+        words = [s.lower().split() for s in spans.cut(text or "", CUTTER)[0]]
         for a, b in spans.runs(np.array([len(w) for w in words]), least):
             run = " ".join(x for w in words[a:b] for x in w)
             found.append((run, doc_id, n, a, b))
@@ -30,12 +30,14 @@ def test_runs_are_shortest_and_reach_both_ends():
 
 
 def test_cut_is_lossless():
-    for text in ("", "a. b", "One. Two!  Three\n\nfour Five", " x ", "\n\n", "a.\n"):
-        s, g = spans.cut(text, BOUNDARY)
+    for text in ("", "one, two, three, four, five, six, seven, eight, nine, ten, eleven, twelve, thirteen. x", "a. b", "One. Two!  Three\n\nfour Five", " x ", "\n\n", "a.\n"):
+        s, g = spans.cut(text, CUTTER)
         assert "".join(a + b for a, b in zip(s, g, strict=True)) == text
 
 
-def test_result_is_that_of_plain_code(spark, docs):
+@pytest.mark.parametrize("block", [spans.BLOCK_RUNS, 200])
+def test_result_is_that_of_plain_code(spark, docs, block, monkeypatch):
+    monkeypatch.setattr(spans.spans, "__defaults__", (*spans.spans.__defaults__[:-1], block))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: r["__removed"] for r in spans.dedup(docs).collect()}
     want = brute(sorted(rows))
