@@ -12,11 +12,14 @@ def exact_replay(requests: DataFrame, seq: str = "seq", prompt: str = "prompt",
     """Each request with ``key``, ``first_seq`` and ``exact_hit``: whether an earlier one had its prompt.
 
     The first request of a key is a map-side combined minimum that is joined
-    back, so a prompt that is most of the traffic is not one window.
+    back, so a prompt that is most of the traffic is not one window. The join
+    has a key of its own: below an aggregation by the same key Spark could not
+    split it.
     """
     keyed = requests.withColumn("key", prompt_key(F.col(prompt)))
-    first = keyed.groupBy(*by, "key").agg(F.min(seq).alias("first_seq"))
-    return keyed.join(first, [*by, "key"]).withColumn("exact_hit", F.col(seq) > F.col("first_seq"))
+    join_key = F.concat(F.lit("k"), F.col("key")).alias("_k")
+    first = keyed.groupBy(*by, "key").agg(F.min(seq).alias("first_seq")).select(*by, join_key, "first_seq")
+    return keyed.select("*", join_key).join(first, [*by, "_k"]).drop("_k").withColumn("exact_hit", F.col(seq) > F.col("first_seq"))
 
 
 def upsert(store: DataFrame, updates: DataFrame, order: str = "created_at") -> DataFrame:
