@@ -1,21 +1,28 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation is learned so that the signs of the rotated vectors make balanced
-64-bit codes (fitted on ``SAMPLE`` vectors at most, chosen by hash). A code is
-cut into ``TABLES`` parts; vectors that agree in some part meet in that part's
-table, and every such pair is ranked again by the cosine of the original
-vectors in double precision. Of two vectors at the threshold each bit differs
-with probability 0.14, so some 8-bit part agrees in 0.94 of cases, and in 0.99
-at cosine 0.95; no link below the threshold is ever reported.
-
-Equal vectors are one entry with a count. A table's bucket is worked through
-in blocks of bounded size as matrix products. Of a block only sums and a star
-of links for each group leave, never pairs; a pair that meets in several
-tables counts in the first.
+codes (fitted on ``SAMPLE`` vectors at most, chosen by hash); more bits than
+dimensions come from more rotations, each learned from a start of its own. The
+code is cut into parts, a table each; vectors that agree in some part meet in
+that part's table, and every such pair is ranked again by the cosine of the
+original vectors in double precision, so no link below the threshold is ever
+reported.
+
+Two vectors at the threshold differ in a bit with probability acos(0.9) / pi.
+``tables`` gives as many tables as keep the chance that some part agrees at
+``RECALL``, for parts that grow with the logarithm of the number of vectors:
+48 thousand have 8 tables of 8 bits, a hundred million 50 tables of 19. What a
+bucket holds by chance so stays bounded.
+
+Equal vectors are one entry with a count. A bucket is worked through in blocks
+of bounded size as matrix products. Of a block only sums and a star of links
+for each group leave, never pairs; a pair that meets in several tables counts
+in the first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,45 +33,55 @@ from pyspark.sql import functions as F
 from quern.llm import common as C
 
 THRESHOLD = 0.9
-BITS, TABLES = 64, 8
+RECALL = 0.934
 SAMPLE = 8192
 ITERATIONS = 40
 BLOCK = 2048
-_ROWS = 512
+_PAIRS = 1 << 18
 
 
-def fit(sample: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+def tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, bits of each) for n distinct vectors."""
+    bits = min(24, max(8, round(math.log2(max(n, 2))) - 8))
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(8, round(math.log(1 - recall) / math.log(1 - agree))), bits
+
+
+def fit(sample: np.ndarray, bits: int = 64, iterations: int = ITERATIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection d x bits) whose signs are the code.
 
     The leading principal directions are rotated so that the quantisation
-    error is least. Where vectors have fewer dimensions than bits, the rest of
-    the code comes from seeded random rotations of them.
+    error is least, again from other random starts until there are bits
+    enough. A sample too small to learn from gives seeded random rotations.
     """
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
     unit = _unit(sample) if len(sample) else sample
-    mean = unit.mean(axis=0) if len(unit) else np.zeros(d)
     k = min(bits, d)
-    if len(unit) >= 2 * k:
+    learned = len(unit) >= 2 * k
+    mean = unit.mean(axis=0) if learned else np.zeros(d)
+    if learned:
         centred = unit - mean
         _, vectors = np.linalg.eigh(centred.T @ centred)
         lead = vectors[:, ::-1][:, :k]
         v = centred @ lead
+    parts: list[np.ndarray] = []
+    while len(parts) * k < bits:
         r = np.linalg.qr(rng.standard_normal((k, k)))[0]
+        if not learned:
+            parts.append(np.linalg.qr(rng.standard_normal((d, d)))[0][:, :k])
+            continue
         for _ in range(iterations):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
-        parts = [lead @ r]
-    else:
-        mean, parts = np.zeros(d), []
-    while sum(p.shape[1] for p in parts) < bits:
-        parts.append(np.linalg.qr(rng.standard_normal((d, d)))[0])
+        parts.append(lead @ r)
     return mean, np.hstack(parts)[:, :bits]
 
 
-def codes(unit: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A row of BITS / 8 bytes for each unit vector."""
-    return np.packbits((unit - model[0]) @ model[1] >= 0, axis=1)
+def codes(unit: np.ndarray, model: tuple[np.ndarray, np.ndarray], bits: int = 8) -> np.ndarray:
+    """Each vector's part of every table, as whole numbers."""
+    ones = (unit - model[0]) @ model[1] >= 0
+    return ones.reshape(len(unit), -1, bits) @ (1 << np.arange(bits, dtype=np.int32))
 
 
 def _matrix(lists: pa.Array, d: int) -> np.ndarray:
@@ -76,45 +93,44 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], models: dict) -> Iterator[pa.RecordBatch]:
-    tables = np.arange(TABLES, dtype=np.int64)
+def _postings(batches: Iterator[pa.RecordBatch], models: dict, count: int, bits: int) -> Iterator[pa.RecordBatch]:
+    table = np.arange(count, dtype=np.int64)
     for b in batches:
         sizes = np.asarray(b.column("v").value_lengths())
         for d in np.unique(sizes):
-            some = b.filter(pa.array(sizes == d)) if (sizes != d).any() else b
-            x = _unit(_matrix(some.column("v"), int(d)))
-            model = models.get(int(d)) or fit(np.zeros((0, int(d))))
-            code = codes(x, model)
-            key = (int(d) << 16) | (tables << 8) | code
-            n = len(code)
-            flat = np.repeat(np.arange(n), TABLES)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.ravel()),
-                    some.column("cid").take(pa.array(flat)),
-                    some.column("copies").take(pa.array(flat)),
-                    pa.array(np.repeat(np.ascontiguousarray(code).view(np.int64).ravel(), TABLES)),
-                    pa.ListArray.from_arrays(pa.array((np.arange(n * TABLES + 1) * d).astype(np.int32)), pa.array(x[flat].ravel())),
-                ],
-                names=["k", "cid", "copies", "code", "v"],
-            )
-
-
-def _rank(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+            every = b.filter(pa.array(sizes == d)) if (sizes != d).any() else b
+            if int(d) not in models:
+                models[int(d)] = fit(np.zeros((0, int(d))), count * bits)
+            for at in range(0, every.num_rows, 1024):
+                some = every.slice(at, 1024)
+                x = _unit(_matrix(some.column("v"), int(d)))
+                part = codes(x, models[int(d)], bits)
+                key = (int(d) << 40) | (table << 32) | part
+                n = len(part)
+                flat = np.repeat(np.arange(n), count)
+                lists = lambda values, width: pa.ListArray.from_arrays(pa.array((np.arange(n * count + 1) * width).astype(np.int32)), pa.array(values[flat].ravel()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.ravel()), some.column("cid").take(pa.array(flat)), some.column("copies").take(pa.array(flat)), lists(part.astype(np.int32), count), lists(x, int(d))],
+                    names=["k", "cid", "copies", "parts_of", "v"],
+                )
+
+
+def _rank(batches: Iterator[pa.RecordBatch], threshold: float, count: int) -> Iterator[pa.RecordBatch]:
     for t, starts in C.whole_groups(batches, ["k", "lo", "hi"]):
         key, lo, hi, part, cid, copies = (t.column(c).to_numpy() for c in ("k", "lo", "hi", "part", "cid", "copies"))
-        code = np.ascontiguousarray(t.column("code").to_numpy()).view(np.uint8).reshape(-1, 8)
+        own_parts = _matrix(t.column("parts_of").combine_chunks(), count)
         vectors = t.column("v").combine_chunks()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
             if e - s < 2:
                 continue
-            x = _matrix(vectors.slice(s, e - s), int(key[s]) >> 16)
-            table = int(key[s]) >> 8 & 255
-            c, p, n = code[s:e], part[s:e], copies[s:e]
+            x = _matrix(vectors.slice(s, e - s), int(key[s]) >> 40)
+            table = int(key[s]) >> 32 & 255
+            c, p, n = own_parts[s:e], part[s:e], copies[s:e]
             links, label = np.zeros(e - s, np.int64), np.arange(e - s)
-            for at in range(0, e - s, _ROWS):
-                i, j = np.nonzero(x[at : at + _ROWS] @ x.T >= threshold)
+            step = max(1, _PAIRS // int(e - s))
+            for at in range(0, e - s, step):
+                i, j = np.nonzero(x[at : at + step] @ x.T >= threshold)
                 i += at
                 right = i < j if lo[s] == hi[s] else (p[i] == lo[s]) & (p[j] == hi[s])
                 i, j = i[right], j[right]
@@ -159,10 +175,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     by_size: dict[int, list] = {}
     for r in chosen:
         by_size.setdefault(len(r.v), []).append(r.v)
-    models = {d: fit(np.array(x)) for d, x in by_size.items()}
-    posted = classes.select("cid", "copies", "v").mapInArrow(lambda it: _postings(it, models), "k long, cid long, copies long, code long, v array<double>")
-    met = C.blocked(posted, F.col("cid"), BLOCK).select("k", "lo", "hi", "part", "cid", "copies", "code", "v")
-    ranked = C.durable(met.mapInArrow(lambda it: _rank(it, threshold), "cid long, links long, root long"))
+    count, bits = tables(classes.count(), threshold)
+    models = {d: fit(np.array(x), count * bits) for d, x in by_size.items()}
+    posted = classes.select("cid", "copies", "v").mapInArrow(lambda it: _postings(it, models, count, bits), "k long, cid long, copies long, parts_of array<int>, v array<double>")
+    met = C.blocked(posted, F.col("cid"), BLOCK).select("k", "lo", "hi", "part", "cid", "copies", "parts_of", "v")
+    ranked = C.durable(met.mapInArrow(lambda it: _rank(it, threshold, count), "cid long, links long, root long"))
     counted = ranked.groupBy("cid").agg(F.sum("links").alias("links"))
     rooted = C.components(ranked.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
     full = classes.join(counted, "cid", "left").join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
