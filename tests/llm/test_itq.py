@@ -47,20 +47,29 @@ def test_recall_against_all_pairs_and_no_false_link(spark, planted):
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
 
 
+def test_parts_grow_with_the_vectors_and_tables_with_the_parts():
+    assert itq.tables(0) == itq.tables(1000) == itq.tables(48_000) == (8, 8)
+    assert itq.tables(10**8) == (50, 19) and itq.tables(10**12)[1] == 24
+
+
+@pytest.mark.parametrize("n", [48_000, 10**6])
 @pytest.mark.parametrize(("cosine", "least"), [(0.9, 0.9), (0.92, 0.93), (0.95, 0.97), (0.98, 0.99)])
-def test_recall_of_the_tables_by_cosine(planted, cosine, least):
+def test_recall_of_the_tables_by_cosine(planted, cosine, least, n):
+    count, bits = itq.tables(n)
     rng = np.random.default_rng(3)
-    model = itq.fit(planted[:900])
+    model = itq.fit(planted[:900], count * bits)
     x = rng.standard_normal((3000, DIM))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal((3000, DIM))
     z -= (z * x).sum(1, keepdims=True) * x
     y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    assert (itq.codes(x, model) == itq.codes(y, model)).any(axis=1).mean() >= least
+    assert (itq.codes(x, model, bits) == itq.codes(y, model, bits)).any(axis=1).mean() >= least
 
 
 def test_codes_are_balanced(planted):
-    ones = np.unpackbits(itq.codes(planted[:900] / np.linalg.norm(planted[:900], axis=1, keepdims=True), itq.fit(planted[:900])), axis=1).mean(0)
+    unit = planted[:900] / np.linalg.norm(planted[:900], axis=1, keepdims=True)
+    ones = itq.codes(unit, itq.fit(planted[:900], 96), 1).mean(0)
+    assert len(ones) == 96
     assert ((ones > 0.35) & (ones < 0.65)).all()
 
 
