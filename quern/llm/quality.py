@@ -30,10 +30,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def _repeat_words(w: Column) -> Column:
     """Words that lie in a three-word window which the text has twice or more.
 
-    Windows are hashed and sorted with their places, so equal ones are
-    neighbours: n log n for any text, however often a window repeats.
+    Windows are hashed; only where some hash repeats are they sorted with
+    their places, so that equal ones are neighbours: n log n for any text,
+    however often a window repeats.
     """
-    window = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def twice(s: Column) -> Column:
         same = lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
@@ -42,14 +43,17 @@ def _repeat_words(w: Column) -> Column:
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.get(p, k + 1) - x)), F.lit(0), lambda a, x: a + x)
 
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(C.let(C.let(F.sort_array(window), twice), covered)).cast("long")
+    def some(h: Column) -> Column:
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(C.let(C.let(F.sort_array(placed), twice), covered))
+
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(C.let(hashes, some)).cast("long")
 
 
 def counts(text: Column) -> Column:
     """A struct of the counts in ``COUNTS`` for a whole text (null: empty)."""
     t = F.coalesce(text, F.lit(""))
-    solid = F.translate(t, C.GAP_CHARS, "")
-    less = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
+    count = lambda chars: F.coalesce(F.regexp_count(t, F.lit(f"[{chars}]")), F.lit(0)).cast("long")
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(C.GAP_CHARS)) != "")
     return C.let(
         C.words(t),
@@ -57,14 +61,14 @@ def counts(text: Column) -> Column:
             lines,
             lambda x: F.struct(
                 F.size(w).cast("long").alias("n_words"),
-                F.length(solid).cast("long").alias("word_chars"),
-                less(SYMBOLS).alias("n_symbols"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                count(SYMBOLS).alias("n_symbols"),
                 (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
                 _repeat_words(w).alias("n_repeat_words"),
                 F.size(x).cast("long").alias("n_lines"),
-                less(C.UPPER).alias("n_upper"),
-                less("!?").alias("n_marks"),
-                less("0123456789").alias("n_digits"),
+                count("A-Z").alias("n_upper"),
+                count("!?").alias("n_marks"),
+                count("0-9").alias("n_digits"),
             ),
         ),
     )
