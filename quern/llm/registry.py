@@ -17,4 +17,6 @@ QUERIES = {
     "op10_html_extract": html.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_chat_format": chat.SQL,
+}

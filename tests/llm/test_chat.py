@@ -63,6 +63,18 @@ def test_query_reads_every_conversation_back(spark, sf001):
     assert got == {c: digests(t) for c, t in read(rows).items()}
 
 
+def test_query_agrees_with_its_sql(spark, sf001):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf001}/conversations.parquet'")
+    cur = con.execute(chat.SQL)
+    columns = [d[0] for d in cur.description]
+    df = chat.query(spark, sf001)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(cur.fetchall())
+
+
 def test_trouble(spark):
     rows = [(1, 1, "assistant", t) for t in HARD] + [(1, None, None, None), (2, 0, "user", None), (2, 1, "assistant", None), (None, 0, "assistant", "x"), (2, 0, "user", None), (3, 0, "tool", "y" * 100_000)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, piece string")
