@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +71,3 @@ def from_log(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(LOG_SCHEMA).json(path)
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("embedding_model", "threshold").orderBy("arrival_ts", "request_id")))
 
-
-def parse_rows(text: str) -> list[dict]:
-    """The rows of a small CSV text, for command-line use."""
-    return list(csv.DictReader(text.splitlines()))
-
-
-def parse_json(text: str) -> list[dict]:
-    return json.loads(text)
