@@ -7,7 +7,9 @@ entries: the guaranteed minimum of the count filter. A list for one
 by three positional bytes at once: ``TRIPLES`` is a set of 20 position triples
 of which every four positions contain one whole. Pairs within a list are
 tallied (positional bytes in common), kept if the tally reaches the minimum,
-and verified by their differing bits.
+and verified by their differing bits. Where three bytes no longer tell enough
+fingerprints apart, lists are keyed by all 70 sets of four: either way every
+pair within reach meets, and a list's length by chance stays bounded.
 
 Only distinct fingerprints are indexed, so copies cost one entry. Lists are
 worked through in blocks of bounded size, and what leaves a block is a star of
@@ -35,6 +37,9 @@ TRIPLES = tuple(
         | {tuple(sorted((*two, one))) for i, p in enumerate(_PARTS) for two in combinations(p, 2) for one in _PARTS[(i + 1) % 3]}
     )
 )
+FOURS = tuple(combinations(range(POSITIONS), MIN_SHARED))
+#: Distinct fingerprints up to which lists are keyed by three bytes: some dozens a list by chance.
+MANY = 1 << 29
 BLOCK = 4096
 _CHUNK = 1 << 17
 
@@ -103,11 +108,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, sets: tuple[tuple[int, ...], ...] = TRIPLES, block: int = BLOCK) -> DataFrame:
     """Links ``(a, b)`` that join exactly the distinct ``fp`` within reach of each other."""
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-    key = lambda n, t: F.lit(n << 24).bitwiseOR(F.shiftleft(byte(t[0]), 16)).bitwiseOR(F.shiftleft(byte(t[1]), 8)).bitwiseOR(byte(t[2]))
-    posting = F.explode(F.array(*[key(n, t).cast("long") for n, t in enumerate(TRIPLES)]))
+
+    def key(n: int, positions: tuple[int, ...]) -> Column:
+        out = F.lit(n)
+        for p in positions:
+            out = F.shiftleft(out.cast("long"), 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
+        return out
+
+    posting = F.explode(F.array(*[key(n, s) for n, s in enumerate(sets)]))
     return C.blocked(fps.select("fp", posting.alias("k")), F.col("fp"), block).select("k", "lo", "hi", "fp").mapInArrow(_stars, "a long, b long")
 
 
@@ -119,8 +129,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only if it has no other id (then null). An empty table gives no rows.
     """
     rows = C.durable(fingerprints(docs, id_col, text_col, shingle))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = C.components(links(classes.select("fp")))
+    classes = C.durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    joined = C.components(links(classes.select("fp"), TRIPLES if classes.count() <= MANY else FOURS))
     rooted = classes.join(joined, classes.fp == joined.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = names.select(C.apart(F.col("root")).alias("k"), "component_id")
