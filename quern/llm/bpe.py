@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
+from quern.llm.packing import pack, unpack
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_CHARS = 8 << 20
@@ -120,22 +121,6 @@ def _splitter(path: str):
     return split, special
 
 
-def _pack(*arrays: np.ndarray | bytes) -> bytes:
-    import zstandard
-
-    raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    return zstandard.compress(np.array([len(x) for x in raw], dtype=np.int64).tobytes() + b"".join(raw), 3)
-
-
-def _unpack(payload: bytes, n: int) -> list[bytes]:
-    import zstandard
-
-    raw = zstandard.decompress(payload)
-    sizes = np.frombuffer(raw, np.int64, n)
-    ends = 8 * n + np.cumsum(sizes)
-    return [raw[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-
-
 def to_varint(v: np.ndarray) -> bytes:
     """Non-negative numbers as little-endian base-128 with continuation bits."""
     v = np.asarray(v, dtype=np.int64)
@@ -197,7 +182,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, buckets: int, kind: in
         by = np.argsort(bucket, kind="stable")
         for run in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
             some = [coded[i] for i in run]
-            yield _rows([(0, block, int(bucket[run[0]]), -1, None, _pack(rank[run], np.array([len(x) for x in some], np.int32), b"".join(some)), mark)])
+            yield _rows([(0, block, int(bucket[run[0]]), -1, None, pack(rank[run], np.array([len(x) for x in some], np.int32), b"".join(some), level=3), mark)])
 
     for b in batches:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -227,9 +212,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         for r in b.to_pylist():
             if r["bucket"] != bucket:
                 known, bucket = {}, r["bucket"]
-            rank, sizes, raw = _unpack(r["payload"], 3)
-            ends = np.cumsum(np.frombuffer(sizes, np.int32))
-            words = [raw[e - s : e] for s, e in zip(np.frombuffer(sizes, np.int32), ends, strict=True)]
+            rank, sizes, raw = unpack(r["payload"], np.int32, np.int32, bytes)
+            words = [raw[e - s : e] for s, e in zip(sizes, np.cumsum(sizes), strict=True)]
             new = [w for w in words if w not in known]
             for i in range(0, len(new), 20_000):
                 some = new[i : i + 20_000]
@@ -237,7 +221,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 for w, t, e in zip(some, text, tokenizer.encode_batch_fast(text, add_special_tokens=False), strict=True):
                     known[w] = np.array([special[t]] if t in special else e.ids, np.int32)
             ids = [known[w] for w in words]
-            yield _rows([(0, r["block"], r["bucket"], -1, None, _pack(np.frombuffer(rank, np.int32), np.array([len(x) for x in ids], np.int32), to_varint(np.concatenate(ids))), r["mark"])])
+            yield _rows([(0, r["block"], r["bucket"], -1, None, pack(rank, np.array([len(x) for x in ids], np.int32), to_varint(np.concatenate(ids)), level=3), r["mark"])])
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +241,7 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["block"] != block:
                 block, parts, table = r["block"], [], None
             if r["kind"] == 0:
-                parts.append((r["mark"], _unpack(r["payload"], 3)))
+                parts.append((r["mark"], unpack(r["payload"], np.int32, np.int32, bytes)))
                 continue
             if table is None:
                 table = _table(parts, r["mark"], block)
@@ -283,8 +267,8 @@ def _table(parts: list, mark: int, block: int) -> tuple[np.ndarray, np.ndarray,
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.int32)
-    rank = np.concatenate([np.frombuffer(p[0], np.int32) for _, p in parts])
-    sizes = np.concatenate([np.frombuffer(p[1], np.int32) for _, p in parts]).astype(np.int64)
+    rank = np.concatenate([p[0] for _, p in parts])
+    sizes = np.concatenate([p[1] for _, p in parts]).astype(np.int64)
     ids = np.concatenate([from_varint(p[2]).astype(np.int32) for _, p in parts])
     start, size = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
     start[rank], size[rank] = np.cumsum(sizes) - sizes, sizes

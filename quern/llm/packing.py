@@ -13,20 +13,21 @@ from urllib.parse import urlparse
 import numpy as np
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     import zstandard
 
-    raw = [a.tobytes() for a in arrays]
-    return zstandard.compress(np.array([len(x) for x in raw], dtype=np.int64).tobytes() + b"".join(raw), 1)
+    raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    return zstandard.compress(np.array([len(x) for x in raw], dtype=np.int64).tobytes() + b"".join(raw), level)
 
 
-def unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
+def unpack(payload: bytes, *kinds: type) -> list:
+    """What was packed: arrays of the given kinds, or bytes."""
     import zstandard
 
     raw = zstandard.decompress(payload)
     sizes = np.frombuffer(raw, np.int64, len(kinds))
     ends = 8 * len(kinds) + np.cumsum(sizes)
-    return [np.frombuffer(raw[e - s : e], k) for s, e, k in zip(sizes, ends, kinds, strict=True)]
+    return [raw[e - s : e] if k is bytes else np.frombuffer(raw[e - s : e], k) for s, e, k in zip(sizes, ends, kinds, strict=True)]
 
 
 def _local(folder: str) -> str | None:
