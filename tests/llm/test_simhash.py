@@ -2,6 +2,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from quern.llm import common, simhash
@@ -31,8 +32,8 @@ def components(values):
 
 
 def test_every_four_positions_hold_a_triple():
-    assert len(simhash.TRIPLES) == 20
-    assert all(any(set(t) <= set(four) for t in simhash.TRIPLES) for four in combinations(range(8), 4))
+    assert len(simhash.TRIPLES) == 20 and len(simhash.FOURS) == 70
+    assert all(any(set(t) <= set(four) for t in sets) for sets in (simhash.TRIPLES, simhash.FOURS) for four in combinations(range(8), 4))
 
 
 def test_result_is_that_of_plain_code(spark, docs, dirty):
@@ -48,7 +49,8 @@ def test_result_is_that_of_plain_code(spark, docs, dirty):
     assert sorted(str((r.doc_id, r.f, r.component_id)) for r in got) == want
 
 
-def test_links_in_small_blocks_join_all_within_reach(spark):
+@pytest.mark.parametrize("sets", [simhash.TRIPLES, simhash.FOURS])
+def test_links_in_small_blocks_join_all_within_reach(spark, sets):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
     values = set()
@@ -60,7 +62,7 @@ def test_links_in_small_blocks_join_all_within_reach(spark):
             values.add(x)
     values = sorted(values)
     df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
-    got = {r.node: r.root for r in common.components(simhash.links(df, block=16)).collect()}
+    got = {r.node: r.root for r in common.components(simhash.links(df, sets, block=16)).collect()}
     want = components(values)
     signed = [int(np.uint64(v).view(np.int64)) for v in values]
     groups = lambda key: sorted(sorted(s for s, k in zip(signed, key, strict=True) if k == g) for g in set(key))
