@@ -11,6 +11,7 @@ expressions over one row: no shuffle, no Python.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,13 +171,17 @@ def _count(text: Column, char: str) -> Column:
 
 def _detections(trimmed: Column) -> Column:
     """Surviving ``struct(start, n, priority, label)`` of a single-spaced text, by start."""
-    known = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(f"^(?:{r.pattern})(?= |$)").alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")) for r in RULES])
+    by_keyword: dict[str, list[dict]] = {}
+    for r in RULES:
+        by_keyword.setdefault(r.keyword, []).append({"pattern": f"^(?:{r.pattern})(?= |$)", "label": r.label, "priority": r.priority})
+    # One literal, folded to a map when the plan is optimised.
+    known = F.from_json(F.lit(json.dumps(by_keyword)), "map<string,array<struct<pattern:string,label:string,priority:int>>>")
 
     def at(w: Column, i: Column) -> Column:
         window = F.array_join(F.slice(w, i + 1, F.lit(WINDOW)), " ")
 
         def best(x: Column) -> Column:
-            hits = F.filter(known, lambda r: (r["keyword"] == F.get(w, i)) & F.rlike(x, r["pattern"]))
+            hits = F.filter(F.try_element_at(known, F.get(w, i)), lambda r: F.rlike(x, r["pattern"]))
             return F.array_max(F.transform(hits, lambda r: F.struct(r["priority"].alias("priority"), (_count(F.regexp_substr(x, r["pattern"]), " ") + 1).alias("n"), r["label"].alias("label"), i.alias("start"))))
 
         return C.let(window, best)
