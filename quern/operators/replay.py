@@ -71,27 +71,33 @@ class Cache:
         self.size += 1
 
 
-def _kernel(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.RecordBatch]:
+def _kernel(batches: Iterator[pa.RecordBatch], options: dict, carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     config, cache = None, None
+    kinds = (pa.string(), pa.float64(), pa.int64(), pa.bool_())
     for b in batches:
-        columns = {n: b.column(n).to_pylist() for n in b.schema.names if n != "vector"}
+        if not b.num_rows:
+            continue
+        configs, seqs, keys, thresholds, nows = (b.column(n).to_pylist() for n in ("config", "seq", "key", "threshold", "now"))
         vectors = b.column("vector") if "vector" in b.schema.names else None
         out = []
-        for i, c in enumerate(columns["config"]):
+        for i, c in enumerate(configs):
             if cache is None or c != config:
                 config, cache = c, Cache(**options)
             v = vectors[i].values if vectors is not None else None
             v = None if v is None else v.to_numpy(zero_copy_only=False)
-            seq = columns["seq"][i]
-            out.append((c, seq, *cache.submit(seq, columns["key"][i], v, columns["threshold"][i], columns["now"][i])))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], names=["config", "seq", "source", "similarity", "matched_seq", "stored"]) if out else b.slice(0, 0)
+            out.append(cache.submit(seqs[i], keys[i], v, thresholds[i], nows[i]))
+        decided = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("config"), b.column("seq"), *decided, *[b.column(f"carry_{n}") for n in carry]], names=["config", "seq", "source", "similarity", "matched_seq", "stored", *carry]
+        )
 
 
-def replay(requests: DataFrame, max_size: int | None = None, ttl: float | None = None, exact: bool = True, semantic: bool = True) -> DataFrame:
-    """Decisions ``(config, seq, source, similarity, matched_seq, stored)``.
+def replay(requests: DataFrame, max_size: int | None = None, ttl: float | None = None, exact: bool = True, semantic: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Decisions ``(config, seq, source, similarity, matched_seq, stored, *carry)``.
 
     ``requests``: config, seq (unique within it), prompt or key, and where used
     vector (array), threshold and now (seconds). Vectors are normalised here.
+    Columns named in ``carry`` pass through, so a result need not be joined.
     """
     has = set(requests.columns)
     rows = requests.select(
@@ -101,10 +107,12 @@ def replay(requests: DataFrame, max_size: int | None = None, ttl: float | None =
         *([normalised(F.col("vector")).alias("vector")] if "vector" in has else []),
         (F.col("threshold").cast("double") if "threshold" in has else F.lit(None).cast("double")).alias("threshold"),
         (F.col("now").cast("double") if "now" in has else F.lit(None).cast("double")).alias("now"),
+        *[F.col(c).alias(f"carry_{c}") for c in carry],
     )
     options = {"max_size": max_size, "ttl": ttl, "exact": exact, "semantic": semantic and "vector" in has}
+    schema = ", ".join([OUT, *[f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in carry]])
     ordered = rows.repartition("config").sortWithinPartitions("config", "seq")
-    return ordered.mapInArrow(lambda it: _kernel(it, options), OUT)
+    return ordered.mapInArrow(lambda it: _kernel(it, options, carry), schema)
 
 
 def outcome(hit, label):
@@ -127,11 +135,8 @@ def pair_requests(pairs: DataFrame, grid: DataFrame) -> DataFrame:
 
 def sweep(pairs: DataFrame, grid: DataFrame, **options) -> DataFrame:
     """The decision on each pair's second query in every configuration of the grid."""
-    requests = pair_requests(pairs, grid)
-    decided = replay(requests, **options)
-    second = requests.where("place = 1").select("config", "seq", "model", "workload", "threshold", "pair_id", "label")
+    decided = replay(pair_requests(pairs, grid), carry=("model", "workload", "threshold", "pair_id", "label", "place"), **options)
     hit = F.col("source").isin(EXACT, SEMANTIC)
-    joined = second.join(decided, ["config", "seq"])
-    return joined.select(
+    return decided.where("place = 1").select(
         F.col("config").alias("config_id"), "model", "workload", "threshold", "pair_id", F.when(hit, "hit").otherwise("miss").alias("decision"), "source", "similarity", "label", outcome(hit, F.col("label")).alias("outcome"), "seq",
     )
