@@ -27,7 +27,8 @@ from quern.llm import common as C
 
 MIN_WORDS = 26
 LONG_SENTENCE = 12
-BLOCK_RUNS = 1 << 19
+BLOCK_RUNS = 1 << 18
+BATCH_TEXTS = 512
 
 #: A sentence ends after a line break, after an end mark before white space,
 #: and before a capitalised word: a passage put into the middle of another
@@ -92,12 +93,32 @@ def _settle(digests: list[bytes], run: np.ndarray, place: np.ndarray, key: np.nd
     first = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
     again = place > place[first]
     again[1:] |= ~new[1:] & (place[1:] == place[:-1]) & (key[1:] == key[:-1])
-    # Those need no comparison any more, so they are not dealt by their hash, which may be a very common one.
-    h1 = np.where(again, key ^ (run * np.int64(0x5851F42D4C957F2D)), h[:, 0])
-    columns = [h1, h[:, 1].astype(np.int32), place, key, run, again]
+    # Known repeats need no comparison any more: those of a text that meet become one stretch, dealt by content.
+    known = _stretches(place[again], key[again], run[again])
+    columns = [np.concatenate([x, y]) for x, y in zip((h[~again, 0], h[~again, 1].astype(np.int32), place[~again], key[~again], run[~again], again[~again]), known, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "place", "row_key", "run", "again"])
 
 
+def _stretches(place: np.ndarray, key: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping or touching runs of a text as one, in the columns of a block's runs."""
+    order = np.lexsort((run, key, place))
+    place, key, run = place[order], key[order], run[order]
+    start, end = run >> 32, run & 0xFFFFFFFF
+    text = np.zeros(len(run), bool)
+    text[:1] = True
+    text[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1])
+    # Within a text starts ascend; ends are lifted by text so that their running maximum never reaches over.
+    lift = np.cumsum(text) << 32
+    reach = np.maximum.accumulate(lift + end) if len(run) else lift
+    new = text.copy()
+    new[1:] |= (lift + start)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.r_[at[1:], len(run)] - 1 if len(at) else at
+    stretch = start[at] << 32 | (reach[last] - lift[last])
+    h1 = key[at] ^ (stretch * np.int64(0x5851F42D4C957F2D))
+    return h1, np.zeros(len(at), np.int32), place[at], key[at], stretch, np.ones(len(at), bool)
+
+
 def _spans(batches: Iterator[pa.RecordBatch], least: int, block: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -147,22 +168,20 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """``(place, row_key, gone array<int>)``: sentences that a non-first place of a run covers."""
+    """``(place, row_key, gone array<long>)``: the runs of a text that are not at their first place."""
     first = F.min(F.when(~F.col("again"), F.col("place"))).over(Window.partitionBy("h1", "h2"))
     later = found.withColumn("first", first).where("again or place > first")
-    a, b = F.shiftright("run", 32).cast("int"), F.col("run").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    one = later.select("place", "row_key", F.explode(F.sequence(a, b - 1)).alias("s"))
-    return one.groupBy("place", "row_key").agg(F.array_sort(F.collect_set("s")).alias("gone"))
+    return later.groupBy("place", "row_key").agg(F.collect_list("run").alias("gone"))
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cutter = _cutter()
-    for b in batches:
+    for b in (x.slice(at, BATCH_TEXTS) for x in batches for at in range(0, x.num_rows, BATCH_TEXTS)):
         texts, total, removed = [], [], []
         for text, gone in zip(b.column("__text"), b.column("__gone").to_pylist(), strict=True):
             text = text.as_py()
             sentences, gaps = cut(text or "", cutter)
-            out = set(gone or ())
+            out = {i for run in gone or () for i in range(run >> 32, run & 0xFFFFFFFF)}
             total.append(len(sentences) if text else 0)
             removed.append(len(out))
             if out:
