@@ -29,6 +29,15 @@ def test_runs_are_shortest_and_reach_both_ends():
         spans.runs(np.array([3]), 25)[0]
 
 
+def test_stretches_join_what_meets_within_a_text_only():
+    run = lambda a, b: a << 32 | b
+    place, key = np.array([1, 1, 1, 2, 1]), np.array([5, 5, 5, 5, 6])
+    got = spans._stretches(place, key, np.array([run(0, 9), run(2, 4), run(9, 11), run(10, 12), run(12, 13)]))
+    rows = sorted(zip(got[2].tolist(), got[3].tolist(), [(r >> 32, r & 0xFFFFFFFF) for r in got[4].tolist()], strict=True))
+    assert rows == [(1, 5, (0, 11)), (1, 6, (12, 13)), (2, 5, (10, 12))]
+    assert len(spans._stretches(place[:0], key[:0], key[:0])[0]) == 0
+
+
 def test_cut_is_lossless():
     for text in ("", "one, two, three, four, five, six, seven, eight, nine, ten, eleven, twelve, thirteen. x", "a. b", "One. Two!  Three\n\nfour Five", " x ", "\n\n", "a.\n"):
         s, g = spans.cut(text, CUTTER)
