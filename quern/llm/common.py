@@ -29,7 +29,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case, nothing else; a text of ASCII alone takes the faster way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:
