@@ -35,9 +35,20 @@ def _matrix(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
     return ids, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
+def _top(q: np.ndarray, n: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query, ties by the lesser id."""
+    order = np.lexsort((n, d, q))
+    q, n, d = q[order], n[order], d[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], n[keep], d[keep]
+
+
 def _best(batches: Iterator[pa.RecordBatch], k: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """Store blocks that follow each other for one query block are merged before they leave."""
+    block, held = None, None
+    names = ["query_id", "neighbour_id", "distance"]
     for b in batches:
-        for queries, stored in zip(b.column("q"), b.column("s"), strict=True):
+        for number, queries, stored in zip(b.column("b").to_pylist(), b.column("q"), b.column("s"), strict=True):
             qi, qv = _matrix(queries)
             si, sv = _matrix(stored)
             squares = (qv**2).sum(1)[:, None] + (sv**2).sum(1)[None, :] - 2 * (qv @ sv.T)
@@ -46,14 +57,16 @@ def _best(batches: Iterator[pa.RecordBatch], k: int, same: bool) -> Iterator[pa.
             # A product's rounding is far below this slack; what it leaves is measured again directly.
             near = min(k, squares.shape[1])
             limit = np.partition(squares, near - 1, axis=1)[:, near - 1] + 1e-9
-            a, c = np.nonzero(squares <= limit[:, None])
-            a, c = a[np.isfinite(squares[a, c])], c[np.isfinite(squares[a, c])]
-            d = np.sqrt(((qv[a] - sv[c]) ** 2).sum(1))
-            order = np.lexsort((si[c], d, a))
-            a, c, d = a[order], c[order], d[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a)
-            keep = rank < k
-            yield pa.RecordBatch.from_arrays([pa.array(qi[a[keep]]), pa.array(si[c[keep]]), pa.array(d[keep])], names=["query_id", "neighbour_id", "distance"])
+            a, c = np.nonzero((squares <= limit[:, None]) & np.isfinite(squares))
+            found = (qi[a], si[c], np.sqrt(((qv[a] - sv[c]) ** 2).sum(1)))
+            if number != block:
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
+                block, held = number, _top(*found, k)
+            else:
+                held = _top(*(np.concatenate([x, y]) for x, y in zip(held, found, strict=True)), k)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
 
 def knn(queries: DataFrame, store: DataFrame, k: int = 1, ident: str = "vec_id", vector: str = "embedding", same: bool = False, block: int = BLOCK) -> DataFrame:
@@ -64,7 +77,7 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 1, ident: str = "vec_id",
     """
     n_store, n_queries = store.count(), queries.count()
     s = _packed(store, ident, vector, block, n_store).select(F.col("rows").alias("s"))
-    q = _packed(queries, ident, vector, block, n_queries).select(F.col("rows").alias("q"))
+    q = _packed(queries, ident, vector, block, n_queries).select("b", F.col("rows").alias("q"))
     # One row a block: the product below has (queries / block) x (store / block) rows.
     met = q.crossJoin(F.broadcast(s) if n_store <= SMALL_STORE_ROWS else s)
     parts = met.mapInArrow(lambda it: _best(it, k, same), "query_id long, neighbour_id long, distance double")
