@@ -281,21 +281,21 @@ def _coded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block_ch
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def blocks(kind: int) -> DataFrame:
-        return rows.mapInArrow(lambda it: _blocks(it, tokenizer, buckets, kind, block_chars), _ROW)
+        return rows.mapInArrow(lambda it: C.lean(_blocks(it, tokenizer, buckets, kind, block_chars)), _ROW)
 
-    ids = blocks(0).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _encode(it, tokenizer), _ROW)
+    ids = blocks(0).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: C.lean(_encode(it, tokenizer)), _ROW)
     # The texts come first in the union: blocks are numbered by partition, which a union counts through.
     return blocks(1).unionByName(ids).repartition("block").sortWithinPartitions("block", "kind", "at")
 
 
 def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, ids array<int>)`` for every row of docs; null text counts as empty (no ids)."""
-    return _coded(docs, tokenizer, id_col, text_col, block_chars).mapInArrow(_join, "doc_id long, ids array<int>")
+    return _coded(docs, tokenizer, id_col, text_col, block_chars).mapInArrow(lambda it: C.lean(_join(it)), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``decode(encode(docs))`` with both steps in one worker."""
-    return _coded(docs, tokenizer, id_col, text_col, block_chars).mapInArrow(lambda it: _decode(_join(it), tokenizer), "doc_id long, ids array<int>, text string")
+    return _coded(docs, tokenizer, id_col, text_col, block_chars).mapInArrow(lambda it: C.lean(_decode(_join(it), tokenizer)), "doc_id long, ids array<int>, text string")
 
 
 @functools.cache
@@ -331,7 +331,7 @@ def decode(coded: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     as none.
     """
     rows = coded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(lambda it: _decode(it, tokenizer), "doc_id long, ids array<int>, text string")
+    return rows.mapInArrow(lambda it: C.lean(_decode(it, tokenizer)), "doc_id long, ids array<int>, text string")
 
 
 def digests(got: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ streaming helper that turns a key-sorted partition into whole groups.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -17,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of glibc; other C libraries hand memory back by themselves.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: The white space that separates words, as a character class body.
 GAP = r"\x20\x09-\x0D"
 GAP_CHARS = " \t\n\x0b\x0c\r"
@@ -161,6 +166,19 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield rest, _starts(rest, keys)
 
 
+def lean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; when they end, the worker hands free memory back.
+
+    Workers are kept for the next stage, which else pays for what this one
+    once held.
+    """
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     new = np.zeros(t.num_rows, dtype=bool)
     new[0] = True

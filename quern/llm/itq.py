@@ -177,9 +177,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         by_size.setdefault(len(r.v), []).append(r.v)
     count, bits = tables(classes.count(), threshold)
     models = {d: fit(np.array(x), count * bits) for d, x in by_size.items()}
-    posted = classes.select("cid", "copies", "v").mapInArrow(lambda it: _postings(it, models, count, bits), "k long, cid long, copies long, parts_of array<int>, v array<double>")
+    posted = classes.select("cid", "copies", "v").mapInArrow(lambda it: C.lean(_postings(it, models, count, bits)), "k long, cid long, copies long, parts_of array<int>, v array<double>")
     met = C.blocked(posted, F.col("cid"), BLOCK).select("k", "lo", "hi", "part", "cid", "copies", "parts_of", "v")
-    ranked = C.durable(met.mapInArrow(lambda it: _rank(it, threshold, count), "cid long, links long, root long"))
+    ranked = C.durable(met.mapInArrow(lambda it: C.lean(_rank(it, threshold, count)), "cid long, links long, root long"))
     counted = ranked.groupBy("cid").agg(F.sum("links").alias("links"))
     rooted = C.components(ranked.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
     full = classes.join(counted, "cid", "left").join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

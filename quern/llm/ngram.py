@@ -279,9 +279,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     folder = new_folder(C.shared_dir(spark), "ngram")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"))
-    counted = texts.mapInArrow(lambda it: _count(it, buckets), _ROW).repartition("bucket").sortWithinPartitions("bucket")
-    merged = counted.mapInArrow(lambda it: _merge_bigrams(it, folder, buckets), _ROW).repartition("bucket").sortWithinPartitions("bucket")
-    notes = [json.loads(bytes(r.payload)) for r in merged.mapInArrow(lambda it: _merge_words(it, folder), _ROW).collect()]
+    counted = texts.mapInArrow(lambda it: C.lean(_count(it, buckets)), _ROW).repartition("bucket").sortWithinPartitions("bucket")
+    merged = counted.mapInArrow(lambda it: C.lean(_merge_bigrams(it, folder, buckets)), _ROW).repartition("bucket").sortWithinPartitions("bucket")
+    notes = [json.loads(bytes(r.payload)) for r in merged.mapInArrow(lambda it: C.lean(_merge_words(it, folder)), _ROW).collect()]
     add = lambda k: sum(x.get(k, 0) for x in notes)
     vector = lambda k: [sum(x[k][i] for x in notes if k in x) for i in range(4)]
     members = lambda k: frozenset(b for x in notes for b in x.get(k, ()))
@@ -312,7 +312,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     add-one unigram's and score the model's log10 probability.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return rows.mapInArrow(lambda it: C.lean(_score(it, model)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,15 +41,14 @@ FOURS = tuple(combinations(range(POSITIONS), MIN_SHARED))
 #: Distinct fingerprints up to which lists are keyed by three bytes: some dozens a list by chance.
 MANY = 1 << 29
 BLOCK = 4096
-_CHUNK = 1 << 17
+_CHUNK, _ROWS = 1 << 15, 512
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    """The majority of each bit over a row's hashes, some rows at a time."""
+    for b in (x.slice(at, _ROWS) for x in batches for at in range(0, x.num_rows, _ROWS)):
         lists = b.column("hashes")
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint8).reshape(-1, 8)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8)
         sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
         ones = np.zeros((len(sizes), 64), dtype=np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -79,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
 
     rows = docs.select(ident.alias("doc_id"), C.row_key(ident, text).alias("row_key"), C.let(C.words(C.ascii_lower(text)), hashed).alias("hashes"))
-    return rows.mapInArrow(_fold, "doc_id long, row_key long, fp long")
+    return rows.mapInArrow(lambda it: C.lean(_fold(it)), "doc_id long, row_key long, fp long")
 
 
 def _close(v: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -118,7 +117,7 @@ def links(fps: DataFrame, sets: tuple[tuple[int, ...], ...] = TRIPLES, block: in
         return out
 
     posting = F.explode(F.array(*[key(n, s) for n, s in enumerate(sets)]))
-    return C.blocked(fps.select("fp", posting.alias("k")), F.col("fp"), block).select("k", "lo", "hi", "fp").mapInArrow(_stars, "a long, b long")
+    return C.blocked(fps.select("fp", posting.alias("k")), F.col("fp"), block).select("k", "lo", "hi", "fp").mapInArrow(lambda it: C.lean(_stars(it)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

@@ -164,7 +164,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     key = C.row_key(ident, text)
     rows = docs.select(_place(ident, key).alias("place"), key.alias("row_key"), text.alias("text")).where("text is not null")
-    return rows.mapInArrow(lambda it: _spans(it, min_words, block), "h1 long, h2 int, place long, row_key long, run long, again boolean")
+    return rows.mapInArrow(lambda it: C.lean(_spans(it, min_words, block)), "h1 long, h2 int, place long, row_key long, run long, again boolean")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     others = [c for c in docs.columns if c != text_col]
     rows = joined.select(*[F.col(c) for c in others], text.alias("__text"), "__gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", __text string, __total int, __removed int"
-    return rows.mapInArrow(_rebuild, schema)
+    return rows.mapInArrow(lambda it: C.lean(_rebuild(it)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
