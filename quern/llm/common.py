@@ -121,19 +121,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def blocked(keyed: DataFrame, item: Column, block: int) -> DataFrame:
+def blocked(keyed: DataFrame, item: Column, block: int, weight: Column | None = None) -> DataFrame:
     """Rows of ``keyed(k, ...)`` whose key is shared, dealt so that no group is large.
 
-    Keys that one row has fall away. A key with more than ``block`` rows is
-    cut into parts by a hash of the row; each pair of parts becomes one group
+    Keys that one row has fall away. A key with more than ``block`` rows (or
+    more than that in all of ``weight``) is cut into parts by a hash of the row; each pair of parts becomes one group
     ``(k, lo, hi)`` of about two blocks at most, and ``part`` tells a row's own
     part. Each pair of rows of a key meets in some group, and nothing is
     dropped.
     """
-    shared = keyed.groupBy("k").agg(F.count("*").alias("n_k")).where("n_k > 1")
-    parts = F.ceil(F.col("n_k") / block).cast("int")
-    shared = shared.select(apart(F.col("k")).alias("k_apart"), "n_k")
-    dealt = keyed.withColumn("k_apart", apart(F.col("k"))).join(shared, "k_apart").drop("k_apart").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int")).drop("n_k")
+    shared = keyed.groupBy("k").agg(F.count("*").alias("n_k"), F.sum(F.lit(1) if weight is None else weight).alias("w_k")).where("n_k > 1")
+    parts = F.ceil(F.col("w_k") / block).cast("int")
+    shared = shared.select(apart(F.col("k")).alias("k_apart"), "w_k")
+    dealt = keyed.withColumn("k_apart", apart(F.col("k"))).join(shared, "k_apart").drop("k_apart").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int")).drop("w_k")
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     return (
         dealt.withColumn("other", other)

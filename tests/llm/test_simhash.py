@@ -84,3 +84,69 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in common.components(edges).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000}
+
+
+def plain_kept(given):
+    """The ids that stay by plain code: components of pairs whose sets of five words have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for _, text in given:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(sets)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            root[find(j)] = find(i)
+    least = {}
+    for i, (d, _) in enumerate(given):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+def test_stage_finds_near_copies_at_eight_tenths(spark, docs, sf001):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for i in range(60):
+        w, n = words(200), len(rows)
+        rows.append((10_000 + n, " ".join(w)))
+        # Each word replaced apart from others takes five shingles: 196 shared at first, 4 words leave 176 of 216, 5 words 171 of 221.
+        for at in range(20, 20 + 30 * (2 + i % 4), 30):
+            w[at] = f"other{i}"
+        rows.append((10_001 + n, " ".join(w)))
+    kept = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf001)
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_SHINGLES, 4000])
+def test_a_chain_of_near_copies_is_one_in_small_blocks(spark, block):
+    w = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(40):
+        texts.append(" ".join(w))
+        w[7 * i + 3] = f"new{i}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({r.root for r in simhash.alike(df, block=block).collect()}) == 1
+
+
+def test_bands_find_pairs_at_eight_tenths():
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(2000):
+        x = rng.integers(0, 2**63, 200, dtype=np.uint64)
+        sets += [np.unique(x[:180]), np.unique(x[20:])]  # 160 of 200
+    keys = simhash._bands(sets)
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() > 0.998
+    assert not (keys[:-1:2] == np.roll(keys[1::2], 1, axis=0)).any()
+
+
+def test_stage_on_trouble_keeps_one_of_each(spark, dirty, nothing, sf001):
+    assert simhash.keep_one(spark, nothing, sf001).count() == 0
+    left = simhash.keep_one(spark, dirty, sf001)
+    assert left.columns == dirty.columns
+    assert sorted(str(r.doc_id) for r in left.select("doc_id").collect()) == ["1", "1", "2", "5", "6", "7", "8", "None"]
