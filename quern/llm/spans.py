@@ -88,6 +88,10 @@ def _settle(digests: list[bytes], run: np.ndarray, place: np.ndarray, key: np.nd
     h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     order = np.lexsort((run, key, place, h[:, 1], h[:, 0]))
     h, run, place, key = h[order], run[order], place[order], key[order]
+    # A repeated row has the same runs again: they are no other place, so one of each stands for all.
+    other = np.ones(len(run), bool)
+    other[1:] = (h[1:] != h[:-1]).any(axis=1) | (place[1:] != place[:-1]) | (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+    h, run, place, key = h[other], run[other], place[other], key[other]
     new = np.ones(len(run), bool)
     new[1:] = (h[1:] != h[:-1]).any(axis=1)
     first = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))

@@ -86,3 +86,13 @@ def test_null_ids_are_documents_after_the_rest(spark):
     text = " ".join(f"word{i}" for i in range(30)) + "."
     got = spans.dedup(spark.createDataFrame([(None, f"{text} Anna"), (3, f"{text} Berta"), (None, f"{text} Clara")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r["__removed"]) for r in got) == [(0, 1), (0, 1), (3, 0)]
+
+
+@pytest.mark.parametrize("block", [spans.BLOCK_RUNS, 1])
+def test_a_repeated_row_keeps_its_text_in_one_block_and_in_two(spark, block, monkeypatch):
+    monkeypatch.setattr(spans.spans, "__defaults__", (*spans.spans.__defaults__[:-1], block))
+    rng = np.random.default_rng(5)
+    text = f"{passage(rng, 30).capitalize()}. {passage(rng, 40).capitalize()}."
+    rows = [(1, text), (1, text), (2, f"{passage(rng, 9).capitalize()}. {text}")]
+    got = spans.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r["__removed"]) for r in got) == [(1, 0), (1, 0), (2, 2)]
