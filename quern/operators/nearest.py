@@ -109,10 +109,10 @@ def lsh_neighbours(queries: DataFrame, store: DataFrame, radius: float, ident: s
 
 
 def search(queries: DataFrame, store: DataFrame, backend: str = "auto", radius: float | None = None, **options) -> DataFrame:
-    """``exact``, ``lsh``, or ``auto``: exact for a small store, hashing beyond it where a radius is given."""
+    """``exact``, ``lsh``, or ``auto``: exact at every size; hashing may lose neighbours and is used only by name."""
     if backend not in ("auto", "exact", "lsh"):
         raise ValueError(f"unknown backend {backend!r}")
-    if backend == "lsh" or (backend == "auto" and radius is not None and store.count() > 20 * SMALL_STORE_ROWS):
+    if backend == "lsh":
         if radius is None:
             raise ValueError("the lsh backend needs a radius")
         return lsh_neighbours(queries, store, radius, **options)

@@ -118,3 +118,10 @@ def test_settings(tmp_path):
     assert (got.pool_cap, got.enable_exact_cache, got.cache_ttl_seconds, got.similarity_threshold) == (3, False, None, 0.5)
     with pytest.raises(ValueError):
         Settings(similarity_threshold=2)
+
+
+def test_auto_search_is_exact_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SMALL_STORE_ROWS", 0)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
+    got = nearest.search(df, df, radius=0.5, k=2)
+    assert got.columns == nearest.knn(df, df, k=2).columns and got.count() == 12
