@@ -124,11 +124,12 @@ def _bin(place: Column) -> Column:
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, copies: int = MAX_COPIES) -> DataFrame:
-    """``(members, source, source_size, target, rounds, edge_bin, edge)``, a row a pattern, from ``sized(members, size, place)``.
+    """``(members, source, source_size, target, rounds, edge_bin, edge, edge_taken, edge_rows)``, a row a pattern, from ``sized(members, size, place)``.
 
     ``rounds``: how often every document is taken; those before ``edge`` in
-    the seeded order are taken once more. source, its size and target are
-    given where a pattern has one source.
+    the seeded order are taken once more, and so are ``edge_taken`` of the
+    ``edge_rows`` wholly equal rows that stand at it. source, its size and
+    target are given where a pattern has one source.
     """
     spark = sized.sparkSession
     got = sized.groupBy("members").agg(F.sum("size").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
@@ -157,22 +158,43 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     edge = C.durable(summed.where("rest > 0 and upto >= rest").groupBy("members").agg(F.min(F.struct("bin", (F.col("upto") - F.col("tokens")).alias("before"), "rest")).alias("e")).select("members", "e.*"))
     few_edges = F.broadcast(edge) if len(rows) <= BROADCAST_PATTERNS else edge
     inside = sized.withColumn("bin", _bin(F.col("place"))).join(few_edges, ["members", "bin"])
+    # Wholly equal rows share a place: one row with their number stands for them.
+    places = inside.groupBy("members", "place").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     order = Window.partitionBy("members").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = F.col("rest") - F.col("before") - F.sum(F.col("n") * F.col("size")).over(order) + F.col("n") * F.col("size")
     # A document is taken if that brings the sum nearer: as sums grow along the order, those taken are its first.
-    taken = inside.withColumn("sum", F.col("before") + F.sum("size").over(order)).where("sum - size / 2 <= rest")
-    last = taken.groupBy("members").agg(F.max("place").alias("edge"))
+    fit = F.when(F.col("size") > 0, F.least(F.col("n"), F.floor(room / F.col("size") + 0.5))).when(room >= 0, F.col("n"))
+    last = places.withColumn("m", fit.cast("long")).where("m >= 1").groupBy("members").agg(F.max(F.struct("place", "m", "n")).alias("e"))
+    last = last.select("members", F.col("e.place").alias("edge"), F.col("e.m").alias("edge_taken"), F.col("e.n").alias("edge_rows"))
     return C.durable(given.drop("rest").join(edge.select("members", F.col("bin").alias("edge_bin")), "members", "left").join(last, "members", "left"))
 
 
-def copies_of(place: Column) -> Column:
-    """How often a row of a planned pattern is taken."""
-    more = (_bin(place) < F.col("edge_bin")) | ((_bin(place) == F.col("edge_bin")) & (place <= F.col("edge")))
-    return F.col("rounds") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
+def with_copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """``rows(members, place, ...)`` with their pattern's plan and ``copies``: how often each is taken.
 
-
-def _with_plan(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    Where only some of the wholly equal rows at a pattern's edge are taken,
+    those rows alone are written down and told apart by where they were
+    written: counts by task find the task in which the number is reached, and
+    only that task's rows are numbered.
+    """
     few = planned.count() <= BROADCAST_PATTERNS
-    return rows.join(F.broadcast(planned) if few else planned, "members")
+    joined = rows.join(F.broadcast(planned) if few else planned, "members")
+    place, bin_ = F.col("place"), _bin(F.col("place"))
+    at_edge = (bin_ == F.col("edge_bin")) & (place == F.col("edge"))
+    first = (bin_ < F.col("edge_bin")) | ((bin_ == F.col("edge_bin")) & (place < F.col("edge"))) | (at_edge & (F.col("edge_taken") == F.col("edge_rows")))
+    whole = joined.withColumn("copies", F.col("rounds") + F.when(F.coalesce(first, F.lit(False)), 1).otherwise(0))
+    if not planned.where("edge_taken < edge_rows").count():
+        return whole
+    torn = F.coalesce(at_edge & (F.col("edge_taken") < F.col("edge_rows")), F.lit(False))
+    equal = C.durable(joined.where(torn).withColumn("__row", F.monotonically_increasing_id()))
+    task = F.shiftright("__row", 33).alias("__task")
+    by_task = equal.groupBy("members", "edge_taken", task).agg(F.count("*").alias("__n"))
+    run = by_task.withColumn("__upto", F.sum("__n").over(Window.partitionBy("members").orderBy("__task")))
+    reached = run.where("__upto >= edge_taken").groupBy("members").agg(F.min(F.struct("__task", (F.col("edge_taken") - F.col("__upto") + F.col("__n")).alias("__more"))).alias("__r")).select("members", "__r.*")
+    number = F.row_number().over(Window.partitionBy("members").orderBy("__row"))
+    last = equal.select("members", "__row", task).join(F.broadcast(reached) if few else reached, ["members", "__task"]).withColumn("__number", number).where("__number = __more").select("members", F.col("__row").alias("__last"))
+    some = equal.join(F.broadcast(last) if few else last, "members").withColumn("copies", F.col("rounds") + F.when(F.col("__row") <= F.col("__last"), 1).otherwise(0))
+    return whole.where(~torn).unionByName(some.drop("__row", "__last"))
 
 
 def _sized(docs: DataFrame, members: Column, seed: int) -> DataFrame:
@@ -185,14 +207,17 @@ def mix(docs: DataFrame, members: Column | None = None, seed: int = SEED, **opti
 
     ``members``: the array of sources that hold a document (by default the one
     in ``source``, which may be null: a source of its own). Null text has size
-    0; documents of size 0 go with their pattern's rounds at no cost. Wholly
-    equal rows may be taken differently often, but always the same number of
-    them. The same input and seed give the same mix.
+    0; documents of size 0 go with their pattern's rounds at no cost. Ties in
+    the seeded order are rows of equal id and text: of those at the edge as
+    many are taken once more as bring the pattern nearest to its quota, so some
+    of them may have a copy more than others. Very long texts count whole; a
+    pattern ends within half a document of its quota. An empty table gives no
+    rows. Columns other than doc_id, text and source are not read. The same
+    input and seed take as many of each distinct row.
     """
     sized = C.durable(_sized(docs, F.array("source") if members is None else F.array_sort(F.array_distinct(members)), seed))
-    got = _with_plan(sized, plan(sized, **options))
-    n = copies_of(F.col("place"))
-    return got.select("doc_id", "members", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
+    got = with_copies(sized, plan(sized, **options))
+    return got.select("doc_id", "members", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,10 +229,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it (not at all, once or twice)."""
     ident, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    planned = plan(C.durable(_sized(docs, F.array("source"), SEED))).select(F.col("members").alias("__members"), "rounds", "edge_bin", "edge")
+    planned = plan(C.durable(_sized(docs, F.array("source"), SEED))).drop("source", "source_size", "target")
     own = [F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*own, F.array("source").alias("__members"), _place(ident, text, SEED).alias("__place"))
-    few = planned.count() <= BROADCAST_PATTERNS
-    joined = rows.join(F.broadcast(planned) if few else planned, "__members")
+    rows = docs.select(*own, F.array("source").alias("members"), _place(ident, text, SEED).alias("place"))
     back = [F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies_of(F.col("__place"))))).select(*back)
+    return with_copies(rows, planned).withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*back)

@@ -66,3 +66,64 @@ def test_trouble(spark, dirty, nothing, sf001):
     stage = mixing.mix_stage(spark, dirty, sf001)
     assert stage.columns == dirty.columns
     assert sorted(str(r.doc_id) for r in stage.collect()) == sorted(str(r.doc_id) for r in got for _ in range(r.copies))
+
+
+def _repeated(n, source="a", text="w " * 10, first=None):
+    return [(first, text, source)] * n
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_equal_rows_end_within_half_a_document_of_the_target(spark, parts):
+    rows = _repeated(100)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    got = mixing.mix(df).collect()
+    assert len(got) == 100
+    assert sum(r.taken for r in got) == 1500 == round(got[0].target)
+    assert {r.copies for r in got} == {1, 2}
+
+
+def test_equal_rows_among_others(spark):
+    rows = _repeated(60) + [(i, f"x{i} " + "w " * 9, "a") for i in range(40)] + [(100 + i, f"y{i} " + "w " * 9, "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for got in (mixing.mix(df).collect(), mixing.mix(df.repartition(3)).collect()):
+        by = {}
+        for r in got:
+            t = by.setdefault(r.members[0], [0, r.target])
+            t[0] += r.taken
+        assert all(abs(taken - target) <= 10 for taken, target in by.values()), by
+        assert all(r.taken <= 2 * r["size"] for r in got)
+
+
+def test_stage_repeats_equal_rows_as_planned(spark):
+    df = spark.createDataFrame(_repeated(100), "doc_id long, text string, source string").repartition(5)
+    assert mixing.mix_stage(spark, df, "").count() == 150
+
+
+def _cheapest(supply, quota, copies):
+    """(most tokens, least cost) by trying every flow."""
+    import itertools
+
+    arcs = [(p, s) for p, (_, members) in enumerate(supply) for s in members]
+    best = (0, 0)
+    for flow in itertools.product(*[range(copies * supply[p][0] + 1) for p, _ in arcs]):
+        out, into = [0] * len(supply), [0] * len(quota)
+        for (p, s), f in zip(arcs, flow, strict=True):
+            out[p] += f
+            into[s] += f
+        if any(o > copies * t for o, (t, _) in zip(out, supply, strict=True)) or any(i > q for i, q in zip(into, quota, strict=True)):
+            continue
+        cost = sum(k * min(t, max(0, o - k * t)) for o, (t, _) in zip(out, supply, strict=True) for k in range(copies))
+        best = max(best, (sum(out), -cost))
+    return best[0], -best[1]
+
+
+def test_flow_is_a_cheapest_one():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(25):
+        supply = [(rng.randint(0, 2), sorted(rng.sample(range(3), rng.randint(1, 2)))) for _ in range(3)]
+        quota = [rng.randint(0, 4) for _ in range(3)]
+        given = [sum(f.values()) for f in mixing.min_cost_flow(supply, quota)]
+        cost = sum(k * min(t, max(0, g - k * t)) for g, (t, _) in zip(given, supply, strict=True) for k in range(2))
+        assert (sum(given), cost) == _cheapest(supply, quota, 2)
