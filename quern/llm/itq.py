@@ -3,27 +3,28 @@
 A rotation is learned so that the signs of the rotated vectors make balanced
 codes (fitted on ``SAMPLE`` vectors at most, chosen by hash); more bits than
 dimensions come from more rotations, each learned from a start of its own. The
-code is cut into parts, a table each; vectors that agree in some part meet in
-that part's table, and every such pair is ranked again by the cosine of the
+code is cut into parts, a table each: vectors that agree in some part meet in
+that part's table, and those whose whole codes differ in few bits become
+candidates. Only codes travel to the tables.
+
+How many tables, and how many bits may differ, is measured and not assumed,
+because bits agree less often where vectors share a direction: pairs at exactly
+the threshold are made from the sample (a vector moved along the difference of
+two others, so they lie as the data do), and the tables and the distance are the
+least that keep ``RECALL`` of them.
+
+Candidates are joined into groups. A vector then travels once to its group,
+which is worked through in blocks of bounded size as matrix products of the
 original vectors in double precision, so no link below the threshold is ever
-reported.
-
-Two vectors at the threshold differ in a bit with probability acos(0.9) / pi.
-``tables`` gives as many tables as keep the chance that some part agrees at
-``RECALL``, for parts that grow with the logarithm of the number of vectors:
-48 thousand have 8 tables of 8 bits, a hundred million 50 tables of 19. What a
-bucket holds by chance so stays bounded.
-
-Equal vectors are one entry with a count. A bucket is worked through in blocks
-of bounded size as matrix products. Of a block only sums and a star of links
-for each group leave, never pairs; a pair that meets in several tables counts
-in the first.
+reported. Of a block only sums and a star of links leave, never pairs. Equal
+vectors are one entry with a count.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,71 @@ from pyspark.sql import functions as F
 from quern.llm import common as C
 
 THRESHOLD = 0.9
-RECALL = 0.934
+RECALL = 0.96
 SAMPLE = 8192
 ITERATIONS = 40
 BLOCK = 2048
+#: Tables at most; parts get shorter, and buckets longer, before there are more.
+MAX_TABLES = 96
+#: Words of code that travel and are compared.
+CHECK_WORDS = 4
+_PROBES = 2048
 _PAIRS = 1 << 18
+_WORD = 64
+
+
+@dataclass(frozen=True)
+class Model:
+    """``mean`` and ``projection`` make the code; ``count`` tables of ``bits``; candidates differ in ``reach`` bits at most."""
+
+    mean: np.ndarray
+    projection: np.ndarray
+    count: int
+    bits: int
+    reach: int
+
+    def ones(self, unit: np.ndarray) -> np.ndarray:
+        return (unit - self.mean) @ self.projection >= 0
 
 
-def tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(tables, bits of each) for n distinct vectors."""
-    bits = min(24, max(8, round(math.log2(max(n, 2))) - 8))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(8, round(math.log(1 - recall) / math.log(1 - agree))), bits
+def part_bits(n: int) -> int:
+    """The bits of a table's part for n distinct vectors: what a bucket holds by chance stays bounded."""
+    return min(24, max(8, round(math.log2(max(n, 2))) - 8))
+
+
+def probes(unit: np.ndarray, threshold: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors with a cosine of exactly ``threshold``, spread as the sample is."""
+    rng = np.random.default_rng(seed)
+    n, d = unit.shape
+    x = unit[rng.integers(0, n, _PROBES)] if n else _unit(rng.standard_normal((_PROBES, d)))
+    away = unit[rng.integers(0, n, _PROBES)] - unit[rng.integers(0, n, _PROBES)] if n > 2 else np.zeros_like(x)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    if (size < 1e-9).any():  # nothing to go by: any direction
+        other = rng.standard_normal(x.shape)
+        other -= (other * x).sum(axis=1, keepdims=True) * x
+        away = np.where(size < 1e-9, other, away)
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+    return x, threshold * x + math.sqrt(1 - threshold**2) * away / np.maximum(size, 1e-300)
+
+
+def learn(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Model:
+    """The code, and the fewest tables that keep ``recall`` of pairs at the threshold."""
+    # Vectors that the rotation was fitted to lie off its planes more than others: pairs are made from a quarter left out.
+    fitted, held = (np.delete(sample, np.s_[::4], axis=0), sample[::4]) if len(sample) >= 16 else (sample, sample)
+    x, y = probes(_unit(held) if len(held) else held, threshold)
+    most = part_bits(n)
+    mean, projection = fit(fitted, MAX_TABLES * most)
+    differ = ((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0)
+    by_tables = (1 + recall) / 2  # of what may be lost, half by tables, and less by distance
+    for bits in range(most, 3, -1):
+        met = np.logical_or.accumulate(~differ[:, : MAX_TABLES * bits].reshape(len(x), MAX_TABLES, bits).any(axis=2), axis=1).mean(axis=0)
+        if met[-1] >= by_tables:
+            break
+    count = int(np.argmax(met >= by_tables)) + 1 if met[-1] >= by_tables else MAX_TABLES
+    width = max(count * bits, _WORD)
+    far = np.count_nonzero(differ[:, : min(width, CHECK_WORDS * _WORD)], axis=1)
+    return Model(mean, projection[:, :width], count, bits, int(np.quantile(far, (3 + recall) / 4)))
 
 
 def fit(sample: np.ndarray, bits: int = 64, iterations: int = ITERATIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +123,7 @@ def fit(sample: np.ndarray, bits: int = 64, iterations: int = ITERATIONS, seed:
     while len(parts) * k < bits:
         r = np.linalg.qr(rng.standard_normal((k, k)))[0]
         if not learned:
-            parts.append(np.linalg.qr(rng.standard_normal((d, d)))[0][:, :k])
+            parts.append(np.linalg.qr(rng.standard_normal((d, k)))[0])
             continue
         for _ in range(iterations):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
@@ -78,74 +132,106 @@ def fit(sample: np.ndarray, bits: int = 64, iterations: int = ITERATIONS, seed:
     return mean, np.hstack(parts)[:, :bits]
 
 
-def codes(unit: np.ndarray, model: tuple[np.ndarray, np.ndarray], bits: int = 8) -> np.ndarray:
-    """Each vector's part of every table, as whole numbers."""
-    ones = (unit - model[0]) @ model[1] >= 0
-    return ones.reshape(len(unit), -1, bits) @ (1 << np.arange(bits, dtype=np.int32))
+def codes(unit: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's part of every table as whole numbers, and its code (``CHECK_WORDS`` at most) as 64-bit words."""
+    ones = model.ones(unit)
+    part = ones[:, : model.count * model.bits].reshape(len(unit), model.count, model.bits) @ (1 << np.arange(model.bits, dtype=np.int64))
+    ones = ones[:, : CHECK_WORDS * _WORD]
+    packed = np.packbits(np.pad(ones, ((0, 0), (0, -ones.shape[1] % _WORD))), axis=1)
+    return part, packed.view(np.int64).reshape(len(unit), -1)
 
 
 def _matrix(lists: pa.Array, d: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(values) + 1) * values.shape[1]).astype(np.int32)), pa.array(values.ravel()))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64, copy=False)
     scaled = x / np.abs(x).max(axis=1, keepdims=True)  # else squares may overflow or vanish
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], models: dict, count: int, bits: int) -> Iterator[pa.RecordBatch]:
-    table = np.arange(count, dtype=np.int64)
+def _postings(batches: Iterator[pa.RecordBatch], models: dict[int, Model]) -> Iterator[pa.RecordBatch]:
+    """``(k, cid, code)``, a row for each table; k: length, table and part."""
     for b in batches:
         sizes = np.asarray(b.column("v").value_lengths())
-        for d in np.unique(sizes):
+        for d in map(int, np.unique(sizes)):
             every = b.filter(pa.array(sizes == d)) if (sizes != d).any() else b
-            if int(d) not in models:
-                models[int(d)] = fit(np.zeros((0, int(d))), count * bits)
+            model = models[d]
             for at in range(0, every.num_rows, 1024):
                 some = every.slice(at, 1024)
-                x = _unit(_matrix(some.column("v"), int(d)))
-                part = codes(x, models[int(d)], bits)
-                key = (int(d) << 40) | (table << 32) | part
-                n = len(part)
-                flat = np.repeat(np.arange(n), count)
-                lists = lambda values, width: pa.ListArray.from_arrays(pa.array((np.arange(n * count + 1) * width).astype(np.int32)), pa.array(values[flat].ravel()))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel()), some.column("cid").take(pa.array(flat)), some.column("copies").take(pa.array(flat)), lists(part.astype(np.int32), count), lists(x, int(d))],
-                    names=["k", "cid", "copies", "parts_of", "v"],
-                )
-
-
-def _rank(batches: Iterator[pa.RecordBatch], threshold: float, count: int) -> Iterator[pa.RecordBatch]:
+                part, code = codes(_unit(_matrix(some.column("v"), d)), model)
+                key = (d << 40) | (np.arange(model.count) << 32) | part
+                flat = np.repeat(np.arange(len(part)), model.count)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), some.column("cid").take(pa.array(flat)), _lists(code[flat])], names=["k", "cid", "code"])
+
+
+def _spread(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least label reached over the links (i, j)."""
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], reach: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Stars ``(a, b)`` that join the entries of a bucket whose codes are within reach."""
+    for t, starts in C.whole_groups(batches, ["k", "lo", "hi"]):
+        key, cid = t.column("k").to_numpy(), t.column("cid").to_numpy()
+        code = t.column("code").combine_chunks()
+        a, b = [], []
+        for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
+            if e - s < 2:
+                continue
+            d = int(key[s]) >> 40
+            words = np.ascontiguousarray(_matrix(code.slice(s, e - s), len(code[int(s)])).T).view(np.uint64)  # of signed ones the absolute value's bits would count
+            label, m = np.arange(e - s), int(e - s)
+            step = max(1, _PAIRS // m)
+            for at in range(0, m, step):
+                far = np.zeros((min(step, m - at), m), np.uint16)
+                for w in words:
+                    far += np.bitwise_count(w[at : at + step, None] ^ w[None, :])
+                i, j = np.nonzero(far <= reach[d])
+                label = _spread(label, i + at, j)
+            hit = np.flatnonzero(label != np.arange(m))
+            a.append(cid[s:e][hit])
+            b.append(cid[s:e][label[hit]])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def _rank(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """``(cid, links, root)`` of each group's block: exact links, counted with copies, and a star of them."""
     for t, starts in C.whole_groups(batches, ["k", "lo", "hi"]):
-        key, lo, hi, part, cid, copies = (t.column(c).to_numpy() for c in ("k", "lo", "hi", "part", "cid", "copies"))
-        own_parts = _matrix(t.column("parts_of").combine_chunks(), count)
+        lo, hi, part, cid, copies = (t.column(c).to_numpy() for c in ("lo", "hi", "part", "cid", "copies"))
         vectors = t.column("v").combine_chunks()
+        sizes = np.asarray(vectors.value_lengths())
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
             if e - s < 2:
                 continue
-            x = _matrix(vectors.slice(s, e - s), int(key[s]) >> 40)
-            table = int(key[s]) >> 32 & 255
-            c, p, n = own_parts[s:e], part[s:e], copies[s:e]
-            links, label = np.zeros(e - s, np.int64), np.arange(e - s)
-            step = max(1, _PAIRS // int(e - s))
-            for at in range(0, e - s, step):
+            x = _unit(_matrix(vectors.slice(s, e - s), int(sizes[s])))
+            p, n, m = part[s:e], copies[s:e], int(e - s)
+            links, label = np.zeros(m, np.int64), np.arange(m)
+            step = max(1, _PAIRS // m)
+            for at in range(0, m, step):
                 i, j = np.nonzero(x[at : at + step] @ x.T >= threshold)
                 i += at
                 right = i < j if lo[s] == hi[s] else (p[i] == lo[s]) & (p[j] == hi[s])
                 i, j = i[right], j[right]
-                while len(i):  # the least label spreads within this strip
-                    low = np.minimum(label[i], label[j])
-                    before = label.copy()
-                    np.minimum.at(label, i, low)
-                    np.minimum.at(label, j, low)
-                    label = label[label]
-                    if (label == before).all():
-                        break
-                new = ~(c[i, :table] == c[j, :table]).any(axis=1)
-                np.add.at(links, i[new], n[j[new]])
-                np.add.at(links, j[new], n[i[new]])
-            hit = (links > 0) | (label != np.arange(e - s))
+                label = _spread(label, i, j)
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+            hit = links > 0
             if hit.any():
                 own = cid[s:e]
                 out.append((own[hit], links[hit], own[label[hit]]))
@@ -164,29 +250,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 
     Vectors of different lengths do not link. Equal rows link with each other.
     Rows with a null id link like others; a component of such rows alone has a
-    null id, and its rows are kept. Unusable vectors have no links.
+    null id, and its rows are kept. Unusable vectors (null, empty, zero, null or
+    non-finite components) have no links. A cosine of exactly the threshold
+    links; of ties in a component the least id names it. An empty table gives
+    no rows, and columns other than the two named are not read. A vector's
+    length is not bounded; what tasks hold grows with it.
     """
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     ok = usable(F.col("v"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("v", F.when(ok, F.col("v")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).withColumn("v", F.when(ok, F.col("v")))
+    rows = rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    # Equal vectors are known by 128 bits of hash, so that only classes carry theirs.
     classes = C.durable(
-        rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id")).withColumn("cid", F.monotonically_increasing_id())
+        rows.where("v is not null").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"), F.first("v").alias("v")).withColumn("cid", F.monotonically_increasing_id())
     )
-    chosen = classes.select(F.xxhash64("v").alias("h"), "v").orderBy("h", "v").limit(sample).collect()
-    by_size: dict[int, list] = {}
-    for r in chosen:
-        by_size.setdefault(len(r.v), []).append(r.v)
-    count, bits = tables(classes.count(), threshold)
-    models = {d: fit(np.array(x), count * bits) for d, x in by_size.items()}
-    posted = classes.select("cid", "copies", "v").mapInArrow(lambda it: C.lean(_postings(it, models, count, bits)), "k long, cid long, copies long, parts_of array<int>, v array<double>")
-    met = C.blocked(posted, F.col("cid"), BLOCK).select("k", "lo", "hi", "part", "cid", "copies", "parts_of", "v")
-    ranked = C.durable(met.mapInArrow(lambda it: C.lean(_rank(it, threshold, count)), "cid long, links long, root long"))
+    by_size = {r.d: r.n for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    chosen: dict[int, list] = {d: [] for d in by_size}
+    for r in classes.select("h1", "h2", "v").orderBy("h1", "h2").limit(sample).collect():
+        chosen[len(r.v)].append(r.v)
+    models = {d: learn(np.array(x, np.float64).reshape(-1, d), by_size[d], threshold) for d, x in chosen.items()}
+    posted = classes.select("cid", "v").mapInArrow(lambda it: C.lean(_postings(it, models)), "k long, cid long, code array<long>")
+    reach = {d: m.reach for d, m in models.items()}
+    near = C.blocked(posted, F.col("cid"), BLOCK).select("k", "lo", "hi", "cid", "code").mapInArrow(lambda it: C.lean(_candidates(it, reach)), "a long, b long")
+    groups = C.components(near).select(F.col("node").alias("cid"), F.col("root").alias("k"))
+    members = classes.join(groups, "cid").select("k", "cid", "copies", "v")
+    met = C.blocked(members, F.col("cid"), BLOCK).select("k", "lo", "hi", "part", "cid", "copies", "v")
+    ranked = C.durable(met.mapInArrow(lambda it: C.lean(_rank(it, threshold)), "cid long, links long, root long"))
     counted = ranked.groupBy("cid").agg(F.sum("links").alias("links"))
     rooted = C.components(ranked.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
-    full = classes.join(counted, "cid", "left").join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    full = classes.drop("v").join(counted, "cid", "left").join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = full.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.select(C.apart(F.col("root")).alias("k"), "component_id")
-    done = full.withColumn("k", C.apart(F.col("root"))).join(named, "k").select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    joined = rows.where("v is not null").join(done, F.col("v") == F.col("w")).select("vec_id", "n_links", "component_id")
+    done = full.withColumn("k", C.apart(F.col("root"))).join(named, "k").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    own = rows.where("v is not null").select("vec_id", "h1", "h2")
+    joined = own.join(done, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

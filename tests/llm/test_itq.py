@@ -47,29 +47,60 @@ def test_recall_against_all_pairs_and_no_false_link(spark, planted):
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
 
 
-def test_parts_grow_with_the_vectors_and_tables_with_the_parts():
-    assert itq.tables(0) == itq.tables(1000) == itq.tables(48_000) == (8, 8)
-    assert itq.tables(10**8) == (50, 19) and itq.tables(10**12)[1] == 24
+def test_parts_grow_with_the_vectors():
+    assert itq.part_bits(0) == itq.part_bits(48_000) == 8
+    assert itq.part_bits(10**8) == 19 and itq.part_bits(10**12) == 24
 
 
-@pytest.mark.parametrize("n", [48_000, 10**6])
-@pytest.mark.parametrize(("cosine", "least"), [(0.9, 0.9), (0.92, 0.93), (0.95, 0.97), (0.98, 0.99)])
-def test_recall_of_the_tables_by_cosine(planted, cosine, least, n):
-    count, bits = itq.tables(n)
-    rng = np.random.default_rng(3)
-    model = itq.fit(planted[:900], count * bits)
-    x = rng.standard_normal((3000, DIM))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal((3000, DIM))
-    z -= (z * x).sum(1, keepdims=True) * x
-    y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    assert (itq.codes(x, model, bits) == itq.codes(y, model, bits)).any(axis=1).mean() >= least
+def leaning(n, d, average, seed=11):
+    """Unit vectors whose cosines with each other average ``average``."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, d))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    common = np.zeros(d)
+    common[0] = 1
+    v = np.sqrt(1 - average) * v + np.sqrt(average) * common
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def partners(v, cosine, common, seed=12):
+    """For each vector another at the cosine that leans as all do."""
+    rng = np.random.default_rng(seed)
+    z = rng.standard_normal(v.shape)
+    z[:, 0] = 0 if common else z[:, 0]
+    z -= (z * v).sum(1, keepdims=True) * v
+    return cosine * v + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("average", [0.0, 0.4, 0.7])
+@pytest.mark.parametrize("d", [64, 384])
+def test_recall_where_vectors_share_a_direction(spark, average, d):
+    v = leaning(1500 if d == 64 else 900, d, average)
+    near = np.vstack([partners(v[:400], c, average > 0, seed=s) for s, c in enumerate((0.9005, 0.92, 0.95))])
+    every = np.vstack([v, near])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(df).collect()}
+    linked = exact(every)
+    n = np.array([got[i] for i in range(len(every))])
+    assert (n <= linked.sum(1)).all() and n.sum() >= 0.93 * linked.sum()
+
+
+@pytest.mark.parametrize("n", [48_000, 10**6, 10**8])
+@pytest.mark.parametrize("average", [0.0, 0.4])
+def test_tables_and_distance_keep_pairs_at_the_threshold(n, average):
+    v = leaning(4000, DIM, average)
+    model = itq.learn(v[:2000], n)
+    y = partners(v[2000:], 0.9, average > 0)
+    (part, code), (other, far) = itq.codes(v[2000:], model), itq.codes(y, model)
+    close = np.bitwise_count((code ^ far).view(np.uint64)).sum(axis=1) <= model.reach
+    assert ((part == other).any(axis=1) & close).mean() >= 0.9
 
 
 def test_codes_are_balanced(planted):
     unit = planted[:900] / np.linalg.norm(planted[:900], axis=1, keepdims=True)
-    ones = itq.codes(unit, itq.fit(planted[:900], 96), 1).mean(0)
-    assert len(ones) == 96
+    mean, projection = itq.fit(planted[:900], 96)
+    ones = ((unit - mean) @ projection >= 0).mean(0)
+    assert len(ones) >= 96
     assert ((ones > 0.35) & (ones < 0.65)).all()
 
 
@@ -86,3 +117,12 @@ def test_unusable_vectors_and_other_trouble(spark):
     want = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 8, 10, 11)] + [(6, 3, 6, True)] * 2 + [(7, 3, 6, False), (None, 3, 6, False)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_other_columns_and_floats(spark, planted):
+    rows = [(i, x.astype(np.float32).tolist(), i) for i, x in enumerate(planted[1200:1300])]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    busy = plain.selectExpr("*", "1 as v", "2 as k", "'x' as cid", "3 as h1", "4 as copies", "5 as component_id", "6 as n_links")
+    assert sorted(itq.near_duplicates(busy).collect()) == sorted(itq.near_duplicates(plain).collect())
+    single = np.array([x.astype(np.float32) for x in planted[1200:1300]], np.float64)
+    assert {r.vec_id: r.n_links for r in itq.near_duplicates(plain).collect()} == dict(enumerate(exact(single).sum(1).tolist()))
