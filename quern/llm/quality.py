@@ -4,7 +4,8 @@ Every text is reduced to a row of counts by built-in functions. On labelled
 rows, rules are learned one after the other: a rule grows by the threshold
 condition with the best information gain on two thirds of the rows, is pruned
 back on the other third, and is kept if it is precise there; rows that it
-covers then leave. Each step is one aggregation into (feature, bin) counts, so
+covers then leave. A rule that is not precise there is given up: its first
+condition opens no rule any more, and the next best one is tried. Each step is one aggregation into (feature, bin) counts, so
 what reaches the driver is bounded by features x bins and all labelled rows
 take part. The result is an ordered conditional expression that Spark
 evaluates like any other column. No Python runs on the executors.
@@ -24,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 BINS = 32
 BASE_MIN_WORDS = 50
 BASE_MAX_REPEAT = 50  # per cent
+#: Labelled texts from which the pipeline's stage learns, at most, chosen by a hash of their id.
+LABELLED = 50_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits")
 
 
@@ -133,13 +136,15 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
 
 
 def learn(
-    labelled: DataFrame, *, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.95, min_support: int = 5, grown: float = 0.98
+    labelled: DataFrame, *, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.95, min_support: int = 5, grown: float = 0.98, max_failures: int = 8
 ) -> list[Rule]:
     """Rules for ``bad`` rows from ``labelled(bad boolean, part 0/1/2, one column a feature)``.
 
     min_precision is what a rule must reach on the rows held out for pruning,
-    and min_support the bad rows that it must cover there. Without rows of
-    both kinds there are no rules.
+    and min_support the bad rows that it must cover there. Of conditions of
+    equal gain the first counts, by feature in the order of the columns, then
+    by threshold, at most before above. ``max_failures`` rules may be given up.
+    Without rows of both kinds there are no rules.
     """
     names = [c for c in labelled.columns if c not in ("bad", "part")]
     at = [i / BINS for i in range(1, BINS)]
@@ -157,7 +162,8 @@ def learn(
     total = lambda df: (df.agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("n")).first())
     rules: list[Rule] = []
     rest = cells
-    while len(rules) < max_rules:
+    given_up: set[Condition] = set()
+    while len(rules) < max_rules and len(given_up) <= max_failures:
         rule: Rule = ()
         grow = rest.where("grow")
         p0, n0 = (x or 0 for x in total(grow))
@@ -174,7 +180,7 @@ def learn(
                 for i, cut in enumerate(cuts[n]):
                     p, q = p + by.get(i, (0, 0))[0], q + by.get(i, (0, 0))[1]
                     for above, pp, qq in ((False, p, q), (True, p0 - p, n0 - q)):
-                        if (pp, qq) != (p0, n0) and (g := _gain(pp, qq, p0, n0)) > best:
+                        if (pp, qq) != (p0, n0) and (g := _gain(pp, qq, p0, n0)) > best and (rule or Condition(n, above, cut) not in given_up):
                             best, found = g, (Condition(n, above, cut), pp, qq)
             if found is None:
                 break
@@ -188,7 +194,8 @@ def learn(
         k = max(worth, key=lambda k: ((worth[k][0] - worth[k][1]) / max(1, sum(worth[k])), -k))
         p, n = worth[k]
         if p < min_support or p < min_precision * (p + n):
-            break
+            given_up.add(rule[0])
+            continue
         rules.append(rule[:k])
         rest = rest.where(~_all(index(rule[:k]), binned))
     return rules
@@ -213,8 +220,10 @@ def learn_from(counted: DataFrame, labels: DataFrame) -> list[Rule]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: counts and verdicts for every document.
 
-    Null text counts as empty (0 words, so base_failed). Rows with a null or
-    repeated id are judged like any other and stay rows of their own.
+    Null text counts as empty (0 words, so base_failed), and so does an empty
+    one. Rows with a null or repeated id are judged like any other and stay rows
+    of their own. Very long texts count whole. Without documents there are no
+    rows; without labels no rules, and the base decides alone.
     """
     counted = C.durable(stats(C.table(spark, sf_dir, "documents")))
     rules = learn_from(counted, C.table(spark, sf_dir, "labels"))
@@ -228,10 +237,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the base rules or the learned list reject go.
 
-    The list is learned from the labels of sf_dir; the verdict is then part of
-    the scan of docs, without a join.
+    The list is learned from ``LABELLED`` of the labels of sf_dir at most, so
+    only their texts are counted for it; the verdict is then part of the scan
+    of docs, without a join. Rows with a null or repeated id are judged like
+    any other; null text counts as empty and is rejected.
     """
-    rules = learn_from(C.durable(stats(docs)), C.table(spark, sf_dir, "labels"))
+    labels = C.table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null")
+    few = C.durable(labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)).select(F.col("doc_id").alias("__id"))
+    known = docs.join(F.broadcast(few), docs["doc_id"] == F.col("__id"), "left_semi")
+    rules = learn_from(C.durable(stats(known)), labels)
     # One expression, so that the counts of a text are made once however often the verdict refers to them.
     good = C.let(counts(F.col("text")), lambda c: ~base_failed(c) & (rejected(rules, features(c)) == 0))
     return docs.where(good)
