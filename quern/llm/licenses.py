@@ -1,17 +1,20 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A text is reduced to lower-case words with single spaces. Every rule is a
-regular expression over words that begins with its keyword; only texts that
-hold some keyword are looked at, and a rule is tried only where its keyword
-stands, on a window of the words that follow. Of the detections the one of
-highest priority counts at each place, and one that lies within another is
-suppressed unless it has the higher priority. All of it is built-in
+A text is reduced to lower-case words with single spaces. A rule is a pattern
+of words, written by hand, with the words that must stand before it where its
+own words would say too little (a bare ``EPL 2.0`` is also a score). Each rule
+has gate words, its rarest: only texts that hold some gate word are looked at.
+In those a rule is tried where its key word stands, on a window of words to
+both sides. Of the detections that begin at one word the best counts (highest
+priority, then longest, then by label), and one that lies within another, or
+around it, is suppressed if the other is better. All of it is built-in
 expressions over one row: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,139 +33,248 @@ BASE = {
     "mit license": "mit",
 }
 
-# Named licenses: label, the name in words (a regular expression), short names, versions.
+# Words that say little: a rule is not looked up by them if it has another one.
+COMMON = frozenset(
+    "a above all and any are as be but by can code copies copy document documentation file for forms free from general granted held his if in including is it its license licence licensed licenced made "
+    "may mit modified modify must name names new nor not notice of on open or original old permission permitted person program provided public purpose released software source terms text that the their "
+    "this to use under university version versions with without work you".split()
+)
+
+# Named licenses: label, name, short name, versions, and whether the short name with a version needs more around it.
 _NAMED = (
-    ("gpl", "gnu general public licen[cs]e", "gpl", ("1", "2", "3")),
-    ("lgpl", "gnu (?:lesser|library) general public licen[cs]e", "lgpl", ("2", "2 1", "3")),
-    ("agpl", "gnu affero general public licen[cs]e", "agpl", ("1", "3")),
-    ("gfdl", "gnu free documentation licen[cs]e", "gfdl", ("1 1", "1 2", "1 3")),
-    ("apache", "apache (?:software )?licen[cs]e", "apache", ("1 0", "1 1", "2 0")),
-    ("mpl", "mozilla public licen[cs]e", "mpl", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse public licen[cs]e", "epl", ("1 0", "2 0")),
-    ("cddl", "common development and distribution licen[cs]e", "cddl", ("1 0", "1 1")),
-    ("eupl", "european union public licen[cs]e", "eupl", ("1 0", "1 1", "1 2")),
-    ("artistic", "artistic licen[cs]e", "artistic", ("1 0", "2 0")),
-    ("bsl", "boost software licen[cs]e", "bsl", ("1 0",)),
-    ("afl", "academic free licen[cs]e", "afl", ("2 1", "3 0")),
-    ("osl", "open software licen[cs]e", "osl", ("1 0", "2 1", "3 0")),
-    ("apsl", "apple public source licen[cs]e", "apsl", ("1 0", "2 0")),
-    ("ofl", "sil open font licen[cs]e", "ofl", ("1 0", "1 1")),
-    ("ecl", "educational community licen[cs]e", "ecl", ("1 0", "2 0")),
-    ("ms-pl", "microsoft public licen[cs]e", "mspl", ("1 0",)),
-    ("zpl", "zope public licen[cs]e", "zpl", ("1 1", "2 0", "2 1")),
-    ("lppl", "latex project public licen[cs]e", "lppl", ("1 0", "1 2", "1 3")),
-    ("upl", "universal permissive licen[cs]e", "upl", ("1 0",)),
-    ("sspl", "server side public licen[cs]e", "sspl", ("1",)),
-    ("busl", "business source licen[cs]e", "busl", ("1 1",)),
-    ("odbl", "open (?:data commons )?(?:open )?database licen[cs]e", "odbl", ("1 0",)),
-    ("psf", "python software foundation licen[cs]e", "psf", ("2",)),
-    ("wtfpl", "do what the fuck you want to public licen[cs]e", "wtfpl", ("1", "2")),
-    ("mit", "mit licen[cs]e", "mit", ()),
-    ("isc", "isc licen[cs]e", "isc", ()),
-    ("zlib", "zlib licen[cs]e", "zlib", ()),
-    ("ncsa", "university of illinois ncsa open source licen[cs]e", "ncsa", ()),
-    ("unlicense", "unlicense", "unlicense", ()),
-    ("bsd-2-clause", "(?:2 clause|two clause|simplified|freebsd) bsd licen[cs]e", "bsd 2 clause", ()),
-    ("bsd-3-clause", "(?:3 clause|three clause|modified|revised|new) bsd licen[cs]e", "bsd 3 clause", ()),
-    ("bsd-4-clause", "(?:4 clause|four clause|original|old) bsd licen[cs]e", "bsd 4 clause", ()),
-    ("bsd", "bsd (?:style )?licen[cs]e", "bsd", ()),
+    ("gpl", "gnu general public license|licence", "gpl", ("1", "2", "3"), False),
+    ("lgpl", "gnu lesser|library general public license|licence", "lgpl", ("2", "2 1", "3"), False),
+    ("agpl", "gnu affero general public license|licence", "agpl", ("1", "3"), False),
+    ("gfdl", "gnu free documentation license|licence", "gfdl", ("1 1", "1 2", "1 3"), False),
+    ("apache", "apache [software] license|licence", "apache", ("1 0", "1 1", "2 0"), True),
+    ("mpl", "mozilla public license|licence", "mpl", ("1 0", "1 1", "2 0"), True),
+    ("epl", "eclipse public license|licence", "epl", ("1 0", "2 0"), True),
+    ("cddl", "common development and distribution license|licence", "cddl", ("1 0", "1 1"), False),
+    ("eupl", "european union public license|licence", "eupl", ("1 0", "1 1", "1 2"), False),
+    ("artistic", "artistic license|licence", "artistic", ("1 0", "2 0"), True),
+    ("bsl", "boost software license|licence", "bsl", ("1 0",), True),
+    ("afl", "academic free license|licence", "afl", ("2 1", "3 0"), True),
+    ("osl", "open software license|licence", "osl", ("1 0", "2 1", "3 0"), True),
+    ("apsl", "apple public source license|licence", "apsl", ("1 0", "2 0"), True),
+    ("ofl", "sil open font license|licence", "ofl", ("1 0", "1 1"), True),
+    ("ecl", "educational community license|licence", "ecl", ("1 0", "2 0"), True),
+    ("ms-pl", "microsoft public license|licence", "mspl", ("1 0",), True),
+    ("zpl", "zope public license|licence", "zpl", ("1 1", "2 0", "2 1"), True),
+    ("lppl", "latex project public license|licence", "lppl", ("1 0", "1 2", "1 3"), False),
+    ("upl", "universal permissive license|licence", "upl", ("1 0",), True),
+    ("sspl", "server side public license|licence", "sspl", ("1",), False),
+    ("busl", "business source license|licence", "busl", ("1 1",), True),
+    ("odbl", "open [data] [commons] [open] database license|licence", "odbl", ("1 0",), False),
+    ("psf", "python software foundation license|licence", "psf", ("2",), True),
+    ("wtfpl", "do what the fuck you want to public license|licence", "wtfpl", ("1", "2"), False),
+    ("mit", "mit|expat license|licence", "mit", (), True),
+    ("isc", "isc license|licence", "isc", (), True),
+    ("zlib", "zlib license|licence", "zlib", (), True),
+    ("ncsa", "university of illinois ncsa open source license|licence", "ncsa", (), True),
+    ("unlicense", "unlicense", "unlicense", (), True),
+    ("bsd-2-clause", "2|two clause bsd license|licence", "bsd 2 clause", (), True),
+    ("bsd-2-clause", "simplified|freebsd bsd license|licence", "freebsd", (), True),
+    ("bsd-3-clause", "3|three clause bsd license|licence", "bsd 3 clause", (), True),
+    ("bsd-3-clause", "modified|revised|new bsd license|licence", "new bsd", (), True),
+    ("bsd-4-clause", "4|four clause bsd license|licence", "bsd 4 clause", (), True),
+    ("bsd-4-clause", "original|old bsd license|licence", "original bsd", (), True),
+    ("bsd", "bsd [style] license|licence", "bsd", (), True),
 )
 
-# Notices known by their wording: label and the words that open them.
+# Notices known by their wording: label, priority and words.
 _WORDED = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications"),
-    ("gpl", "this program is free software you can redistribute it and or modify it"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it"),
-    ("gnu-text", "everyone is permitted to copy and distribute verbatim copies of this license document"),
-    ("gnu-all-permissive", "copying and distribution of this file with or without modification are permitted in any medium"),
-    ("public-domain", "released (?:in|into|to) the public domain"),
-    ("public-domain", "dedicated to the public domain"),
-    ("public-domain", "this work is in the public domain"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("bsd", "neither the name of (?:\\S+ ){1,12}nor the names of its contributors"),
-    ("proprietary", "all rights reserved"),
-    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
-    ("proprietary", "confidential and proprietary"),
+    ("mit", 70, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 65, "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", 55, "the software is provided as is without warranty of any kind express or implied"),
+    ("bsl-1.0", 75, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", 70, "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", 68, "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("bsd", 70, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 66, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 66, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", 62, "this software is provided by the copyright holders and contributors as is"),
+    ("bsd", 62, "this software is provided by the author|regents <3> as is and any express or implied warranties"),
+    ("bsd-3-clause", 72, "neither the name of <12> nor the names of its|his|her|their contributors"),
+    ("bsd-4-clause", 72, "all advertising materials mentioning features or use of this software must display"),
+    ("unlicense", 75, "this is free and unencumbered software released into the public domain"),
+    ("unlicense", 70, "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", 70, "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("zlib", 66, "altered source versions must be plainly marked as such"),
+    ("zlib", 60, "this software is provided as is without any express or implied warranty"),
+    ("gpl", 70, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 64, "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", 64, "you should have received a copy of the gnu general public license"),
+    ("lgpl", 70, "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser|library general public license"),
+    ("lgpl", 64, "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", 64, "you should have received a copy of the gnu lesser|library general public license"),
+    ("agpl", 64, "you should have received a copy of the gnu affero general public license"),
+    ("gnu-or-later", 60, "either version <2> of the license or at your option any later version"),
+    ("gnu-text", 60, "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gnu-all-permissive", 70, "copying and distribution of this file with or without modification are permitted in any medium"),
+    ("wtfpl", 75, "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("apache", 70, "you may not use this file except in compliance with the license"),
+    ("apache", 66, "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache", 66, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("mpl-2.0", 85, "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", 75, "if a copy of the mpl was not distributed with this file"),
+    ("mpl-1.1", 80, "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", 70, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", 70, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("ofl", 70, "this font software is licensed under the sil open font license"),
+    ("psf", 70, "this license agreement is between the python software foundation"),
+    ("cc0-1.0", 70, "has dedicated the work to the public domain by waiving all of his or her rights"),
+    ("cc", 58, "this work is licensed under a creative commons"),
+    ("public-domain", 60, "released in|into|to the public domain"),
+    ("public-domain", 60, "dedicated to the public domain"),
+    ("public-domain", 60, "this work is in the public domain"),
+    ("proprietary", 50, "all rights reserved"),
+    ("proprietary", 50, "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", 50, "confidential and proprietary"),
+)
+
+# Addresses of licenses, as words.
+_ADDRESSES = (
+    ("apache-2.0", "apache org licenses license 2 0"),
+    ("gpl-2", "gnu org licenses gpl 2 0"),
+    ("gpl-2", "gnu org licenses old licenses gpl 2 0"),
+    ("gpl-3", "gnu org licenses gpl 3 0"),
+    ("lgpl-2.1", "gnu org licenses lgpl 2 1"),
+    ("lgpl-3", "gnu org licenses lgpl 3 0"),
+    ("agpl-3", "gnu org licenses agpl 3 0"),
+    ("gfdl", "gnu org licenses fdl"),
+    ("mit", "opensource org licenses mit"),
+    ("bsd-2-clause", "opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", "opensource org licenses bsd 3 clause"),
+    ("isc", "opensource org licenses isc"),
+    ("mpl-2.0", "mozilla org mpl 2 0"),
+    ("mpl-2.0", "mozilla org en us mpl 2 0"),
+    ("epl-2.0", "eclipse org legal epl 2 0"),
+    ("bsl-1.0", "boost org license 1 0"),
+    ("unlicense", "unlicense org"),
+    ("cc0-1.0", "creativecommons org publicdomain zero 1 0"),
 )
 
+_EXCEPTIONS = ("classpath", "autoconf", "bison", "gcc", "llvm", "font", "linux syscall note", "openssl")
 _CC = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
-_CC_NAMES = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:s|atives)"}
+_CC_NAMES = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivs|noderivatives"}
+_CC_SPLIT = {"by": "attribution", "sa": "share alike", "nc": "non commercial", "nd": "no derivs|derivatives"}
 _CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-WINDOW = 24
+WINDOW = 26
+CONTEXT = 24
+_GRANTED = ("licensed", "licenced", "license", "licence", "licensing", "released", "distributed", "available", "published", "provided")
+#: What stands before a short name that is meant as a license.
+_BEFORE = rf"(?:^| )(?:{'|'.join(_GRANTED)})(?: (?:under|is|are))?(?: the)?(?: terms of)?(?: the)?(?: gnu)?$"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``keyword``: the word at which ``pattern``, over single-spaced words, begins."""
+    """``pattern`` over single-spaced words; its word number ``back`` is one of ``keys``.
 
-    keyword: str
+    A text must hold one of ``gates``; ``before``, where not empty, must be
+    found in the words before the match.
+    """
+
+    keys: tuple[str, ...]
+    back: int
     pattern: str
     label: str
     priority: int
+    gates: tuple[str, ...]
+    before: str = ""
+
+
+def _items(words: str) -> list[str]:
+    """The items of a pattern: a word, alternatives of one, ``[words that may be missing]`` or ``<up to n words>``."""
+    return re.findall(r"\[[^\]]*\]|<\d+>|\S+", words)
+
+
+def _regex(words: str) -> str:
+    out = []
+    for k, item in enumerate(_items(words)):
+        gap = " " if k else ""
+        if item.startswith("["):
+            out.append("(?:" + "".join(f"{gap}(?:{w})" for w in item[1:-1].split()) + ")?")
+        elif item.startswith("<"):
+            out.append(rf"(?:{gap}\S+){{0,{item[1:-1]}}}")
+        else:
+            out.append(f"{gap}(?:{item})")
+    return "".join(out)
+
+
+def rule(label: str, priority: int, words: str, before: str = "", gates: tuple[str, ...] = ()) -> Rule:
+    """A rule looked up by its rarest word among those at a fixed place: the longest that is not common, else the longest."""
+    fixed: list[str] = []
+    for item in _items(words):
+        if item[0] in "[<":
+            break
+        fixed.append(item)
+    rare = [k for k, item in enumerate(fixed) if not any(w in COMMON or w.isdigit() for w in item.split("|"))]
+    back = max(rare or range(len(fixed)), key=lambda k: len(fixed[k].split("|")[0]))
+    keys = tuple(fixed[back].split("|"))
+    return Rule(keys, back, f"^{_regex(words)}(?= |$)", label, priority, gates or keys, before)
 
 
 def _dash(label: str, version: str) -> str:
     return f"{label}-{version.replace(' ', '.')}"
 
 
-def _heads(pattern: str) -> list[tuple[str, str]]:
-    """(first word, pattern) for each way in which the pattern can begin."""
-    import itertools
-    import re
-
-    if not pattern.startswith("(?:"):
-        return [(re.match(r"\w+", pattern)[0], pattern)]
-    options, _, rest = pattern[3:].partition(")")
-    return list(itertools.chain.from_iterable(_heads(o + rest) for o in options.split("|")))
+def _number(version: str) -> str:
+    """A version in words; whole numbers may be followed by a nought."""
+    first, *rest = version.split()
+    return f"v{first}|{first} {' '.join(rest)}" if rest else f"v{first}|{first} [0]"
 
 
 def rules() -> tuple[Rule, ...]:
-    """Some hundreds of rules, built from the tables above, highest priority first."""
+    """All rules in order: highest priority first."""
+    later = "[or] [any] [later|only] [version]"
+    spdx = sorted({w for _, _, short, _, _ in _NAMED for w in short.split()} | {"cc", "by", "sa", "nc", "nd", "cc0", "exception", "later", "only", "or", "and", "with", "clause"} | {w for x in _EXCEPTIONS for w in x.split()})
+    joined = rf"(?:^| )spdx license identifier(?: (?:{'|'.join(spdx)}|\d+))* (?:or|and|with)$"
     out: list[Rule] = []
-    add = lambda label, priority, pattern: out.extend(Rule(k, p, label, priority) for k, p in _heads(pattern))
-    later = "(?: or (?:any )?later(?: version)?| only)?"
-    for label, name, short, versions in _NAMED:
-        given = "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
-        add(label, 60, name)
-        add(label, 70, f"{given}{name}")
-        add(label, 65, f"{given}{short}(?: licen[cs]e)?")
-        add(label, 65, f"license {short}")
+
+    def declared(label: str, words: str) -> None:
+        """An identifier after the SPDX tag, alone or as a part of an expression."""
+        out.append(rule(label, 95, f"spdx license identifier {words}"))
+        out.append(rule(label, 94, words, joined, ("spdx",)))
+
+    for label, name, short, versions, vague in _NAMED:
+        out.append(rule(label, 60, name))
+        if short != name:
+            out.append(rule(label, 58, short, _BEFORE, _GRANTED))
+            out.append(rule(label, 58, f"{short} license|licence|licensed"))
         for v in versions:
-            number = f"(?:version |v |ver |v)?{v}(?: 0)?" if " " not in v else f"(?:version |v |ver |v)?{v}"
-            add(_dash(label, v), 80, f"{name} {number}{later}")
-            add(_dash(label, v), 90, f"{given}{name} {number}{later}")
-            add(_dash(label, v), 75, f"{short} {number}{later}")
-            add(_dash(label, v), 75, f"{short}v{v}")
-            add(_dash(label, v), 95, f"spdx license identifier {short} {number}{later}")
+            out.append(rule(_dash(label, v), 80, f"{name} [version|v|ver] {_number(v)} {later}"))
+            numbered = f"{short} [version|v|ver] {_number(v)} {later}"
+            out.append(rule(_dash(label, v), 75, numbered, _BEFORE if vague else "", _GRANTED if vague else ()))
+            if vague:
+                out.append(rule(_dash(label, v), 75, f"{short} [version|v|ver] {_number(v)} license|licence"))
+            out.append(rule(_dash(label, v), 75, f"{short}v{v}"))
+            declared(_dash(label, v), f"{short} {_number(v)} {later}")
         if not versions:
-            add(label, 95, f"spdx license identifier {short}")
+            declared(label, short)
     for kind in _CC:
         label = "cc-" + kind.replace(" ", "-")
-        name = " ".join(_CC_NAMES[x] for x in kind.split())
-        add(label, 60, f"creative commons {name}")
-        add(label, 55, f"cc {kind}")
+        for names in (_CC_NAMES, _CC_SPLIT) if " " in kind else (_CC_NAMES,):
+            name = " ".join(names[x] for x in kind.split())
+            out.append(rule(label, 60, f"creative commons {name}"))
+            out += [rule(_dash(label, v), 80, f"creative commons {name} {v} [international|unported|generic]") for v in _CC_VERSIONS]
+        out.append(rule(label, 55, f"cc {kind}"))
         for v in _CC_VERSIONS:
-            add(_dash(label, v), 80, f"creative commons {name} {v}(?: international| unported| generic)?")
-            add(_dash(label, v), 75, f"cc {kind} {v}")
-            add(_dash(label, v), 85, f"creativecommons org licenses {kind} {v}")
-            add(_dash(label, v), 95, f"spdx license identifier cc {kind} {v}")
-    for pattern in ("cc0(?: 1 0)?(?: universal)?", "cc zero", "creative commons zero", "creativecommons org publicdomain zero 1 0"):
-        add("cc0-1.0", 80, pattern)
-    for label, path in (("apache-2.0", "apache org licenses license 2 0"), ("gpl-3", "gnu org licenses gpl 3 0"), ("lgpl-3", "gnu org licenses lgpl 3 0"), ("agpl-3", "gnu org licenses agpl 3 0"), ("mit", "opensource org licenses mit"), ("bsd-3-clause", "opensource org licenses bsd 3 clause"), ("mpl-2.0", "mozilla org mpl 2 0")):
-        add(label, 85, path)
-    for label, text in _WORDED:
-        add(label, 50 if label == "proprietary" else 70, text)
+            out.append(rule(_dash(label, v), 75, f"cc {kind} {v}"))
+            out.append(rule(_dash(label, v), 85, f"creativecommons org licenses {kind} {v}"))
+            declared(_dash(label, v), f"cc {kind} {v}")
+    for words in ("cc0 [1] [0] [universal]", "cc zero", "creative commons zero"):
+        out.append(rule("cc0-1.0", 80, words))
+    declared("cc0-1.0", "cc0 1 0")
+    for name in _EXCEPTIONS:
+        out.append(rule(name.replace(" ", "-") + "-exception", 93, f"{name} [exception]", joined, ("spdx",)))
+    out += [rule(label, 85, words) for label, words in _ADDRESSES]
+    out += [rule(label, priority, words) for label, priority, words in _WORDED]
     return tuple(sorted(set(out), key=lambda r: (-r.priority, r.label, r.pattern)))
 
 
 RULES = rules()
-KEYWORDS = tuple(sorted({r.keyword for r in RULES}))
+KEYWORDS = tuple(sorted({g for r in RULES for g in r.gates}))
+KEYS = tuple(sorted({k for r in RULES for k in r.keys}))
 
 
 def _count(text: Column, char: str) -> Column:
@@ -170,35 +282,42 @@ def _count(text: Column, char: str) -> Column:
 
 
 def _detections(trimmed: Column) -> Column:
-    """Surviving ``struct(start, n, priority, label)`` of a single-spaced text, by start."""
-    by_keyword: dict[str, list[dict]] = {}
+    """Surviving ``struct(start, priority, n, label)`` of a single-spaced text, by start."""
+    by_key: dict[str, list[dict]] = {}
     for r in RULES:
-        by_keyword.setdefault(r.keyword, []).append({"pattern": f"^(?:{r.pattern})(?= |$)", "label": r.label, "priority": r.priority})
+        for k in r.keys:
+            by_key.setdefault(k, []).append({"pattern": r.pattern, "label": r.label, "priority": r.priority, "back": r.back, "before": r.before})
     # One literal, folded to a map when the plan is optimised.
-    known = F.from_json(F.lit(json.dumps(by_keyword)), "map<string,array<struct<pattern:string,label:string,priority:int>>>")
+    known = F.from_json(F.lit(json.dumps(by_key)), "map<string,array<struct<pattern:string,label:string,priority:int,back:int,before:string>>>")
 
     def at(w: Column, i: Column) -> Column:
-        window = F.array_join(F.slice(w, i + 1, F.lit(WINDOW)), " ")
+        def tried(r: Column) -> Column:
+            start = i - r["back"]
+            window = F.array_join(F.slice(w, start + 1, F.lit(WINDOW)), " ")
+            before = F.array_join(F.slice(w, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))), " ")
+            stands = lambda x: F.when(x.isNotNull() & ((r["before"] == "") | F.rlike(before, r["before"])), F.struct(start.alias("start"), r["priority"].alias("priority"), (_count(x, " ") + 1).alias("n"), r["label"].alias("label")))
+            return F.when(start >= 0, C.let(F.regexp_substr(window, r["pattern"]), stands))
 
-        def best(x: Column) -> Column:
-            hits = F.filter(F.try_element_at(known, F.get(w, i)), lambda r: F.rlike(x, r["pattern"]))
-            return F.array_max(F.transform(hits, lambda r: F.struct(r["priority"].alias("priority"), (_count(F.regexp_substr(x, r["pattern"]), " ") + 1).alias("n"), r["label"].alias("label"), i.alias("start"))))
+        return F.filter(F.transform(F.try_element_at(known, F.get(w, i)), tried), lambda x: x.isNotNull())
 
-        return C.let(window, best)
+    def best(d: Column) -> Column:
+        """The last of those that share a start: they are in order of priority, length and label."""
+        return F.filter(d, lambda x, k: F.coalesce(F.get(d, k + 1)["start"] != x["start"], F.lit(True)))
 
     def kept(d: Column) -> Column:
         end = lambda x: x["start"] + x["n"]
         within = lambda x, y: (x["start"] >= y["start"]) & (end(x) <= end(y))
+        worth = lambda x: F.struct(x["priority"], x["n"], x["label"])
 
         def stays(x: Column, k: Column) -> Column:
             near = F.slice(d, F.greatest(k + 1 - WINDOW, F.lit(1)), F.lit(2 * WINDOW + 1))
-            return ~F.exists(near, lambda y: (y["start"] != x["start"]) & ((within(x, y) & (y["priority"] >= x["priority"])) | (within(y, x) & (y["priority"] > x["priority"]))))
+            return ~F.exists(near, lambda y: (within(x, y) | within(y, x)) & (worth(y) > worth(x)))
 
         return F.filter(d, stays)
 
     def scan(w: Column) -> Column:
-        places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*KEYWORDS), i)), lambda i: i.isNotNull())
-        return C.let(F.filter(F.transform(places, lambda i: at(w, i)), lambda x: x.isNotNull()), kept)
+        places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*KEYS), i)), lambda i: i.isNotNull())
+        return C.let(C.let(F.sort_array(F.flatten(F.transform(places, lambda i: at(w, i)))), best), kept)
 
     return C.let(F.split(trimmed, " "), scan)
 
@@ -206,7 +325,7 @@ def _detections(trimmed: Column) -> Column:
 def scan(text: Column) -> Column:
     """A struct of everything that the scan of one text finds (null: empty)."""
     bare = F.trim(F.regexp_replace(C.ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
-    kind = "array<struct<priority:int,n:int,label:string,start:int>>"
+    kind = "array<struct<start:int,priority:int,n:int,label:string>>"
 
     def found(t: Column) -> Column:
         padded = F.concat(F.lit(" "), t, F.lit(" "))
@@ -241,8 +360,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: licenses of every document.
 
     Null or empty text: no words, no labels (empty strings), score 0. Repeated
-    rows stay. score is the highest priority of what was found, as a share of
-    100; a base phrase counts 60.
+    rows stay, very long texts are scanned whole, and an empty table gives no
+    rows. score is the highest priority of what was found, as a share of 100; a
+    base phrase counts 60.
     """
     got = scan_licenses(C.table(spark, sf_dir, "documents"))
     all_labels = F.array_union(F.col("base"), F.transform("detections", lambda d: d["label"]))
