@@ -13,58 +13,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import Settings
-from quern.functions.columns import prompt_key
+from quern.functions.columns import prompt_key, token_count
 from quern.operators import backends, embedding, metrics, replay, serving
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """Rows that a round has paid for, kept for the next one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 class Engine:
     """Routes requests to pool keys, replays each key's cache in order and answers what it missed."""
 
     def __init__(self, settings: Settings | None = None, embedder: Embedder | None = None, backend: Callable[[DataFrame], DataFrame] = backends.mock):
         self.settings = settings or Settings()
-        self.embedder = embedder or self._embedder()
+        self.embedder = embedder
         self.backend = backend
+        if embedder is None:
+            self._embedder(self.settings.embedding_model)
 
-    def _embedder(self) -> Embedder:
+    def _embedder(self, model: str) -> Embedder:
         s = self.settings
         if s.embedding_provider == "mock":
             return embedding.mock_embedder()
         if s.embedding_provider == "sentence-transformers":
-            return embedding.transformer_embedder(embedding.resolve(s.embedding_model).checkpoint, s.trust_remote_code)
+            return embedding.transformer_embedder(embedding.resolve(model).checkpoint, s.trust_remote_code)
         if s.embedding_provider == "http":
-            return embedding.http_embedder(s.embedding_url, s.embedding_model)
+            return embedding.http_embedder(s.embedding_url, model)
         raise ValueError(f"unknown embedding provider {s.embedding_provider!r}")
 
+    def _vectors(self, rows: DataFrame) -> DataFrame:
+        """``(pool_model, prompt, canonical_name, embedding)``: each distinct prompt by the model of its pool key.
+
+        Each model has an embedder and a prefix of its own; there are at most
+        as many models as the pool has keys.
+        """
+        out = None
+        for r in rows.select("pool_model").distinct().orderBy("pool_model").limit(self.settings.pool_cap).collect():
+            known = embedding.REGISTRY.get(r.pool_model) or embedding.Model(r.pool_model, "")
+            prompts = rows.where(F.col("pool_model") == r.pool_model).select("prompt").distinct()
+            got = embedding.embed(prompts, self.embedder or self._embedder(r.pool_model), known.canonical_name, text="prompt", prefix=known.prefix)
+            got = got.select(F.lit(r.pool_model).alias("pool_model"), "prompt", F.lit(known.canonical_name).alias("canonical_name"), "embedding")
+            out = got if out is None else out.unionByName(got)
+        return out if out is not None else rows.sparkSession.createDataFrame([], "pool_model string, prompt string, canonical_name string, embedding array<double>")
+
+    def _replay(self, keyed: DataFrame, failed: DataFrame | None) -> DataFrame:
+        s = self.settings
+        rows = keyed.select("config", "seq", "key", F.col("embedding").alias("vector"), F.col("pool_threshold").alias("threshold"), "now")
+        if failed is not None:
+            rows = rows.join(failed.select("config", "seq", F.lit(True).alias("failed")), ["config", "seq"], "left")
+        return replay.replay(rows, max_size=s.cache_max_size, ttl=s.cache_ttl_seconds, exact=s.enable_exact_cache, semantic=s.enable_semantic_cache)
+
+    def _within_budget(self, calls: DataFrame) -> DataFrame:
+        """Calls with those beyond their pool key's budget marked as such, at no cost."""
+        s = self.settings
+        cost = serving.token_cost(F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0)), s.input_price_per_mtok, s.output_price_per_mtok)
+        guarded = serving.budget_guard(calls, cost, s.budget_cap_usd, ["seq"], F.floor(F.col("seq") / 1000), by=("config",))
+        beyond = ~F.col("sent")
+        none = {c: F.when(~beyond, F.col(c)) for c in ("answer", "response_model", "input_tokens", "output_tokens")}
+        return guarded.withColumns(none | {"error": F.when(beyond, "budget_exceeded").otherwise(F.col("error"))}).drop("spent_before", "sent")
+
+    def _decide(self, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(decisions, calls with their answers): what fails stores nothing, so the next equal prompt is asked again.
+
+        Rounds of replay and calls: a round asks what no round before has
+        asked, and goes on while some call failed. The deterministic backend
+        never fails and needs one round.
+        """
+        if self.backend is backends.mock:
+            decided = self._replay(keyed, None)
+            return decided, self.backend(keyed.join(decided.where("stored").select("config", "seq"), ["config", "seq"]).select("config", "seq", "prompt"))
+        raw = calls = None
+        while True:
+            failed = None if calls is None else calls.where("error is not null")
+            decided = self._replay(keyed, failed)
+            asked = decided.where(F.col("source") == replay.LLM).select("config", "seq")
+            new = asked if calls is None else asked.join(calls, ["config", "seq"], "left_anti")
+            got = _held(self.backend(keyed.join(new, ["config", "seq"]).select("config", "seq", "prompt")))
+            if calls is not None and got.isEmpty():
+                return decided, calls
+            raw = got if raw is None else raw.unionByName(got)
+            calls = _held(self._within_budget(raw))
+            if calls.where("error is not null").isEmpty():
+                return decided, calls
+
     def serve(self, requests: DataFrame) -> DataFrame:
         """``requests(seq, request_id, prompt[, embedding_model, threshold, requested_model, now, latency_ms])``, decided and answered.
 
-        A request of a key beyond the pool's cap, or whose backend call failed,
-        has an error and no source. Embedding, replay and backend each see a
-        text once.
+        A request that is invalid (no prompt, or a threshold outside [0, 1]),
+        of a key beyond the pool's cap, beyond its key's budget, or whose call
+        failed or was refused has an error, its status and no source; it stores
+        nothing. Calls of a round go out together, so the budget decides which
+        answers count. A prompt is embedded once by each model.
         """
         s = self.settings
         have = set(requests.columns)
         optional = {"embedding_model": "string", "threshold": "double", "requested_model": "string", "now": "double", "latency_ms": "double"}
         full = requests.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in have})
-        admitted = serving.admit(serving.route(full, s.embedding_model, s.similarity_threshold), ["pool_model", "pool_threshold"], s.pool_cap)
+        invalid = F.col("prompt").isNull() | F.coalesce(~F.col("threshold").between(0.0, 1.0), F.lit(False))
+        routed = serving.route(full.where(~invalid), s.embedding_model, s.similarity_threshold)
+        admitted = serving.admit(routed, ["pool_model", "pool_threshold"], s.pool_cap)
         rows = admitted.where("admitted").withColumn("config", F.format_string("%s|%.6f", "pool_model", "pool_threshold"))
-        model = embedding.resolve(s.embedding_model) if s.embedding_model in embedding.REGISTRY else embedding.Model(s.embedding_model, "")
-        vectors = embedding.embed(rows.select("prompt").distinct(), self.embedder, model.canonical_name, text="prompt", prefix=model.prefix).select("prompt", "embedding")
-        keyed = rows.join(vectors, "prompt", "left").withColumn("key", prompt_key(F.col("prompt")))
-        decided = replay.replay(
-            keyed.select("config", "seq", "key", F.col("embedding").alias("vector"), F.col("pool_threshold").alias("threshold"), "now"),
-            max_size=s.cache_max_size, ttl=s.cache_ttl_seconds, exact=s.enable_exact_cache, semantic=s.enable_semantic_cache,
-        )
-        joined = keyed.join(decided, ["config", "seq"])
-        answered = self.backend(joined.where("stored").select("config", F.col("seq").alias("answer_seq"), "prompt")).drop("prompt")
-        source = joined.withColumn("answer_seq", F.coalesce("matched_seq", "seq"))
-        out = source.join(answered, ["config", "answer_seq"], "left")
+        keyed = rows.join(self._vectors(rows), ["pool_model", "prompt"], "left").withColumn("key", prompt_key(F.col("prompt")))
+        decided, calls = self._decide(keyed)
+        joined = keyed.join(decided, ["config", "seq"]).withColumn("answer_seq", F.coalesce("matched_seq", "seq"))
+        answered = calls.select("config", F.col("seq").alias("answer_seq"), "answer", "response_model", "input_tokens", "output_tokens", "error")
+        out = joined.join(answered, ["config", "answer_seq"], "left")
         failed = F.col("error").isNotNull()
-        out = out.withColumn("source", F.when(~failed, F.col("source"))).withColumn("canonical_name", F.lit(model.canonical_name)).withColumn("tokens", F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
+        out = out.withColumn("source", F.when(~failed, F.col("source"))).withColumn("tokens", F.when(~failed, token_count(F.col("answer"))).otherwise(0))
         rejected = admitted.where("not admitted").withColumn("error", F.lit("pool_cap_exceeded"))
-        return out.unionByName(rejected, allowMissingColumns=True).withColumn("status", serving.error_status(F.col("error")))
+        wrong = full.where(invalid).withColumn("error", F.lit("invalid_request"))
+        every = out.unionByName(rejected, allowMissingColumns=True).unionByName(wrong, allowMissingColumns=True)
+        return every.withColumn("status", serving.error_status(F.col("error")))
 
     def responses(self, served: DataFrame) -> DataFrame:
         return serving.responses(served.where("error is null"))

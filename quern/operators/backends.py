@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import time
-import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.columns import mock_answer, token_count
+from quern.functions.columns import mock_answer
+from quern.operators.serving import MOCK_MODEL
 
 ANSWER = "answer string, response_model string, input_tokens int, output_tokens int, error string"
 
@@ -90,7 +90,7 @@ def _ask(ask: Callable[[str], Answer], prompt: str, retries: int, wait: float) -
             return a.text, a.model, a.input_tokens, a.output_tokens, None
         except Refusal as r:
             return None, None, r.input_tokens, r.output_tokens, "provider_refusal"
-        except (OSError, urllib.error.URLError, KeyError, IndexError, ValueError):
+        except (OSError, KeyError, IndexError, ValueError):
             if attempt == retries:
                 return None, None, 0, 0, "provider_error"
             time.sleep(wait * 2**attempt)
@@ -98,8 +98,9 @@ def _ask(ask: Callable[[str], Answer], prompt: str, retries: int, wait: float) -
 
 
 def mock(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """Never fails, and states no usage by input and output."""
     text = mock_answer(F.col(prompt))
-    return requests.withColumns({"answer": text, "response_model": F.lit("mock"), "input_tokens": token_count(F.col(prompt)), "output_tokens": token_count(text), "error": F.lit(None).cast("string")})
+    return requests.withColumns({"answer": text, "response_model": F.lit(MOCK_MODEL), "input_tokens": F.lit(0), "output_tokens": F.lit(0), "error": F.lit(None).cast("string")})
 
 
 def remote(requests: DataFrame, make: Callable[[], Callable[[str], Answer]], prompt: str = "prompt", retries: int = 2, wait: float = 0.5) -> DataFrame:

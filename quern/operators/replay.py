@@ -42,8 +42,8 @@ class Cache:
         best = int(near[np.argmin(d)])  # the first of equals: the least id
         return best, float(d.min())
 
-    def submit(self, seq: int, key: str, vector: np.ndarray | None, threshold: float, now: float | None) -> tuple[str, float | None, int | None, bool]:
-        """(source, similarity, the request that was matched, whether this one was stored)."""
+    def submit(self, seq: int, key: str, vector: np.ndarray | None, threshold: float, now: float | None, failed: bool = False) -> tuple[str, float | None, int | None, bool]:
+        """(source, similarity, the request that was matched, whether this one was stored); a failed call stores nothing."""
         if self.exact and (found := self.store.get(key)):
             if found[1] is not None and now is not None and now > found[1]:
                 del self.store[key]
@@ -53,6 +53,8 @@ class Cache:
             sim = 1.0 / (1.0 + hit[1])
             if not sim < threshold:
                 return SEMANTIC, sim, self.seqs[hit[0]], False
+        if failed:
+            return LLM, None, None, False
         if self.max_size is not None and self.store and len(self.store) >= self.max_size:
             del self.store[next(iter(self.store))]
         self.store[key] = (seq, None if self.ttl is None or now is None else now + self.ttl)
@@ -77,7 +79,7 @@ def _kernel(batches: Iterator[pa.RecordBatch], options: dict, carry: tuple[str,
     for b in batches:
         if not b.num_rows:
             continue
-        configs, seqs, keys, thresholds, nows = (b.column(n).to_pylist() for n in ("config", "seq", "key", "threshold", "now"))
+        configs, seqs, keys, thresholds, nows, failed = (b.column(n).to_pylist() for n in ("config", "seq", "key", "threshold", "now", "failed"))
         vectors = b.column("vector") if "vector" in b.schema.names else None
         out = []
         for i, c in enumerate(configs):
@@ -85,7 +87,7 @@ def _kernel(batches: Iterator[pa.RecordBatch], options: dict, carry: tuple[str,
                 config, cache = c, Cache(**options)
             v = vectors[i].values if vectors is not None else None
             v = None if v is None else v.to_numpy(zero_copy_only=False)
-            out.append(cache.submit(seqs[i], keys[i], v, thresholds[i], nows[i]))
+            out.append(cache.submit(seqs[i], keys[i], v, thresholds[i], nows[i], failed[i]))
         decided = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [b.column("config"), b.column("seq"), *decided, *[b.column(f"carry_{n}") for n in carry]], names=["config", "seq", "source", "similarity", "matched_seq", "stored", *carry]
@@ -96,7 +98,8 @@ def replay(requests: DataFrame, max_size: int | None = None, ttl: float | None =
     """Decisions ``(config, seq, source, similarity, matched_seq, stored, *carry)``.
 
     ``requests``: config, seq (unique within it), prompt or key, and where used
-    vector (array), threshold and now (seconds). Vectors are normalised here.
+    vector (array), threshold, now (seconds) and failed (whether a call for the
+    request would fail: it then stores nothing). Vectors are normalised here.
     Columns named in ``carry`` pass through, so a result need not be joined.
     """
     has = set(requests.columns)
@@ -107,6 +110,7 @@ def replay(requests: DataFrame, max_size: int | None = None, ttl: float | None =
         *([normalised(F.col("vector")).alias("vector")] if "vector" in has else []),
         (F.col("threshold").cast("double") if "threshold" in has else F.lit(None).cast("double")).alias("threshold"),
         (F.col("now").cast("double") if "now" in has else F.lit(None).cast("double")).alias("now"),
+        (F.coalesce(F.col("failed"), F.lit(False)) if "failed" in has else F.lit(False)).alias("failed"),
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     )
     options = {"max_size": max_size, "ttl": ttl, "exact": exact, "semantic": semantic and "vector" in has}

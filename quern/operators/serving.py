@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions.columns import mock_answer, token_count
 
 POOL_CAP = 8
+#: Fixed value: the name under which the deterministic backend answers.
+MOCK_MODEL = "mock-v1"
 # Error names and their status.
 ERRORS = {
     "pool_cap_exceeded": 400,
@@ -29,9 +31,9 @@ def last_prompts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", te
 
 
 def backend(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """The deterministic backend: an answer and its token usage."""
+    """The deterministic backend: an answer and its token usage, which is the words of the answer."""
     answered = requests.withColumn("answer", mock_answer(F.col(prompt)))
-    return answered.withColumn("input_tokens", token_count(F.col(prompt))).withColumn("output_tokens", token_count(F.col("answer"))).withColumn("token_usage", F.col("input_tokens") + F.col("output_tokens"))
+    return answered.withColumn("input_tokens", token_count(F.col(prompt))).withColumn("output_tokens", token_count(F.col("answer"))).withColumn("token_usage", F.col("output_tokens")).withColumn("response_model", F.lit(MOCK_MODEL))
 
 
 def route(requests: DataFrame, model: str, threshold: float) -> DataFrame:
@@ -67,12 +69,13 @@ def running_sum(rows: DataFrame, value: Column, order: list[str], bin: Column, b
     return binned.withColumn("_inside", inside).join(sums, [*by, "_bin"]).withColumn(name, F.col("_base") + F.col("_inside")).drop("_bin", "_v", "_base", "_inside")
 
 
-def budget_guard(requests: DataFrame, cost: Column, cap: float, order: list[str], bin: Column) -> DataFrame:
+def budget_guard(requests: DataFrame, cost: Column, cap: float, order: list[str], bin: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Requests with ``spent_before`` and ``sent``: whether the sum of costs before them is below the cap.
 
-    Costs are not negative, so once the cap is reached it stays reached.
+    Costs are not negative, so once the cap is reached it stays reached. With
+    ``by`` every key has a budget of its own.
     """
-    return running_sum(requests, cost, order, bin, name="spent_before").withColumn("sent", F.col("spent_before") < cap)
+    return running_sum(requests, cost, order, bin, by, name="spent_before").withColumn("sent", F.col("spent_before") < cap)
 
 
 def token_cost(input_tokens: Column, output_tokens: Column, input_price: float, output_price: float) -> Column:

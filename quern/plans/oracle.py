@@ -195,9 +195,9 @@ SELECT (SELECT count(*) FROM pairs) AS total_pairs, (SELECT count(author_label)
     "dataset_roundtrip_json": f"""{_DATASET} SELECT * EXCLUDE (pair_no) FROM dataset""",
     "last_message_prompt": """SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS prompt FROM conversations GROUP BY conv_id""",
     "request_validation": """SELECT conv_id, CASE WHEN count(*) FILTER (role <> 'system') = 0 THEN 'messages' WHEN count(*) FILTER (role = 'system') > 0 THEN 'threshold' END AS problem, length(arg_max(text, turn) FILTER (role <> 'system')) AS prompt_chars FROM conversations GROUP BY conv_id""",
-    "mock_backend_response": """WITH a AS (SELECT conv_id, turn, text, 'Computed response for: ' || reverse(text) AS answer FROM conversations),
-t AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS input_tokens, len(list_filter(regexp_split_to_array(answer, '\\s+'), lambda w: w <> '')) AS output_tokens FROM a)
-SELECT conv_id, turn, answer, input_tokens, output_tokens, input_tokens + output_tokens AS token_usage, substr(text, 1, 30) AS shown FROM t""",
+    # Usage is the number of words of the answer alone.
+    "mock_backend_response": """WITH a AS (SELECT conv_id, turn, text, 'Computed response for: ' || reverse(text) AS answer FROM conversations)
+SELECT conv_id, turn, answer, len(list_filter(regexp_split_to_array(answer, '\\s+'), lambda w: w <> '')) AS token_usage, 'mock-v1' AS response_model, substr(text, 1, 30) AS shown FROM a""",
     "metrics_snapshot": f"""WITH {_TRAFFIC} SELECT event_type, {_COUNTERS}, round(avg(latency_ms), 4) AS avg_latency_ms, round(100.0 * count(*) FILTER (source <> 'llm') / count(*), 4) AS hit_rate_pct FROM done GROUP BY event_type""",
     "cache_stats_rollup": f"""WITH {_TRAFFIC} SELECT event_type, threshold, CAST(grouping(event_type) AS INTEGER) AS all_event_type, CAST(grouping(threshold) AS INTEGER) AS all_threshold, {_COUNTERS}, round(avg(latency_ms), 4) AS avg_latency_ms,
   round(count(*) FILTER (source <> 'llm') / count(*), 4) AS hit_rate FROM done GROUP BY ROLLUP (event_type, threshold)""",

@@ -21,6 +21,17 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
+def _strict_metadata(rows: DataFrame, path: str, offset: int = 2, unit: str = "") -> None:
+    """An error that names the first row whose metadata is no JSON object; empty counts as none."""
+    text = F.col("metadata")
+    kept = F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})
+    wrong = text.isNotNull() & (text != "") & (kept.isNull() | F.try_parse_json(text).isNull() | ~text.rlike(r"^\s*\{"))
+    bad = rows.where(wrong).orderBy("seq").select("seq").limit(1).collect()
+    if bad:
+        n = bad[0].seq + offset
+        raise DatasetError(f"{path}:{f'{unit}[{n}]' if unit else n}: invalid metadata")
+
+
 def _typed(rows: DataFrame) -> DataFrame:
     number = lambda c: F.expr(f"try_cast({c} as int)").alias(c)
     metadata = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
@@ -33,6 +44,7 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
     require(text, COLUMNS, path)
     rows = _ordered(text.select(*COLUMNS))
     strict(rows, path)
+    _strict_metadata(rows, path)
     return _typed(rows)
 
 
@@ -44,6 +56,7 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     fields = ", ".join(f"{c} string" for c in COLUMNS)
     rows = _ordered(spark.read.schema(fields).option("multiLine", True).option("primitivesAsString", True).json(path))
     strict(rows, path, offset=0, unit="item")
+    _strict_metadata(rows, path, offset=0, unit="item")
     return _typed(rows)
 
 

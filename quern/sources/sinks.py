@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import csv
-import io
 import json
+import textwrap
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -83,19 +83,22 @@ def save_json(pairs: DataFrame, path: str) -> None:
 
 
 def _write(path: str, text: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="") as f:
+    with _opened(path) as f:
         f.write(text)
 
 
+def _opened(path: str):
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    return open(path, "w", encoding="utf-8", newline="")
+
+
 def _csv_file(rows: DataFrame, columns: list[str], path: str, order: list[str]) -> None:
-    """One CSV file in order, streamed through the driver a partition at a time."""
-    out = io.StringIO()
-    writer = csv.writer(out)
-    writer.writerow(columns)
-    for r in rows.orderBy(*order).toLocalIterator():
-        writer.writerow([r[c] for c in columns])
-    _write(path, out.getvalue())
+    """One CSV file in order; the driver holds a partition at a time."""
+    with _opened(path) as f:
+        writer = csv.writer(f)
+        writer.writerow(columns)
+        for r in rows.orderBy(*order).toLocalIterator():
+            writer.writerow([r[c] for c in columns])
 
 
 def export_csv(pairs: DataFrame, path: str) -> None:
@@ -104,9 +107,14 @@ def export_csv(pairs: DataFrame, path: str) -> None:
 
 
 def export_json(pairs: DataFrame, path: str) -> None:
-    """Pairs as a single JSON list, indented."""
-    rows = [{c: (r[c] or {}) if c == "metadata" else r[c] for c in COLUMNS} for r in pairs.orderBy("seq").toLocalIterator()]
-    _write(path, json.dumps(rows, indent=2, ensure_ascii=False) + "\n")
+    """Pairs as a single JSON list, indented; the driver holds a partition at a time."""
+    with _opened(path) as f:
+        between = "["
+        for r in pairs.orderBy("seq").toLocalIterator():
+            row = {c: (r[c] or {}) if c == "metadata" else r[c] for c in COLUMNS}
+            f.write(f"{between}\n" + textwrap.indent(json.dumps(row, indent=2, ensure_ascii=False), "  "))
+            between = ","
+        f.write("[]\n" if between == "[" else "\n]\n")
 
 
 def export_dataset(pairs: DataFrame, csv_path: str, json_path: str) -> None:

@@ -122,3 +122,24 @@ def test_result_files_are_the_same_bytes_again(spark, small, tmp_path):
     assert (tmp_path / "a-d.csv").read_bytes() == (tmp_path / "b-d.csv").read_bytes()
     lines = (tmp_path / "a.csv").read_text().splitlines()
     assert lines[0] == ",".join(sinks.RESULT_COLUMNS) and len(lines) == 31 and "time" not in lines[0]
+
+
+@pytest.mark.parametrize("bad", ["{not json", "[1, 2]", "7"])
+def test_malformed_metadata_is_an_error_that_names_the_row(spark, tmp_path, bad):
+    import csv
+    import json
+
+    rows = [[f"p{i}", "faq", "c", str(i), "a b", "c d", "1", "", m] for i, m in enumerate(["{}", "", '{"k": "v"}', bad])]
+    path = tmp_path / "d.csv"
+    with path.open("w", newline="") as f:
+        csv.writer(f).writerows([datasets.COLUMNS, *rows])
+    with pytest.raises(validation.DatasetError, match=r"d\.csv:5: invalid metadata"):
+        datasets.load_csv(spark, str(path))
+    good = tmp_path / "g.csv"
+    with good.open("w", newline="") as f:
+        csv.writer(f).writerows([datasets.COLUMNS, *rows[:3]])
+    assert [r.metadata for r in datasets.load_csv(spark, str(good)).orderBy("seq").collect()] == [{}, {}, {"k": "v"}]
+    as_json = tmp_path / "d.json"
+    as_json.write_text(json.dumps([dict(zip(datasets.COLUMNS, r[:6] + [1, None, {"k": "v"} if i < 3 else 5], strict=True)) for i, r in enumerate(rows)]))
+    with pytest.raises(validation.DatasetError, match=r"item\[3\]: invalid metadata"):
+        datasets.load_json(spark, str(as_json))

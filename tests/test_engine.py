@@ -27,10 +27,10 @@ def test_requests_pass_through_the_cascade(spark, requests, tmp_path):
     assert got[4][0] == "llm"  # another pool key, another cache
     assert got[5] == (None, None, None, 400)
     heads = {r.request_id: (r.cache_status, r.cache_similarity, r.input_tokens) for r in engine.responses(served).collect()}
-    assert heads["r0"] == ("MISS", None, 1) and heads["r1"] == ("HIT", 1.0, 0) and "r5" not in heads
+    assert heads["r0"] == ("MISS", None, 0) and heads["r1"] == ("HIT", 1.0, 0) and "r5" not in heads
     whole = engine.stats(served).where("all_pool_model = 1 and all_pool_threshold = 1").first()
     assert (whole.total_requests, whole.exact_hits, whole.semantic_hits, whole.misses) == (5, 1, 1, 3) and whole.hit_rate == pytest.approx(0.4)
-    assert whole.tokens_saved == 2 * 5
+    assert whole.tokens_saved == 2 * 4  # the words of the cached answers
     assert {r.pool_model: (r.exact_entries, r.semantic_entries) for r in engine.clear_report(served).collect()} == {"all-MiniLM-L6-v2": (2, 2), "modernbert": (1, 1)}
     assert {r.pool_model: r.index_size for r in engine.breakdown(served).collect()} == {"all-MiniLM-L6-v2": 2, "modernbert": 1}
     engine.log(served).select(F.col("record").alias("value")).write.text(str(tmp_path / "log"))
@@ -60,7 +60,47 @@ def test_failed_and_refused_calls_are_no_hits_and_no_totals(spark, requests):
 
     engine = Engine(Settings(pool_cap=1), by_first_letter, lambda df: backends.remote(df, make, retries=1, wait=0))
     got = {r.seq: (r.source, r.error, r.status) for r in engine.serve(requests).collect()}
-    assert got[0] == (None, "provider_refusal", 502) and got[3] == (None, "provider_error", 500)
+    # Nothing was stored, so the next equal prompt is asked again and refused again.
+    assert got[0] == got[1] == (None, "provider_refusal", 502) and got[2] == got[3] == (None, "provider_error", 500)
+
+
+def test_a_failed_call_is_made_again_for_the_next_equal_prompt(spark, requests, tmp_path):
+    mark = str(tmp_path / "asked")
+
+    def make():
+        def ask(prompt):
+            import os
+
+            if prompt == "apple" and not os.path.exists(mark):
+                open(mark, "w").close()
+                raise OSError("down once")
+            return backends.Answer(f"says {prompt}", "m", 1, 2)
+
+        return ask
+
+    engine = Engine(Settings(pool_cap=1), by_first_letter, lambda df: backends.remote(df, make, retries=0, wait=0))
+    got = {r.seq: (r.source, r.matched_seq, r.answer, r.error) for r in engine.serve(requests).collect()}
+    assert got[0] == (None, None, None, "provider_error")
+    assert got[1] == ("llm", None, "says apple", None)
+    assert got[2] == ("semantic_cache", 1, "says apple", None)
+
+
+def test_budget_is_each_keys_own_and_invalid_requests_get_no_answer(spark):
+    make = lambda: lambda prompt: backends.Answer("x", "m", 1_000_000, 0)  # noqa: E731  five dollars a call
+    rows = [(i, f"r{i}", f"{w} {i}", m, t) for i, (w, m, t) in enumerate([("a", None, None), ("b", None, None), ("c", None, None), ("d", "modernbert", None), ("e", None, 1.5), (None, None, None)])]
+    rows = [(s, r, None if p.startswith("None") else p, m, t) for s, r, p, m, t in rows]
+    df = spark.createDataFrame(rows, "seq long, request_id string, prompt string, embedding_model string, threshold double")
+    engine = Engine(Settings(budget_cap_usd=9.0, similarity_threshold=0.99, enable_semantic_cache=False), by_first_letter, lambda d: backends.remote(d, make))
+    got = {r.seq: (r.source, r.status) for r in engine.serve(df).collect()}
+    assert got == {0: ("llm", None), 1: ("llm", None), 2: (None, 402), 3: ("llm", None), 4: (None, 422), 5: (None, 422)}
+
+
+def test_each_pool_key_embeds_by_its_own_model(spark, requests):
+    served = Engine(Settings(), by_first_letter).serve(requests.where("seq in (0, 4)"))
+    names = {r.seq: r.canonical_name for r in served.collect()}
+    from quern.operators import embedding
+
+    assert names == {0: embedding.resolve("all-MiniLM-L6-v2").canonical_name, 4: embedding.resolve("modernbert").canonical_name}
 
 
 def test_connectors_read_their_servers_answers():
