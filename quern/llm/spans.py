@@ -1,7 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences, long ones at their commas. From every sentence
-on, and up to every sentence, the shortest run of consecutive sentences with
+A text is cut into sentences, long ones at their commas, and long clauses
+before words that their own hash picks, so that a passage put into the middle of
+a sentence is cut alike wherever it stands. From every sentence on, and up to every sentence, the shortest run of consecutive sentences with
 at least ``MIN_WORDS`` words is hashed: a window that slides by sentences and
 holds enough words that it does not repeat by chance. All runs of all texts
 are joined on their hash; of a run that occurs again, the first place (least
@@ -16,7 +17,9 @@ passage that a third of the corpus holds makes a group of one row a block.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,57 +33,92 @@ LONG_SENTENCE = 12
 BLOCK_RUNS = 1 << 18
 BATCH_TEXTS = 512
 
+#: One word in so many begins a part of a long clause.
+ONE_IN = 8
+
 #: A sentence ends after a line break, after an end mark before white space,
-#: and before a capitalised word: a passage put into the middle of another
-#: text starts with one.
-BOUNDARY = r"(?<=[.!?…。！？])\s+|\s*\n\s*|\s+(?=\p{Lu}\p{Ll})"
-CLAUSE = r"(?<=[,;:、，；：])\s+"
+#: and after the end marks of scripts that write no spaces.
+#: What stands between two sentences or clauses is the group that matched.
+BOUNDARY = r"[.!?…][\"'”’»)\]]?(\s+)|[。！？][」』”’）]?(\s*)|(\n\s*)"
+CLAUSE = r"[,;:](\s+)|[、，；：](\s*)"
+#: Characters of scripts without spaces; two of them count as a word.
+UNSPACED = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]"
 
 
 def _cutter():
-    """(what ends a sentence, what ends a clause)."""
-    import regex
-
-    return regex.compile(BOUNDARY), regex.compile(CLAUSE)
+    """(what ends a sentence, what ends a clause, what separates words, a character without spaces)."""
+    return re.compile(BOUNDARY), re.compile(CLAUSE), re.compile(r"(\s+)"), re.compile(UNSPACED)
 
 
 def _pieces(text: str, boundary) -> Iterator[tuple[str, str]]:
     at = 0
     for m in boundary.finditer(text):
-        if m.end() > m.start():
-            yield text[at : m.start()], m[0]
-            at = m.end()
+        start, end = m.span(m.lastindex)
+        yield text[at:start], text[start:end]
+        at = end
     yield text[at:], ""
 
 
+def _parts(clause: str, gap) -> Iterator[tuple[str, str]]:
+    """A clause cut before each word that its hash picks."""
+    turns = gap.split(clause)  # words and what stands between them in turn
+    at = 0
+    for i in range(2, len(turns), 2):
+        if not crc32(turns[i].lower().encode("utf-8", "surrogatepass")) % ONE_IN and turns[i]:
+            yield "".join(turns[at : i - 1]), turns[i - 1]
+            at = i
+    yield "".join(turns[at:]), ""
+
+
+def _long(text: str) -> bool:
+    return len(text) > 2 * LONG_SENTENCE and len(text.split(None, LONG_SENTENCE)) > LONG_SENTENCE
+
+
 def cut(text: str, cutter) -> tuple[list[str], list[str]]:
     """(sentences, what stands after each); joined in turn they are the text again.
 
-    A sentence of more than ``LONG_SENTENCE`` words counts as its clauses.
+    A sentence of more than ``LONG_SENTENCE`` words counts as its clauses, and
+    such a clause as its parts.
     """
     sentences, gaps = [], []
     for sentence, gap in _pieces(text, cutter[0]):
-        if len(sentence) > 2 * LONG_SENTENCE and len(sentence.split()) > LONG_SENTENCE:
-            for clause, inner in _pieces(sentence, cutter[1]):
-                sentences.append(clause)
-                gaps.append(inner)
-            gaps[-1] = gap
-        else:
+        if not _long(sentence):
             sentences.append(sentence)
             gaps.append(gap)
+            continue
+        for clause, inner in _pieces(sentence, cutter[1]):
+            if _long(clause):
+                for part, space in _parts(clause, cutter[2]):
+                    sentences.append(part)
+                    gaps.append(space)
+                gaps[-1] = inner
+            else:
+                sentences.append(clause)
+                gaps.append(inner)
+        gaps[-1] = gap
     return sentences, gaps
 
 
+def sizes(sentences: list[str], words: list[list[str]], cutter) -> np.ndarray:
+    """The words of each sentence; in scripts without spaces two characters make one."""
+    return np.array([len(w) if s.isascii() else len(w) + len(cutter[3].findall(s)) // 2 for s, w in zip(sentences, words, strict=True)])
+
+
 def runs(sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The shortest runs [a, b) of at least ``least`` words from each start and to each end."""
-    total = np.r_[0, np.cumsum(sizes)]
-    n = len(sizes)
+    """The shortest runs [a, b) of at least ``least`` words from each start and to each end.
+
+    Pieces without words neither begin nor end a run, so that no two runs of a
+    text are the same words at the same place.
+    """
+    held = np.flatnonzero(sizes)
+    total = np.r_[0, np.cumsum(sizes[held])]
+    n = len(held)
     starts = np.arange(n)
     ends = np.searchsorted(total, total[:-1] + least, side="left")
     forward = {(int(a), int(b)) for a, b in zip(starts, ends, strict=True) if b <= n}
     begins = np.searchsorted(total, total[1:] - least, side="right") - 1
     back = {(int(a), int(b)) for a, b in zip(begins, starts + 1, strict=True) if a >= 0}
-    return sorted(forward | back)
+    return sorted((int(held[a]), int(held[b - 1]) + 1) for a, b in forward | back)
 
 
 def _settle(digests: list[bytes], run: np.ndarray, place: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -137,8 +175,9 @@ def _spans(batches: Iterator[pa.RecordBatch], least: int, block: int) -> Iterato
 
     for batch in batches:
         for key, place, text in zip(batch.column("row_key").to_pylist(), batch.column("place").to_pylist(), batch.column("text"), strict=True):
-            words = [x.lower().split() for x in cut(text.as_py() or "", cutter)[0]]
-            own = runs(np.array([len(w) for w in words]), least)
+            sentences = cut(text.as_py() or "", cutter)[0]
+            words = [x.lower().split() for x in sentences]
+            own = runs(sizes(sentences, words, cutter), least)
             if not own:
                 continue
             joined = [" ".join(w) for w in words]
@@ -181,28 +220,31 @@ def repeated(found: DataFrame) -> DataFrame:
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cutter = _cutter()
     for b in (x.slice(at, BATCH_TEXTS) for x in batches for at in range(0, x.num_rows, BATCH_TEXTS)):
-        texts, total, removed = [], [], []
-        for text, gone in zip(b.column("__text"), b.column("__gone").to_pylist(), strict=True):
-            text = text.as_py()
-            sentences, gaps = cut(text or "", cutter)
-            out = {i for run in gone or () for i in range(run >> 32, run & 0xFFFFFFFF)}
-            total.append(len(sentences) if text else 0)
+        given, texts, removed = b.column("__text"), [], []
+        for i, gone in enumerate(b.column("__gone").to_pylist()):
+            out = {k for run in gone or () for k in range(run >> 32, run & 0xFFFFFFFF)}
+            text = given[i].as_py()
             removed.append(len(out))
             if out:
+                sentences, gaps = cut(text, cutter)
                 # A kept sentence is followed by its own gap, or by the line break that a removed neighbour had.
-                text = "".join(s + g for i, (s, g) in enumerate(zip(sentences, gaps, strict=True)) if i not in out).rstrip()
+                text = "".join(s + g for k, (s, g) in enumerate(zip(sentences, gaps, strict=True)) if k not in out).rstrip()
             texts.append(text)
         keep = [n for n in b.schema.names if n not in ("__text", "__gone")]
-        yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(removed, pa.int32())], names=[*keep, "__text", "__total", "__removed"])
+        yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=[*keep, "__text", "__removed"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with their text less its repeated spans, and ``__total``, ``__removed`` sentences.
+    """The rows of docs with their text less its repeated spans, and how many sentences were ``__removed``.
 
     Every row stays, also where nothing of its text is left (empty) and where
     the text is null. Rows that share an id count as one document and keep each
     other's runs. Rows with a null id are documents of their own, after the rest.
-    Sentences are compared in lower case with single spaces.
+    Sentences are compared in lower case with single spaces. Ties between
+    places of equal id go by content; texts count whole, however long they are;
+    an empty table gives no rows. A passage is found where whole sentences,
+    clauses or parts of it hold ``min_words`` words: some dozen words at either
+    end, which share a sentence with other text, may not be covered.
     """
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     key = C.row_key(ident, text)
@@ -211,7 +253,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     joined = keyed.join(gone, (keyed["__row"] == gone["__key"]) & (keyed["__at"] == gone["__place"]), "left")
     others = [c for c in docs.columns if c != text_col]
     rows = joined.select(*[F.col(c) for c in others], text.alias("__text"), "__gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", __text string, __total int, __removed int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", __text string, __removed int"
     return rows.mapInArrow(lambda it: C.lean(_rebuild(it)), schema)
 
 
@@ -219,7 +261,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document's text without repeated spans."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     got = dedup(docs)
-    return got.select("doc_id", F.col("__total").alias("n_sentences"), F.col("__removed").alias("n_removed"), F.col("__text").alias("text"))
+    return got.select("doc_id", F.col("__removed").alias("n_removed"), F.col("__text").alias("text"))
 
 
 def drop_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
