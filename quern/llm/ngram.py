@@ -1,15 +1,17 @@
-"""Perplexity by an interpolated modified Kneser-Ney bigram model.
-
-Bigrams of the training documents are counted in Spark: combined within each
-block of text, dealt by the hash of the first word, merged. Counts of contexts
-come from the same merge, continuation counts and word counts from a second
-one by the hash of the second word. Each bucket writes sorted arrays of hashes
-with their counts to the shared folder; workers map those files into memory
-and look up a block's distinct bigrams in hash order. What reaches the driver
-is a few sums a bucket.
-
-Words are known by 64-bit hashes; two words or bigrams of one hash share
-their counts.
+"""Perplexity by an interpolated modified Kneser-Ney n-gram model.
+
+N-grams of the training documents are counted in Spark: combined within each
+block of text, dealt by hash, merged. What a bucket has merged gives the rows of
+the next lower order, each n-gram's last words with the number of words before
+them, and so on down to words. An order's n-grams are dealt by one word and a
+share of another, so that all that a context needs meets in one bucket, and a
+frequent word is spread over many. Each bucket writes sorted arrays of hashes
+with their counts to the shared folder; workers map those files into memory and
+look up a block's distinct n-grams in hash order. What reaches the driver is a
+few sums a bucket.
+
+Words are known by 64-bit hashes; two words or n-grams of one hash share their
+counts. The order is a parameter; see ``ORDER``.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from quern.llm import common as C
 from quern.llm.packing import mapped, new_folder, pack, unpack, write
 
 BLOCK_BYTES = 12 << 20
+#: The order of the model that the query trains, two or more.
+ORDER = 3
+#: Bytes of text for each bucket; a frequent word is dealt to one bucket in so many.
+BUCKET_BYTES, SHARE = 48 << 20, 32
 HELD_OUT, FOLDS = 2, 7
 _START, _END = b" ", b"\n"  # no word holds either
 _ROW = "bucket int, kind int, payload binary"
@@ -38,26 +44,45 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _mix(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The hash of a bigram from those of its words."""
+    """The hash of two hashes in order."""
     x = u * np.uint64(0x9E3779B97F4A7C15) + v
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
+def _gram(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of n-grams from those of their words."""
+    out = words[0]
+    for w in words[1:]:
+        out = _mix(out, w)
+    return out
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _home(words: list[np.ndarray], buckets: int, shares: int) -> np.ndarray:
+    """The bucket of n-grams: by their first word but one and a share of the first, of pairs by the first and a share of the last.
+
+    From order three on a context (all words but the last) has one home.
+    """
+    if len(words) == 1:
+        return _bucket(words[0], buckets)
+    lead, split = (words[1], words[0]) if len(words) > 2 else (words[0], words[1])
+    return _bucket(lead + (split % np.uint64(shares)) * np.uint64(0x9E3779B97F4A7C15), buckets)
+
+
 @dataclass
 class _Block:
     hashes: np.ndarray  # of the block's distinct tokens
-    tokens: np.ndarray  # start, words, end of each document, as places in hashes
-    sizes: np.ndarray  # tokens of each document, without the start
+    tokens: np.ndarray  # starts, words, end of each document, as places in hashes
+    sizes: np.ndarray  # tokens of each document, without the starts
     rows: list  # what the caller gave with each document
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], extra: list[str], size: int = BLOCK_BYTES) -> Iterator[_Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], order: int, extra: list[str], size: int = BLOCK_BYTES) -> Iterator[_Block]:
     import xxhash
 
     codes: dict[bytes, int] = defaultdict()
@@ -68,7 +93,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], extra: list[str], size: int = BLO
 
     def block() -> _Block:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in codes), np.uint64, len(codes))
-        return _Block(hashes, np.concatenate(seqs), np.array([len(s) - 1 for s in seqs]), rows)
+        return _Block(hashes, np.concatenate(seqs), np.array([len(s) - order + 1 for s in seqs]), rows)
 
     for b in batches:
         given = zip(*[b.column(c).to_pylist() for c in extra], strict=True) if extra else iter([()] * b.num_rows)
@@ -77,9 +102,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], extra: list[str], size: int = BLO
             words = (text.as_py() or b"").lower().split()
             if not codes:
                 codes[_START], codes[_END]
-            seq = np.empty(len(words) + 2, np.int64)
-            seq[0], seq[-1] = 0, 1
-            seq[1:-1] = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+            seq = np.zeros(len(words) + order, np.int64)
+            seq[-1] = 1
+            seq[order - 1 : -1] = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
             seqs.append(seq)
             rows.append(row)
             held += 8 * len(words)
@@ -91,30 +116,52 @@ def _blocks(batches: Iterator[pa.RecordBatch], extra: list[str], size: int = BLO
         yield block()
 
 
-def _pairs(b: _Block) -> tuple[np.ndarray, np.ndarray]:
-    """(bigram at each token but the starts, those tokens' places in the block)."""
-    places = np.flatnonzero(b.tokens != 0)
-    return b.tokens[places - 1] << 32 | b.tokens[places], places
+def _grams(b: _Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order from one on: (a place of each distinct n-gram, the n-gram at each token), tokens but the starts."""
+    at = np.flatnonzero(b.tokens != 0)
+    _, first, every = np.unique(b.tokens[at], return_index=True, return_inverse=True)
+    out = [(at[first], every)]
+    for k in range(1, order):
+        _, first, every = np.unique(b.tokens[at - k] << 32 | every, return_index=True, return_inverse=True)
+        out.append((at[first], every))
+    return out
+
 
+def _words(b: _Block, places: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words' hashes of the n-grams that end at places."""
+    return [b.hashes[b.tokens[places - k]] for k in range(order - 1, -1, -1)]
 
-def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for b in _blocks(batches, []):
-        pairs, n = np.unique(_pairs(b)[0], return_counts=True)
-        u, v = b.hashes[pairs >> 32], b.hashes[pairs & 0xFFFFFFFF]
-        yield from _deal(_bucket(u, buckets), 0, (u, v, n.astype(np.uint32)))
 
+def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
+    for b in _blocks(batches, order, []):
+        places, every = _grams(b, order)[-1]
+        words = _words(b, places, order)
+        yield from _deal(_home(words, buckets, shares), order, words, (np.bincount(every).astype(np.uint32),))
 
-def _deal(bucket: np.ndarray, kind: int, arrays: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket; within it rows are in order of the first array, whose runs are kept once."""
-    order = np.lexsort((arrays[0], bucket))
-    bucket, arrays = bucket[order], tuple(a[order] for a in arrays)
+
+def _deal(bucket: np.ndarray, kind: int, words: list[np.ndarray], values: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket; within it rows are in order of one word, whose runs are kept once."""
+    lead = 1 if len(words) > 2 else 0
+    order = np.lexsort((words[lead], bucket))
+    bucket, words, values = bucket[order], [w[order] for w in words], [v[order] for v in values]
     for s, e in _runs(bucket):
-        first = arrays[0][s:e]
-        starts = np.array([x for x, _ in _runs(first)], np.int64) if kind == 0 else None
-        payload = pack(first[starts], np.diff(np.r_[starts, e - s]).astype(np.uint32), *(a[s:e] for a in arrays[1:])) if kind == 0 else pack(*(a[s:e] for a in arrays))
+        first = words[lead][s:e]
+        starts = np.array([x for x, _ in _runs(first)], np.int64)
+        rest = [w[s:e] for k, w in enumerate(words) if k != lead]
+        payload = pack(first[starts], np.diff(np.r_[starts, e - s]).astype(np.uint32), *rest, *(v[s:e] for v in values))
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[s])], pa.int32()), pa.array([kind], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "kind", "payload"])
 
 
+def _dealt(payloads: list[bytes], size: int, kinds: tuple[type, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(words, values) of rows that were dealt."""
+    lead = 1 if size > 2 else 0
+    parts = [unpack(p, np.uint64, np.uint32, *[np.uint64] * (size - 1), *kinds) for p in payloads]
+    columns = [np.concatenate([np.repeat(p[0], p[1]) for p in parts]), *(np.concatenate(c) for c in zip(*[p[2:] for p in parts], strict=True))]
+    words = columns[1:size]
+    words.insert(lead, columns[0])
+    return words, columns[size:]
+
+
 def _runs(v: np.ndarray) -> list[tuple[int, int]]:
     if not len(v):
         return []
@@ -181,35 +228,63 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield bucket, rows
 
 
+_NOTE = -1
+
+
+def _row(bucket: int, kind: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "kind", "payload"])
+
+
 def _note(**what) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([2], pa.int32()), pa.array([json.dumps(what).encode()], pa.binary())], names=["bucket", "kind", "payload"])
+    return _row(-1, _NOTE, json.dumps(what).encode())
+
 
+_CONTEXT = 100  # the kind of rows for contexts of an order, added to the order
+_SUMS = (np.int64,) * 4
 
-def _merge_bigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
+
+def _merge(batches: Iterator[pa.RecordBatch], level: int, top: int, folder: str, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
+    """Stores the n-grams of an order and yields what lower orders need; other rows pass."""
+    whole = level > 2 or shares == 1  # whether all of a context is in one bucket
     for bucket, rows in _by_bucket(batches):
-        parts = [unpack(p, np.uint64, np.uint32, np.uint64, np.uint32) for _, p in rows]
+        own = [p for kind, p in rows if kind == level]
+        yield from (_row(bucket if kind >= 0 else -1, kind, p) for kind, p in rows if kind != level)
         rows.clear()
-        u = np.concatenate([np.repeat(a, k) for a, k, _, _ in parts])
-        v, n = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        del parts
-        (u, v), (n,) = _sum_by((u, v), (n,))
-        _store(folder, f"pair{bucket}", _mix(u, v), n)
-        (context,), sums = _sum_by((u,), (n, n == 1, n == 2, n > 2))
-        _store(folder, f"context{bucket}", context, *sums)
-        yield _note(pairs=_counts_of_counts(n), context=[bucket])
-        (word,), (contexts, tokens) = _sum_by((v,), (np.ones(len(v), np.uint32), n))
-        yield from _deal(_bucket(word, buckets), 1, (word, contexts.astype(np.uint32), tokens.astype(np.int64)))
+        if not own:
+            continue
+        words, (n,) = _dealt(own, level, (np.uint32,))
+        own.clear()
+        words, (n,) = _sum_by(tuple(words), (n,))
+        _store(folder, f"gram{level}-{bucket}", _gram(list(words)), n)
+        (context,), sums = _sum_by((_gram(list(words[:-1])),), (n, n == 1, n == 2, n > 2))
+        yield _note(level=level, counts=_counts_of_counts(n), **{f"gram{level}": [bucket]}, **({f"context{level}": [bucket]} if whole else {}))
+        if whole:
+            _store(folder, f"context{level}-{bucket}", context, *sums)
+        else:
+            yield from _deal(_bucket(context, buckets), _CONTEXT + level, [context], sums)
+        if level == top:
+            (word,), (tokens,) = _sum_by((words[-1],), (n,))
+            yield from _deal(_bucket(word, buckets), 1, [word], (np.zeros(len(word), np.int64), tokens))
+        lower, (before,) = _sum_by(tuple(words[1:]), (np.ones(len(n), np.int64),))
+        if level > 2:
+            yield from _deal(_home(list(lower), buckets, shares), level - 1, list(lower), (before.astype(np.uint32),))
+        else:
+            yield from _deal(_bucket(lower[0], buckets), 1, list(lower), (before, np.zeros(len(before), np.int64)))
 
 
 def _merge_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     for bucket, rows in _by_bucket(batches):
-        for kind, payload in rows:
-            if kind == 2:
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([2], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "kind", "payload"])
-        parts = [unpack(p, np.uint64, np.uint32, np.int64) for kind, p in rows if kind == 1]
-        if parts:
-            (word,), (contexts, tokens) = _sum_by((np.concatenate([p[0] for p in parts]),), (np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])))
-            _store(folder, f"word{bucket}", word, contexts, tokens)
+        yield from (_row(-1, kind, p) for kind, p in rows if kind == _NOTE)
+        for level in sorted({kind for kind, _ in rows if kind > _CONTEXT}):
+            (context,), sums = _dealt([p for kind, p in rows if kind == level], 1, _SUMS)
+            (context,), sums = _sum_by((context,), tuple(sums))
+            _store(folder, f"context{level - _CONTEXT}-{bucket}", context, *sums)
+            yield _note(**{f"context{level - _CONTEXT}": [bucket]})
+        own = [p for kind, p in rows if kind == 1]
+        if own:
+            (word,), values = _dealt(own, 1, (np.int64, np.int64))
+            (word,), (contexts, tokens) = _sum_by((word,), tuple(values))
+            _store(folder, f"word-{bucket}", word, contexts, tokens)
             yield _note(words=_counts_of_counts(contexts), types=len(word), tokens=int(tokens.sum()), contexts=int(contexts.sum()), high=int((contexts > 2).sum()), word=[bucket])
 
 
@@ -230,75 +305,92 @@ class Model:
     """Where the arrays are and what holds for all of them."""
 
     folder: str
+    order: int
     buckets: int
-    contexts: frozenset[int]
-    words: frozenset[int]
+    shares: int
+    held: dict[str, frozenset[int]]  # the buckets that have arrays, by their name
     tokens: int
     types: int
     continuations: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
+    discounts: dict[int, tuple[float, float, float]]  # by order; of words at 1
     word_rest: float  # what the words' discounts leave for the uniform distribution
 
     def _look(self, kind: str, bucket_of: np.ndarray, hashes: np.ndarray, counts: int) -> list[np.ndarray]:
-        known = self.words if kind == "word" else self.contexts
         out = [np.zeros(len(hashes), np.int64) for _ in range(counts)]
         order = np.lexsort((hashes, bucket_of))
         for s, e in _runs(bucket_of[order]):
             some = order[s:e]
             b = int(bucket_of[some[0]])
-            if b in known:
-                for o, n in zip(out, _fetch(self.folder, f"{kind}{b}", hashes[some], counts), strict=True):
+            if b in self.held.get(kind, ()):
+                for o, n in zip(out, _fetch(self.folder, f"{kind}-{b}", hashes[some], counts), strict=True):
                     o[some] = n
         return out
 
-    def log10(self, hashes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(base log probability and count by token of ``hashes``, model's log probability by pair)."""
-        bucket = _bucket(hashes, self.buckets)
-        contexts, count = self._look("word", bucket, hashes, 2)
-        total, once, twice, more = self._look("context", bucket, hashes, 4)
-        u, v = pairs >> 32, pairs & 0xFFFFFFFF
-        (c,) = self._look("pair", bucket[u], _mix(hashes[u], hashes[v]), 1)
+    def log10(self, b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(base log probability, count in training, model's log probability) of each token but the starts."""
+        grams = _grams(b, self.order)
+        places, every = grams[0]
+        (word,) = _words(b, places, 1)
+        contexts, count = self._look("word", _bucket(word, self.buckets), word, 2)
         base = np.log10((count + 1) / (self.tokens + self.types + 1))
         uniform = 1 / (self.types + 1)
-        low = (self._less(contexts, self.word_discounts) / self.continuations + self.word_rest * uniform) if self.continuations else np.full(len(hashes), uniform)
-        d1, d2, d3 = self.pair_discounts
-        seen = total[u] > 0
-        divide = np.maximum(total[u], 1)
-        rest = (d1 * once[u] + d2 * twice[u] + d3 * more[u]) / divide
-        return base, count, np.log10(np.where(seen, self._less(c, self.pair_discounts) / divide + rest * low[v], low[v]))
-
-    @staticmethod
-    def _less(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-        return np.maximum(n - np.choose(np.minimum(n, 3), [0.0, *d]), 0.0)
-
-
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """The model of all rows of docs; null text counts as empty."""
+        p = (self._less(contexts, 1) / self.continuations + self.word_rest * uniform) if self.continuations else np.full(len(word), uniform)
+        low, at = p, every
+        position = np.full(len(b.tokens), -1)
+        position[b.tokens != 0] = np.arange(len(every))
+        for k in range(2, self.order + 1):
+            places, now = grams[k - 1]
+            words = _words(b, places, k)
+            lower = low[at[position[places]]]  # of the same token with one word less before it
+            home = _home(words, self.buckets, self.shares)
+            context = _gram(words[:-1])
+            whole = k > 2 or self.shares == 1
+            total, once, twice, more = self._look(f"context{k}", home if whole else _bucket(context, self.buckets), context, 4)
+            (c,) = self._look(f"gram{k}", home, _gram(words), 1)
+            d1, d2, d3 = self.discounts[k]
+            divide = np.maximum(total, 1)
+            rest = (d1 * once + d2 * twice + d3 * more) / divide
+            low, at = np.where(total > 0, self._less(c, k) / divide + rest * lower, lower), now
+        return base[every], count[every], np.log10(low)[at]
+
+    def _less(self, n: np.ndarray, order: int) -> np.ndarray:
+        return np.maximum(n - np.choose(np.minimum(n, 3), [0.0, *self.discounts[order]]), 0.0)
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, share: int = SHARE) -> Model:
+    """The model of all rows of docs; null text counts as empty.
+
+    There are as many buckets as the text's bytes ask for, and as many as
+    shuffle partitions at least.
+    """
     spark = docs.sparkSession
     folder = new_folder(C.shared_dir(spark), "ngram")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"))
-    counted = texts.mapInArrow(lambda it: C.lean(_count(it, buckets)), _ROW).repartition("bucket").sortWithinPartitions("bucket")
-    merged = counted.mapInArrow(lambda it: C.lean(_merge_bigrams(it, folder, buckets)), _ROW).repartition("bucket").sortWithinPartitions("bucket")
-    notes = [json.loads(bytes(r.payload)) for r in merged.mapInArrow(lambda it: C.lean(_merge_words(it, folder)), _ROW).collect()]
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    shares = max(1, buckets // share)
+    rows = texts.mapInArrow(lambda it: C.lean(_count(it, order, buckets, shares)), _ROW)
+    for level in range(order, 1, -1):
+        dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        rows = dealt.mapInArrow(lambda it, level=level: C.lean(_merge(it, level, order, folder, buckets, shares)), _ROW)
+    done = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: C.lean(_merge_words(it, folder)), _ROW)
+    notes = [json.loads(bytes(r.payload)) for r in done.collect()]
     add = lambda k: sum(x.get(k, 0) for x in notes)
-    vector = lambda k: [sum(x[k][i] for x in notes if k in x) for i in range(4)]
-    members = lambda k: frozenset(b for x in notes for b in x.get(k, ()))
-    pairs, words = vector("pairs"), vector("words")
-    d = discounts(words)
+    vector = lambda k, some: [sum(x[k][i] for x in some if k in x) for i in range(4)]
+    names = ["word", *(f"{kind}{k}" for kind in ("gram", "context") for k in range(2, order + 1))]
+    held = {name: frozenset(b for x in notes for b in x.get(name, ())) for name in names}
+    words = vector("words", notes)
+    of = {1: discounts(words)} | {k: discounts(vector("counts", [x for x in notes if x.get("level") == k])) for k in range(2, order + 1)}
+    d = of[1]
     rest = (d[0] * words[0] + d[1] * words[1] + d[2] * add("high")) / max(1, add("contexts"))
-    return Model(folder, buckets, members("context"), members("word"), add("tokens"), add("types"), add("contexts"), discounts(pairs), d, rest)
+    return Model(folder, order, buckets, shares, held, add("tokens"), add("types"), add("contexts"), of, rest)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for b in _blocks(batches, ["doc_id"]):
-        every, places = _pairs(b)
-        pairs, at = np.unique(every, return_inverse=True)
-        base, count, logs = model.log10(b.hashes, pairs)
-        token = b.tokens[places]
+    for b in _blocks(batches, model.order, ["doc_id"]):
+        base, count, logs = model.log10(b)
         starts = np.cumsum(b.sizes) - b.sizes
-        sums = [np.add.reduceat(x, starts) for x in (base[token], logs[at], (count[token] > 0).astype(np.int64))]
+        sums = [np.add.reduceat(x, starts) for x in (base, logs, (count > 0).astype(np.int64))]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in b.rows], pa.int64()), pa.array(b.sizes.astype(np.int64)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])],
             names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
@@ -308,8 +400,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_known, base_score, score)`` for every row of docs.
 
-    Null text counts as empty: its one token is the end. base_score is the
-    add-one unigram's and score the model's log10 probability.
+    Null and empty texts have one token, the end. base_score is the add-one
+    unigram's and score the model's log10 probability. Rows with a null or
+    repeated id are scored like any other and stay; texts are scored whole,
+    however long they are; an empty table gives no rows, and other columns are
+    not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(lambda it: C.lean(_score(it, model)), "doc_id long, n_tokens long, n_known long, base_score double, score double")

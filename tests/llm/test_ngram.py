@@ -16,36 +16,39 @@ def tokens(text):
 class Plain:
     """The same model with dictionaries."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order=ngram.ORDER):
+        self.order = order
         seqs = [tokens(t) for t in texts]
         self.count = collections.Counter(w for s in seqs for w in s)
         self.n, self.v = sum(self.count.values()), len(self.count)
-        self.pairs = collections.Counter(p for s in seqs for p in zip([" ", *s], s, strict=False))
-        self.context, self.cont = collections.defaultdict(lambda: [0, 0, 0, 0]), collections.Counter()
-        for (u, v), c in self.pairs.items():
-            self.context[u][0] += c
-            self.context[u][min(c, 3)] += 1
-            self.cont[v] += 1
-        of = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
-        self.d2, self.d1 = ngram.discounts(of(self.pairs)), ngram.discounts(of(self.cont))
-        self.rest = sum(self.d1[min(x, 3) - 1] for x in self.cont.values()) / max(1, len(self.pairs))
-
-    def low(self, v):
-        if not self.pairs:
+        self.grams = {order: collections.Counter(g for s in seqs for g in self.windows(s))}
+        for k in range(order - 1, 0, -1):
+            self.grams[k] = collections.Counter(g[1:] for g in self.grams[k + 1])
+        self.context = {k: collections.defaultdict(lambda: [0, 0, 0, 0]) for k in self.grams}
+        for k, grams in self.grams.items():
+            for g, c in grams.items():
+                self.context[k][g[:-1]][0] += c
+                self.context[k][g[:-1]][min(c, 3)] += 1
+        self.d = {k: ngram.discounts([sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]) for k, c in self.grams.items()}
+
+    def windows(self, s):
+        s = [" "] * (self.order - 1) + s
+        return [tuple(s[i : i + self.order]) for i in range(len(s) - self.order + 1)]
+
+    def p(self, g):
+        if not g:
             return 1 / (self.v + 1)
-        c = self.cont[v]
-        return (c - self.d1[min(c, 3) - 1] if c else 0) / len(self.pairs) + self.rest / (self.v + 1)
-
-    def p(self, u, v):
-        if u not in self.context:
-            return self.low(v)
-        total, *n = self.context[u]
-        c = self.pairs[u, v]
-        return (c - self.d2[min(c, 3) - 1] if c else 0) / total + sum(d * k for d, k in zip(self.d2, n, strict=True)) / total * self.low(v)
+        k = len(g)
+        lower = self.p(g[1:])
+        if g[:-1] not in self.context[k]:
+            return lower
+        total, *n = self.context[k][g[:-1]]
+        c = self.grams[k][g]
+        return (c - self.d[k][min(c, 3) - 1] if c else 0) / total + sum(d * m for d, m in zip(self.d[k], n, strict=True)) / total * lower
 
     def score(self, text):
         t = tokens(text)
-        return len(t), sum(self.count[w] > 0 for w in t), sum(math.log10((self.count[w] + 1) / (self.n + self.v + 1)) for w in t), sum(math.log10(self.p(u, v)) for u, v in zip([" ", *t], t, strict=False))
+        return len(t), sum(self.count[w] > 0 for w in t), sum(math.log10((self.count[w] + 1) / (self.n + self.v + 1)) for w in t), sum(math.log10(self.p(g)) for g in self.windows(t))
 
 
 def close(got, want):
@@ -69,10 +72,39 @@ def test_held_out_text_is_likelier_than_by_single_words(spark):
     assert got.score > 0.9 * got.base
 
 
+def test_texts_whose_copy_was_learned_are_told_apart(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(4000)], k=150)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    apart = {}
+    for order in (2, 3):
+        got = {r.doc_id: r.score / r.n_tokens for r in ngram.score(df, ngram.train(df.where("doc_id < 150"), order=order)).collect()}
+        apart[order] = min(got[i] for i in range(150)) - max(got[i] for i in range(150, 300))
+    assert apart[3] > 0.5 and apart[3] > apart[2]
+
+
 def test_probabilities_sum_to_one():
     plain = Plain(["a b a b c", "b c d", "a a a a a a"])
-    for u in ("a", "b", "d", "unseen", " "):
-        assert sum(plain.p(u, v) for v in plain.count) + plain.p(u, "unseen word") == pytest.approx(1.0)
+    for u in (("a", "b"), ("b", "c"), (" ", "a"), (" ", " "), ("unseen", "a"), ("a", "unseen")):
+        assert sum(plain.p((*u, v)) for v in plain.count) + plain.p((*u, "unseen word")) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("buckets", [1, 70])
+def test_any_order_and_number_of_buckets(spark, docs, order, buckets, monkeypatch):
+    some = docs.where("doc_id < 60 and length(text) < 4000").select("doc_id", "text").cache()
+    rows = {r.doc_id: r.text for r in some.collect()}
+    size = sum(len((t or "").encode()) for t in rows.values())
+    monkeypatch.setattr(ngram, "BUCKET_BYTES", max(1, size // buckets))
+    train = some.where("doc_id % 3 > 0")
+    model = ngram.train(train, order=order, share=8)
+    assert model.buckets >= buckets / 2 and (model.shares > 4 or buckets == 1)
+    plain = Plain([t for d, t in rows.items() if d % 3], order)
+    for r in ngram.score(some, model).collect():
+        close(r, plain.score(rows[r.doc_id]))
 
 
 def test_trouble_and_large_counts(spark, dirty, nothing):
