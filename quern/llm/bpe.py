@@ -26,6 +26,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from quern.llm import common as C
 from quern.llm.packing import pack, unpack
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+DEFAULT_TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 48 << 20
 BLOCK_CHARS = 8 << 20
 BATCH_TOKENS = 1 << 19
 _ROW = "kind int, block long, bucket int, at long, doc_id long, payload binary, mark long"
@@ -277,19 +280,25 @@ def _table(parts: list, mark: int, block: int) -> tuple[np.ndarray, np.ndarray,
 
 def _coded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
     """Blocks one after the other: first the ids of a block's words, then its texts."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def blocks(kind: int) -> DataFrame:
         return rows.mapInArrow(lambda it: C.lean(_blocks(it, tokenizer, buckets, kind, block_chars)), _ROW)
 
-    ids = blocks(0).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: C.lean(_encode(it, tokenizer)), _ROW)
+    ids = blocks(0).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: C.lean(_encode(it, tokenizer)), _ROW)
     # The texts come first in the union: blocks are numbered by partition, which a union counts through.
     return blocks(1).unionByName(ids).repartition("block").sortWithinPartitions("block", "kind", "at")
 
 
 def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(doc_id, ids array<int>)`` for every row of docs; null text counts as empty (no ids)."""
+    """``(doc_id, ids array<int>)`` for every row of docs.
+
+    Null and empty texts have no ids. Rows with a null or repeated id, and
+    wholly equal rows, stay rows of their own. Texts are encoded whole, however
+    long they are. An empty table gives no rows, and other columns are not read.
+    """
     return _coded(docs, tokenizer, id_col, text_col, block_chars).mapInArrow(lambda it: C.lean(_join(it)), "doc_id long, ids array<int>")
 
 

@@ -2,7 +2,9 @@
 
 A fingerprint has eight bytes. Two that differ in at most four bits differ in
 at most four bytes, so they share at least four of the eight (position, byte)
-entries: the guaranteed minimum of the count filter. A list for one
+entries: the guaranteed minimum of the count filter. (At this bound the filter is
+implied by the verification and refuses nothing by itself: what it gives is the
+guarantee by which lists are chosen.) A list for one
 (position, byte) holds 1/256 of a corpus, too many to pair, so lists are keyed
 by three positional bytes at once: ``TRIPLES`` is a set of 20 position triples
 of which every four positions contain one whole. Pairs within a list are
@@ -140,7 +142,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the least doc_id reachable by links. Repeated rows stay
     repeated. Rows with a null id are linked like others but name a component
-    only if it has no other id (then null). An empty table gives no rows.
+    only if it has no other id (then null). An empty table gives no rows. Texts
+    count whole, however long they are; of ties the least id names a component.
     """
     rows = C.durable(fingerprints(docs, id_col, text_col, shingle))
     classes = C.durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
