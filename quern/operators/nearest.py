@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from quern.functions.columns import l2_distance, normalised, similarity
 
 BLOCK = 2048
-SMALL_STORE_ROWS = 50_000
+#: A store of fewer bytes is sent to all tasks.
+SMALL_STORE_BYTES = 32 << 20
 
 
 def _packed(df: DataFrame, ident: str, vector: str, block: int, rows: int) -> DataFrame:
@@ -75,11 +76,12 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 1, ident: str = "vec_id",
     Ties go to the lesser id. With ``same`` false a row is not its own
     neighbour. An empty store gives no rows.
     """
-    n_store, n_queries = store.count(), queries.count()
+    n_store, width = store.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
+    n_queries = queries.count()
     s = _packed(store, ident, vector, block, n_store).select(F.col("rows").alias("s"))
     q = _packed(queries, ident, vector, block, n_queries).select("b", F.col("rows").alias("q"))
     # One row a block: the product below has (queries / block) x (store / block) rows.
-    met = q.crossJoin(F.broadcast(s) if n_store <= SMALL_STORE_ROWS else s)
+    met = q.crossJoin(F.broadcast(s) if n_store * (8 * width + 16) <= SMALL_STORE_BYTES else s)
     parts = met.mapInArrow(lambda it: _best(it, k, same), "query_id long, neighbour_id long, distance double")
     best = parts.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k).alias("best"))
     one = best.select("query_id", F.posexplode("best").alias("rank", "b"))

@@ -121,7 +121,7 @@ def test_settings(tmp_path):
 
 
 def test_auto_search_is_exact_at_every_size(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "SMALL_STORE_ROWS", 0)
+    monkeypatch.setattr(nearest, "SMALL_STORE_BYTES", 0)
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
     got = nearest.search(df, df, radius=0.5, k=2)
     assert got.columns == nearest.knn(df, df, k=2).columns and got.count() == 12
