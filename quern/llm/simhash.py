@@ -54,6 +54,8 @@ _CHUNK, _ROWS = 1 << 15, 512
 STAGE_SHINGLE, ALIKE, BANDS, BAND_ROWS = 5, (4, 5), 20, 5
 #: Shingles of a block of sets, each set counting as ``SET_WEIGHT`` more.
 BLOCK_SHINGLES, SET_WEIGHT = 1 << 21, 512
+#: Keys of candidates (32 bytes each) up to which they are sent to all tasks instead of the texts to them.
+FEW_KEYS = 1 << 20
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +204,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (x.slice(at, _ROWS) for x in batches for at in range(0, x.num_rows, _ROWS)):
         sets = [s.view(np.int64) for s in _sets(b.column("hashes"))]
-        columns = [b.column("k"), b.column("cls"), b.column("bands"), pa.array(sets, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
+        bands = _bands([s.view(np.uint64) for s in sets]).view(np.int64) if sets else []
+        columns = [b.column("k"), b.column("cls"), pa.array(list(bands), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["k", "cls", "bands", "hashes", "n"])
 
 
@@ -262,10 +265,12 @@ def alike(docs: DataFrame, shingle: int = STAGE_SHINGLE, block: int = BLOCK_SHIN
     lists = posting.groupBy("k").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").select(C.apart(F.col("k")).alias("k"), "b")
     met = posting.withColumn("k", C.apart(F.col("k"))).join(lists, "k").select(F.col("cls").alias("a"), "b")
     groups = C.components(met).select(F.col("node").alias("cls"), F.col("root").alias("k"))
-    members = classes.join(groups, "cls").select("k", "cls", "bands", F.col("first.row_key").alias("row_key"), F.col("first.doc_id").alias("id"))
+    members = C.durable(classes.join(groups, "cls").select("k", "cls", F.col("first.row_key").alias("row_key"), F.col("first.doc_id").alias("id")))
+    few = F.broadcast(members) if members.count() <= FEW_KEYS else members
     # Of wholly equal rows one is enough.
-    texts = keyed.join(members, (keyed["row_key"] == members["row_key"]) & keyed["doc_id"].eqNullSafe(members["id"])).select("k", "cls", "bands", "text").dropDuplicates(["cls"])
-    sets = C.durable(texts.select("k", "cls", "bands", _shingles(F.col("text"), shingle).alias("hashes")).mapInArrow(lambda it: C.lean(_distinct(it)), "k long, cls long, bands array<long>, hashes array<long>, n long"))
+    texts = keyed.join(few, (keyed["row_key"] == few["row_key"]) & keyed["doc_id"].eqNullSafe(few["id"])).select("k", "cls", _shingles(F.col("text"), shingle).alias("hashes"))
+    made = texts.mapInArrow(lambda it: C.lean(_distinct(it)), "k long, cls long, bands array<long>, hashes array<long>, n long")
+    sets = C.durable(made.dropDuplicates(["cls"]))
     dealt = C.blocked(sets, F.col("cls"), block, F.col("n") + SET_WEIGHT).select("k", "lo", "hi", "cls", "bands", "hashes")
     joined = C.components(dealt.mapInArrow(lambda it: C.lean(_alike(it)), "a long, b long"))
     return classes.join(joined, classes.cls == joined.node, "left").select("first", F.coalesce("root", "cls").alias("root"))

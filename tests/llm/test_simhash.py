@@ -69,10 +69,29 @@ def test_links_in_small_blocks_join_all_within_reach(spark, sets):
     assert groups([got.get(s, s) for s in signed]) == groups(want)
 
 
+def five_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} - {""}
+
+
 def test_stage_keeps_one_of_each(spark, docs, dirty, nothing, sf001):
     kept = simhash.keep_one(spark, docs, sf001)
-    named = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(named.values())) and kept.columns == docs.columns
+    sets = {r.doc_id: five_words(r.text) for r in docs.collect()}
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                first, second = sorted((top(a), top(b)))
+                root[second] = first
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({top(d) for d in ids}) and kept.columns == docs.columns
     assert simhash.keep_one(spark, nothing, sf001).count() == 0
     left = simhash.keep_one(spark, dirty, sf001)
     assert left.columns == dirty.columns
