@@ -10,8 +10,9 @@ with their counts to the shared folder; workers map those files into memory and
 look up a block's distinct n-grams in hash order. What reaches the driver is a
 few sums a bucket.
 
-Words are known by 64-bit hashes; two words or n-grams of one hash share their
-counts. The order is a parameter; see ``ORDER``.
+Words are known by 64-bit hashes; two words of one hash share their counts. An
+n-gram that was not learned is taken for a learned one with a chance of 2^-28
+at most, because longer n-grams' hashes are stored in part. The order is a parameter; see ``ORDER``.
 """
 
 from __future__ import annotations
@@ -139,27 +140,43 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int, shares:
         yield from _deal(_home(words, buckets, shares), order, words, (np.bincount(every).astype(np.uint32),))
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones, and so on: alike bytes stand together."""
+    return v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+
+
+def _values(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(size, -1).T.tobytes(), kind)
+
+
 def _deal(bucket: np.ndarray, kind: int, words: list[np.ndarray], values: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket; within it rows are in order of one word, whose runs are kept once."""
-    lead = 1 if len(words) > 2 else 0
-    order = np.lexsort((words[lead], bucket))
+    """A row for each bucket. It holds each of its words' hashes once, the frequent ones first, and n-grams as places in that list."""
+    order = np.lexsort((words[1 if len(words) > 2 else 0], bucket))
     bucket, words, values = bucket[order], [w[order] for w in words], [v[order] for v in values]
     for s, e in _runs(bucket):
-        first = words[lead][s:e]
-        starts = np.array([x for x, _ in _runs(first)], np.int64)
-        rest = [w[s:e] for k, w in enumerate(words) if k != lead]
-        payload = pack(first[starts], np.diff(np.r_[starts, e - s]).astype(np.uint32), *rest, *(v[s:e] for v in values))
+        if len(words) == 1:
+            known, columns = words[0][s:e], []
+        else:
+            known, every, n = np.unique(np.concatenate([w[s:e] for w in words]), return_inverse=True, return_counts=True)
+            ranked = np.argsort(-n, kind="stable")
+            rank = np.empty(len(n), np.uint32)
+            rank[ranked] = np.arange(len(n), dtype=np.uint32)
+            known, columns = known[ranked], np.split(rank[every], len(words))
+        payload = pack(known.tobytes(), *map(_planes, columns), *(_planes(v[s:e]) for v in values))
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[s])], pa.int32()), pa.array([kind], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "kind", "payload"])
 
 
 def _dealt(payloads: list[bytes], size: int, kinds: tuple[type, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(words, values) of rows that were dealt."""
-    lead = 1 if size > 2 else 0
-    parts = [unpack(p, np.uint64, np.uint32, *[np.uint64] * (size - 1), *kinds) for p in payloads]
-    columns = [np.concatenate([np.repeat(p[0], p[1]) for p in parts]), *(np.concatenate(c) for c in zip(*[p[2:] for p in parts], strict=True))]
-    words = columns[1:size]
-    words.insert(lead, columns[0])
-    return words, columns[size:]
+    places = size if size > 1 else 0
+    parts = []
+    for p in payloads:
+        known, *rest = unpack(p, np.uint64, *[bytes] * (places + len(kinds)))
+        words = [known[_values(r, np.uint32)] for r in rest[:places]] or [known]
+        parts.append([*words, *(_values(r, kind) for r, kind in zip(rest[places:], kinds, strict=True))])
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return columns[:size], columns[size:]
 
 
 def _runs(v: np.ndarray) -> list[tuple[int, int]]:
@@ -184,33 +201,78 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
 
 
-def _store(folder: str, name: str, hashes: np.ndarray, *counts: np.ndarray) -> None:
-    """Sorted hashes, and each count as a byte with the large ones apart."""
-    order = np.argsort(hashes, kind="stable")
-    write(folder, f"{name}.h", hashes[order].tobytes())
-    for i, n in enumerate(counts):
-        n = n[order]
-        large = np.flatnonzero(n > 254)
-        write(folder, f"{name}.{i}", np.minimum(n, 255).astype(np.uint8).tobytes())
-        write(folder, f"{name}.{i}.at", large.astype(np.int64).tobytes())
-        write(folder, f"{name}.{i}.n", n[large].astype(np.int64).tobytes())
+_RARE, _SMALL = 255, 200  # the code of counts that are written out, and what keeps four counts in one number
+
 
+def _store(folder: str, name: str, hashes: np.ndarray, *counts: np.ndarray, whole: bool = False) -> None:
+    """Sorted hashes and a byte for each one's counts.
 
-def _fetch(folder: str, name: str, hashes: np.ndarray, counts: int) -> list[np.ndarray]:
+    Of a hash the leading bits are told by its place (``.at`` has the start of
+    each of their values) and the next 32 are stored, unless ``whole``. The
+    byte is a place in the list of the file's 255 commonest counts, or sends to
+    ``.rare``.
+    """
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], np.stack([n[order] for n in counts])
+    if whole:
+        write(folder, f"{name}.h", hashes.tobytes())
+    else:
+        bits = np.uint64(max(1, len(hashes).bit_length() - 4))
+        write(folder, f"{name}.h", ((hashes << bits) >> np.uint64(32)).astype(np.uint32).tobytes())
+        write(folder, f"{name}.at", np.searchsorted(hashes >> (np.uint64(64) - bits), np.arange((1 << int(bits)) + 1, dtype=np.uint64)).astype(np.uint32).tobytes())
+    small = (counts < _SMALL).all(axis=0)
+    key = np.where(small, (counts * (_SMALL ** np.arange(len(counts), dtype=np.int64))[:, None]).sum(axis=0), -1)
+    _, first, every, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    n[~small[first]] = 0
+    common = np.argsort(-n, kind="stable")[:_RARE]
+    common = common[n[common] > 0]
+    code = np.full(len(first), _RARE, np.uint8)
+    code[common] = np.arange(len(common))
+    code = code[every]
+    rare = np.flatnonzero(code == _RARE)
+    write(folder, f"{name}.c", code.tobytes())
+    write(folder, f"{name}.common", counts[:, first[common]].tobytes())
+    write(folder, f"{name}.rare", np.concatenate([rare[None], counts[:, rare]]).astype(np.int64).tobytes())
+
+
+def _place(known: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of hashes whose leading bits are told by place; all are halved in step."""
+    bits = np.uint64((len(starts) - 1).bit_length() - 1)
+    lead = (hashes >> (np.uint64(64) - bits)).astype(np.int64)
+    tail = ((hashes << bits) >> np.uint64(32)).astype(np.uint32)
+    low, end = starts[lead].astype(np.int64), starts[lead + 1].astype(np.int64)
+    high = end
+    for _ in range(int((end - low).max(initial=0)).bit_length()):
+        mid = (low + high) >> 1
+        less = (mid < high) & (known[np.minimum(mid, len(known) - 1)] < tail)
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+    at = np.minimum(low, len(known) - 1)
+    return at, (low < end) & (known[at] == tail)
+
+
+def _fetch(folder: str, name: str, hashes: np.ndarray, counts: int, whole: bool) -> list[np.ndarray]:
     """The counts of hashes, 0 where there is none."""
-    known = mapped(folder, f"{name}.h", "uint64")
+    known = mapped(folder, f"{name}.h", "uint64" if whole else "uint32")
     out = [np.zeros(len(hashes), np.int64) for _ in range(counts)]
     if not len(known) or not len(hashes):
         return out
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    hit = np.flatnonzero(known[at] == hashes)
+    if whole:
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        there = known[at] == hashes
+    else:
+        at, there = _place(known, mapped(folder, f"{name}.at", "uint32"), hashes)
+    hit = np.flatnonzero(there)
     at = at[hit]
+    code = mapped(folder, f"{name}.c", "uint8")[at]
+    common = mapped(folder, f"{name}.common", "int64").reshape(counts, -1)
+    rare = mapped(folder, f"{name}.rare", "int64").reshape(counts + 1, -1)
+    is_rare = np.flatnonzero(code == _RARE)
+    places = np.searchsorted(rare[0], at[is_rare])
     for i in range(counts):
-        n = mapped(folder, f"{name}.{i}", "uint8")[at].astype(np.int64)
-        large = np.flatnonzero(n == 255)
-        if len(large):
-            places = mapped(folder, f"{name}.{i}.at", "int64")
-            n[large] = mapped(folder, f"{name}.{i}.n", "int64")[np.searchsorted(places, at[large])]
+        n = np.zeros(len(hit), np.int64)
+        if common.shape[1]:
+            n = np.array(common[i][np.minimum(code, common.shape[1] - 1)])
+        n[is_rare] = rare[i + 1][places]
         out[i][hit] = n
     return out
 
@@ -284,7 +346,7 @@ def _merge_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
         if own:
             (word,), values = _dealt(own, 1, (np.int64, np.int64))
             (word,), (contexts, tokens) = _sum_by((word,), tuple(values))
-            _store(folder, f"word-{bucket}", word, contexts, tokens)
+            _store(folder, f"word-{bucket}", word, contexts, tokens, whole=True)
             yield _note(words=_counts_of_counts(contexts), types=len(word), tokens=int(tokens.sum()), contexts=int(contexts.sum()), high=int((contexts > 2).sum()), word=[bucket])
 
 
@@ -318,11 +380,12 @@ class Model:
     def _look(self, kind: str, bucket_of: np.ndarray, hashes: np.ndarray, counts: int) -> list[np.ndarray]:
         out = [np.zeros(len(hashes), np.int64) for _ in range(counts)]
         order = np.lexsort((hashes, bucket_of))
+        whole = kind == "word"
         for s, e in _runs(bucket_of[order]):
             some = order[s:e]
             b = int(bucket_of[some[0]])
             if b in self.held.get(kind, ()):
-                for o, n in zip(out, _fetch(self.folder, f"{kind}-{b}", hashes[some], counts), strict=True):
+                for o, n in zip(out, _fetch(self.folder, f"{kind}-{b}", hashes[some], counts, whole), strict=True):
                     o[some] = n
         return out
 
