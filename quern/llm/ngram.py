@@ -1,7 +1,8 @@
 """Perplexity by an interpolated modified Kneser-Ney n-gram model.
 
-N-grams of the training documents are counted in Spark: combined within each
-block of text, dealt by hash, merged. What a bucket has merged gives the rows of
+The training documents' words are counted in Spark and numbered, the frequent
+ones first. Their n-grams are counted then: combined within each block of text,
+dealt by hash as numbers, merged. What a bucket has merged gives the rows of
 the next lower order, each n-gram's last words with the number of words before
 them, and so on down to words. An order's n-grams are dealt by one word and a
 share of another, so that all that a context needs meets in one bucket, and a
@@ -12,13 +13,14 @@ few sums a bucket.
 
 Words are known by 64-bit hashes; two words of one hash share their counts. An
 n-gram that was not learned is taken for a learned one with a chance of 2^-28
-at most, because longer n-grams' hashes are stored in part. The order is a parameter; see ``ORDER``.
+at most, because n-grams' hashes are stored in part. The order is a parameter;
+see ``ORDER``.
 """
 
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +33,15 @@ from quern.llm import common as C
 from quern.llm.packing import mapped, new_folder, pack, unpack, write
 
 BLOCK_BYTES = 12 << 20
+#: Distinct words that a task counts before it hands them on.
+BLOCK_WORDS = 1 << 19
 #: The order of the model that the query trains, two or more.
 ORDER = 3
 #: Bytes of text for each bucket; a frequent word is dealt to one bucket in so many.
 BUCKET_BYTES, SHARE = 48 << 20, 32
 HELD_OUT, FOLDS = 2, 7
 _START, _END = b" ", b"\n"  # no word holds either
+_START_ID, _UNKNOWN = np.uint64(0), np.uint64(2**64 - 1)
 _ROW = "bucket int, kind int, payload binary"
 
 
@@ -53,11 +58,11 @@ def _mix(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _gram(words: list[np.ndarray]) -> np.ndarray:
-    """The hash of n-grams from those of their words."""
+    """The hash of n-grams from the numbers of their words."""
     out = words[0]
     for w in words[1:]:
         out = _mix(out, w)
-    return out
+    return out if len(words) > 1 else _mix(out, np.uint64(0))
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -69,10 +74,19 @@ def _home(words: list[np.ndarray], buckets: int, shares: int) -> np.ndarray:
 
     From order three on a context (all words but the last) has one home.
     """
-    if len(words) == 1:
-        return _bucket(words[0], buckets)
     lead, split = (words[1], words[0]) if len(words) > 2 else (words[0], words[1])
-    return _bucket(lead + (split % np.uint64(shares)) * np.uint64(0x9E3779B97F4A7C15), buckets)
+    return _bucket(_mix(lead, split % np.uint64(shares)), buckets)
+
+
+def _number(rank: np.ndarray, bucket: np.ndarray | int, buckets: int) -> np.ndarray:
+    """A word's number, from its rank in its bucket; the start has 0."""
+    return rank.astype(np.uint64) * np.uint64(buckets) + np.asarray(bucket).astype(np.uint64) + np.uint64(1)
+
+
+def _rank(number: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, rank) of words."""
+    rank, bucket = np.divmod(number - np.uint64(1), np.uint64(buckets))
+    return bucket.astype(np.int64), rank.astype(np.int64)
 
 
 @dataclass
@@ -128,15 +142,69 @@ def _grams(b: _Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _words(b: _Block, places: np.ndarray, order: int) -> list[np.ndarray]:
-    """The words' hashes of the n-grams that end at places."""
-    return [b.hashes[b.tokens[places - k]] for k in range(order - 1, -1, -1)]
+def _words(ids: np.ndarray, b: _Block, places: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words' numbers of the n-grams that end at places."""
+    return [ids[b.tokens[places - k]] for k in range(order - 1, -1, -1)]
+
+
+def _count_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    counts: Counter[bytes] = Counter()
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in counts), np.uint64, len(counts))
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        return _deal(_bucket(hashes, buckets), 1, [hashes], (n,))
+
+    for b in batches:
+        for text in b.column("text"):
+            counts.update((text.as_py() or b"").lower().split())
+            counts[_END] += 1
+            if len(counts) >= BLOCK_WORDS:
+                yield from counted()
+                counts.clear()
+    yield from counted()
+
+
+def _number_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Stores each bucket's words: hashes, each one's rank by count, and counts by rank."""
+    for bucket, rows in _by_bucket(batches):
+        (word,), (n,) = _dealt([p for _, p in rows], 1, (np.int64,))
+        (word,), (n,) = _sum_by((word,), (n,))
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        write(folder, f"word-{bucket}.h", word.tobytes())
+        write(folder, f"word-{bucket}.rank", rank.tobytes())
+        _store_counts(folder, f"tokens-{bucket}", n[order][None])
+        yield _note(types=len(word), tokens=int(n.sum()), word=[bucket])
+
+
+def _numbers(folder: str, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The numbers of words."""
+    out = np.full(len(hashes), _UNKNOWN)
+    bucket = _bucket(hashes, buckets)
+    order = np.lexsort((hashes, bucket))
+    for s, e in _runs(bucket[order]):
+        some, b = order[s:e], int(bucket[order[s]])
+        if (known := mapped(folder, f"word-{b}.h", "uint64", missing=True)) is None:
+            continue
+        at = np.minimum(np.searchsorted(known, hashes[some]), len(known) - 1)
+        there = known[at] == hashes[some]
+        out[some[there]] = _number(mapped(folder, f"word-{b}.rank", "uint32")[at[there]], b, buckets)
+    return out
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
+def _ids(folder: str, b: _Block, buckets: int) -> np.ndarray:
+    """The numbers of a block's distinct tokens, the start first."""
+    return np.concatenate([[_START_ID], _numbers(folder, b.hashes[1:], buckets)])
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int, folder: str, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
     for b in _blocks(batches, order, []):
         places, every = _grams(b, order)[-1]
-        words = _words(b, places, order)
+        words = _words(_ids(folder, b, buckets), b, places, order)
         yield from _deal(_home(words, buckets, shares), order, words, (np.bincount(every).astype(np.uint32),))
 
 
@@ -151,30 +219,25 @@ def _values(raw: bytes, kind: type) -> np.ndarray:
 
 
 def _deal(bucket: np.ndarray, kind: int, words: list[np.ndarray], values: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket. It holds each of its words' hashes once, the frequent ones first, and n-grams as places in that list."""
-    order = np.lexsort((words[1 if len(words) > 2 else 0], bucket))
+    """A row for each bucket; within it rows are in order of one word, of which the differences are kept."""
+    lead = 1 if len(words) > 2 else 0
+    order = np.lexsort((words[lead], bucket))
     bucket, words, values = bucket[order], [w[order] for w in words], [v[order] for v in values]
     for s, e in _runs(bucket):
-        if len(words) == 1:
-            known, columns = words[0][s:e], []
-        else:
-            known, every, n = np.unique(np.concatenate([w[s:e] for w in words]), return_inverse=True, return_counts=True)
-            ranked = np.argsort(-n, kind="stable")
-            rank = np.empty(len(n), np.uint32)
-            rank[ranked] = np.arange(len(n), dtype=np.uint32)
-            known, columns = known[ranked], np.split(rank[every], len(words))
-        payload = pack(known.tobytes(), *map(_planes, columns), *(_planes(v[s:e]) for v in values))
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[s])], pa.int32()), pa.array([kind], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "kind", "payload"])
+        columns = [w[s:e] for w in words]
+        columns[lead] = np.diff(columns[lead], prepend=np.uint64(0))
+        payload = pack(*map(_planes, columns), *(_planes(v[s:e]) for v in values))
+        yield _row(int(bucket[s]), kind, payload)
 
 
 def _dealt(payloads: list[bytes], size: int, kinds: tuple[type, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(words, values) of rows that were dealt."""
-    places = size if size > 1 else 0
+    lead, kinds = 1 if size > 2 else 0, (np.uint64,) * size + kinds
     parts = []
     for p in payloads:
-        known, *rest = unpack(p, np.uint64, *[bytes] * (places + len(kinds)))
-        words = [known[_values(r, np.uint32)] for r in rest[:places]] or [known]
-        parts.append([*words, *(_values(r, kind) for r, kind in zip(rest[places:], kinds, strict=True))])
+        part = [_values(raw, kind) for raw, kind in zip(unpack(p, *[bytes] * len(kinds)), kinds, strict=True)]
+        part[lead] = np.cumsum(part[lead], dtype=np.uint64)
+        parts.append(part)
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     return columns[:size], columns[size:]
 
@@ -204,22 +267,22 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
 _RARE, _SMALL = 255, 200  # the code of counts that are written out, and what keeps four counts in one number
 
 
-def _store(folder: str, name: str, hashes: np.ndarray, *counts: np.ndarray, whole: bool = False) -> None:
-    """Sorted hashes and a byte for each one's counts.
+def _store(folder: str, name: str, hashes: np.ndarray, *counts: np.ndarray) -> None:
+    """Sorted hashes and their counts.
 
     Of a hash the leading bits are told by its place (``.at`` has the start of
-    each of their values) and the next 32 are stored, unless ``whole``. The
-    byte is a place in the list of the file's 255 commonest counts, or sends to
-    ``.rare``.
+    each of their values) and the next 32 are stored.
     """
     order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], np.stack([n[order] for n in counts])
-    if whole:
-        write(folder, f"{name}.h", hashes.tobytes())
-    else:
-        bits = np.uint64(max(1, len(hashes).bit_length() - 4))
-        write(folder, f"{name}.h", ((hashes << bits) >> np.uint64(32)).astype(np.uint32).tobytes())
-        write(folder, f"{name}.at", np.searchsorted(hashes >> (np.uint64(64) - bits), np.arange((1 << int(bits)) + 1, dtype=np.uint64)).astype(np.uint32).tobytes())
+    hashes = hashes[order]
+    bits = np.uint64(max(1, len(hashes).bit_length() - 4))
+    write(folder, f"{name}.h", ((hashes << bits) >> np.uint64(32)).astype(np.uint32).tobytes())
+    write(folder, f"{name}.at", np.searchsorted(hashes >> (np.uint64(64) - bits), np.arange((1 << int(bits)) + 1, dtype=np.uint64)).astype(np.uint32).tobytes())
+    _store_counts(folder, name, np.stack([n[order] for n in counts]))
+
+
+def _store_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """A byte for each column of counts: its place among the file's 255 commonest ones, or a sign that ``.rare`` has it."""
     small = (counts < _SMALL).all(axis=0)
     key = np.where(small, (counts * (_SMALL ** np.arange(len(counts), dtype=np.int64))[:, None]).sum(axis=0), -1)
     _, first, every, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
@@ -250,30 +313,30 @@ def _place(known: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[n
     return at, (low < end) & (known[at] == tail)
 
 
-def _fetch(folder: str, name: str, hashes: np.ndarray, counts: int, whole: bool) -> list[np.ndarray]:
-    """The counts of hashes, 0 where there is none."""
-    known = mapped(folder, f"{name}.h", "uint64" if whole else "uint32")
-    out = [np.zeros(len(hashes), np.int64) for _ in range(counts)]
-    if not len(known) or not len(hashes):
-        return out
-    if whole:
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        there = known[at] == hashes
-    else:
-        at, there = _place(known, mapped(folder, f"{name}.at", "uint32"), hashes)
-    hit = np.flatnonzero(there)
-    at = at[hit]
+def _counts_at(folder: str, name: str, at: np.ndarray, counts: int) -> list[np.ndarray]:
+    """The counts at places."""
     code = mapped(folder, f"{name}.c", "uint8")[at]
     common = mapped(folder, f"{name}.common", "int64").reshape(counts, -1)
     rare = mapped(folder, f"{name}.rare", "int64").reshape(counts + 1, -1)
     is_rare = np.flatnonzero(code == _RARE)
     places = np.searchsorted(rare[0], at[is_rare])
+    out = []
     for i in range(counts):
-        n = np.zeros(len(hit), np.int64)
-        if common.shape[1]:
-            n = np.array(common[i][np.minimum(code, common.shape[1] - 1)])
+        n = np.array(common[i][np.minimum(code, common.shape[1] - 1)]) if common.shape[1] else np.zeros(len(at), np.int64)
         n[is_rare] = rare[i + 1][places]
-        out[i][hit] = n
+        out.append(n)
+    return out
+
+
+def _fetch(folder: str, name: str, hashes: np.ndarray, counts: int) -> list[np.ndarray]:
+    """The counts of hashes, 0 where there is none."""
+    known = mapped(folder, f"{name}.h", "uint32")
+    out = [np.zeros(len(hashes), np.int64) for _ in range(counts)]
+    if not len(known) or not len(hashes):
+        return out
+    at, there = _place(known, mapped(folder, f"{name}.at", "uint32"), hashes)
+    for o, n in zip(out, _counts_at(folder, name, at[there], counts), strict=True):
+        o[there] = n
     return out
 
 
@@ -305,7 +368,7 @@ _CONTEXT = 100  # the kind of rows for contexts of an order, added to the order
 _SUMS = (np.int64,) * 4
 
 
-def _merge(batches: Iterator[pa.RecordBatch], level: int, top: int, folder: str, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], level: int, folder: str, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
     """Stores the n-grams of an order and yields what lower orders need; other rows pass."""
     whole = level > 2 or shares == 1  # whether all of a context is in one bucket
     for bucket, rows in _by_bucket(batches):
@@ -324,17 +387,14 @@ def _merge(batches: Iterator[pa.RecordBatch], level: int, top: int, folder: str,
             _store(folder, f"context{level}-{bucket}", context, *sums)
         else:
             yield from _deal(_bucket(context, buckets), _CONTEXT + level, [context], sums)
-        if level == top:
-            (word,), (tokens,) = _sum_by((words[-1],), (n,))
-            yield from _deal(_bucket(word, buckets), 1, [word], (np.zeros(len(word), np.int64), tokens))
         lower, (before,) = _sum_by(tuple(words[1:]), (np.ones(len(n), np.int64),))
         if level > 2:
             yield from _deal(_home(list(lower), buckets, shares), level - 1, list(lower), (before.astype(np.uint32),))
         else:
-            yield from _deal(_bucket(lower[0], buckets), 1, list(lower), (before, np.zeros(len(before), np.int64)))
+            yield from _deal(_rank(lower[0], buckets)[0], 1, list(lower), (before,))
 
 
-def _merge_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _merge_words(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
     for bucket, rows in _by_bucket(batches):
         yield from (_row(-1, kind, p) for kind, p in rows if kind == _NOTE)
         for level in sorted({kind for kind, _ in rows if kind > _CONTEXT}):
@@ -344,10 +404,10 @@ def _merge_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
             yield _note(**{f"context{level - _CONTEXT}": [bucket]})
         own = [p for kind, p in rows if kind == 1]
         if own:
-            (word,), values = _dealt(own, 1, (np.int64, np.int64))
-            (word,), (contexts, tokens) = _sum_by((word,), tuple(values))
-            _store(folder, f"word-{bucket}", word, contexts, tokens, whole=True)
-            yield _note(words=_counts_of_counts(contexts), types=len(word), tokens=int(tokens.sum()), contexts=int(contexts.sum()), high=int((contexts > 2).sum()), word=[bucket])
+            (word,), (n,) = _dealt(own, 1, (np.int64,))
+            (word,), (n,) = _sum_by((word,), (n,))
+            _store_counts(folder, f"before-{bucket}", n[None])  # every word has one, so a word's place is its rank
+            yield _note(words=_counts_of_counts(n), contexts=int(n.sum()), high=int((n > 2).sum()))
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -380,12 +440,11 @@ class Model:
     def _look(self, kind: str, bucket_of: np.ndarray, hashes: np.ndarray, counts: int) -> list[np.ndarray]:
         out = [np.zeros(len(hashes), np.int64) for _ in range(counts)]
         order = np.lexsort((hashes, bucket_of))
-        whole = kind == "word"
         for s, e in _runs(bucket_of[order]):
             some = order[s:e]
             b = int(bucket_of[some[0]])
             if b in self.held.get(kind, ()):
-                for o, n in zip(out, _fetch(self.folder, f"{kind}-{b}", hashes[some], counts, whole), strict=True):
+                for o, n in zip(out, _fetch(self.folder, f"{kind}-{b}", hashes[some], counts), strict=True):
                     o[some] = n
         return out
 
@@ -393,8 +452,16 @@ class Model:
         """(base log probability, count in training, model's log probability) of each token but the starts."""
         grams = _grams(b, self.order)
         places, every = grams[0]
-        (word,) = _words(b, places, 1)
-        contexts, count = self._look("word", _bucket(word, self.buckets), word, 2)
+        ids = _ids(self.folder, b, self.buckets)
+        (word,) = _words(ids, b, places, 1)
+        contexts, count = np.zeros((2, len(word)), np.int64)
+        known = np.flatnonzero(word != _UNKNOWN)
+        bucket, rank = _rank(word[known], self.buckets)
+        order = np.lexsort((rank, bucket))
+        for s, e in _runs(bucket[order]):
+            some, at = known[order[s:e]], rank[order[s:e]]
+            for out, name in ((contexts, "before"), (count, "tokens")):
+                (out[some],) = _counts_at(self.folder, f"{name}-{bucket[order[s]]}", at, 1)
         base = np.log10((count + 1) / (self.tokens + self.types + 1))
         uniform = 1 / (self.types + 1)
         p = (self._less(contexts, 1) / self.continuations + self.word_rest * uniform) if self.continuations else np.full(len(word), uniform)
@@ -403,7 +470,7 @@ class Model:
         position[b.tokens != 0] = np.arange(len(every))
         for k in range(2, self.order + 1):
             places, now = grams[k - 1]
-            words = _words(b, places, k)
+            words = _words(ids, b, places, k)
             lower = low[at[position[places]]]  # of the same token with one word less before it
             home = _home(words, self.buckets, self.shares)
             context = _gram(words[:-1])
@@ -432,15 +499,17 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, share: in
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     shares = max(1, buckets // share)
-    rows = texts.mapInArrow(lambda it: C.lean(_count(it, order, buckets, shares)), _ROW)
+    by_bucket = lambda rows: rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    words = by_bucket(texts.mapInArrow(lambda it: C.lean(_count_words(it, buckets)), _ROW))
+    notes = [json.loads(bytes(r.payload)) for r in words.mapInArrow(lambda it: C.lean(_number_words(it, folder)), _ROW).collect()]
+    rows = texts.mapInArrow(lambda it: C.lean(_count(it, order, folder, buckets, shares)), _ROW)
     for level in range(order, 1, -1):
-        dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        rows = dealt.mapInArrow(lambda it, level=level: C.lean(_merge(it, level, order, folder, buckets, shares)), _ROW)
-    done = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: C.lean(_merge_words(it, folder)), _ROW)
-    notes = [json.loads(bytes(r.payload)) for r in done.collect()]
+        rows = by_bucket(rows).mapInArrow(lambda it, level=level: C.lean(_merge(it, level, folder, buckets, shares)), _ROW)
+    done = by_bucket(rows).mapInArrow(lambda it: C.lean(_merge_words(it, folder, buckets)), _ROW)
+    notes += [json.loads(bytes(r.payload)) for r in done.collect()]
     add = lambda k: sum(x.get(k, 0) for x in notes)
     vector = lambda k, some: [sum(x[k][i] for x in some if k in x) for i in range(4)]
-    names = ["word", *(f"{kind}{k}" for kind in ("gram", "context") for k in range(2, order + 1))]
+    names = [f"{kind}{k}" for kind in ("gram", "context") for k in range(2, order + 1)]
     held = {name: frozenset(b for x in notes for b in x.get(name, ())) for name in names}
     words = vector("words", notes)
     of = {1: discounts(words)} | {k: discounts(vector("counts", [x for x in notes if x.get("level") == k])) for k in range(2, order + 1)}

@@ -62,14 +62,18 @@ def _copies() -> str:
 
 
 @functools.lru_cache(maxsize=4096)
-def mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    """A file as a memory-mapped array; from a store without paths it is copied once for the worker."""
+def mapped(folder: str, name: str, kind: str, missing: bool = False) -> np.ndarray | None:
+    """A file as a memory-mapped array, None where it may be missing and is; from a store without paths it is copied once for the worker."""
     if (path := _local(folder)) is not None:
         at = f"{path}/{name}"
+        if missing and not os.path.exists(at):
+            return None
     else:
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(folder)
+        if missing and system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            return None
         at = f"{_copies()}/{folder.rsplit('/', 1)[-1]}-{name}"
         with system.open_input_stream(f"{path}/{name}") as f, open(at, "wb") as out:
             shutil.copyfileobj(f, out)
