@@ -185,7 +185,7 @@ def _numbers(folder: str, hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The numbers of words."""
     out = np.full(len(hashes), _UNKNOWN)
     bucket = _bucket(hashes, buckets)
-    order = np.lexsort((hashes, bucket))
+    order = _order(bucket, hashes)
     for s, e in _runs(bucket[order]):
         some, b = order[s:e], int(bucket[order[s]])
         if (known := mapped(folder, f"word-{b}.h", "uint64", missing=True)) is None:
@@ -218,10 +218,19 @@ def _values(raw: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(size, -1).T.tobytes(), kind)
 
 
+def _order(bucket: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Rows by bucket, and by the leading bits of minor that one number has room for beside it."""
+    if not len(bucket):
+        return np.zeros(0, np.int64)
+    bits = int(minor.max()).bit_length()
+    kept = min(bits, 64 - int(bucket.max()).bit_length())
+    return np.argsort((bucket.astype(np.uint64) << np.uint64(kept)) | (minor >> np.uint64(bits - kept)) if kept < 64 else minor)
+
+
 def _deal(bucket: np.ndarray, kind: int, words: list[np.ndarray], values: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     """A row for each bucket; within it rows are in order of one word, of which the differences are kept."""
     lead = 1 if len(words) > 2 else 0
-    order = np.lexsort((words[lead], bucket))
+    order = _order(bucket, words[lead])
     bucket, words, values = bucket[order], [w[order] for w in words], [v[order] for v in values]
     for s, e in _runs(bucket):
         columns = [w[s:e] for w in words]
@@ -250,14 +259,15 @@ def _runs(v: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sum_by(keys: tuple[np.ndarray, ...], values: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    order = np.lexsort(keys[::-1])
-    keys = tuple(k[order] for k in keys)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
+    """Each distinct key with its values' sums, in order of the key, of several in order of their hash."""
+    by = keys[0] if len(keys) == 1 else _gram(list(keys))
+    order = np.argsort(by)
+    by = by[order]
+    new = np.ones(len(order), bool)
+    new[1:] = by[1:] != by[:-1]
     starts = np.flatnonzero(new)
-    return tuple(k[starts] for k in keys), tuple(np.add.reduceat(v[order].astype(np.int64), starts) if len(starts) else v.astype(np.int64) for v in values)
+    first = order[starts]
+    return tuple(k[first] for k in keys), tuple(np.add.reduceat(v[order].astype(np.int64), starts) if len(starts) else v.astype(np.int64) for v in values)
 
 
 def _counts_of_counts(n: np.ndarray) -> list[int]:
@@ -439,7 +449,7 @@ class Model:
 
     def _look(self, kind: str, bucket_of: np.ndarray, hashes: np.ndarray, counts: int) -> list[np.ndarray]:
         out = [np.zeros(len(hashes), np.int64) for _ in range(counts)]
-        order = np.lexsort((hashes, bucket_of))
+        order = _order(bucket_of, hashes)
         for s, e in _runs(bucket_of[order]):
             some = order[s:e]
             b = int(bucket_of[some[0]])
@@ -472,11 +482,18 @@ class Model:
             places, now = grams[k - 1]
             words = _words(ids, b, places, k)
             lower = low[at[position[places]]]  # of the same token with one word less before it
-            home = _home(words, self.buckets, self.shares)
-            context = _gram(words[:-1])
+            # A context is the shorter n-gram at the token before, or nothing but starts.
+            before, which = grams[k - 2]
+            context_words = [np.append(w, _START_ID) for w in _words(ids, b, before, k - 1)]
+            context = _gram(context_words)
             whole = k > 2 or self.shares == 1
-            total, once, twice, more = self._look(f"context{k}", home if whole else _bucket(context, self.buckets), context, 4)
-            (c,) = self._look(f"gram{k}", home, _gram(words), 1)
+            home = _home([*context_words, _START_ID], self.buckets, self.shares) if whole else _bucket(context, self.buckets)
+            of = np.append(which, len(before))[position[places - 1]]
+            total, once, twice, more = (x[of] for x in self._look(f"context{k}", home, context, 4))
+            c = np.zeros(len(places), np.int64)
+            some = np.flatnonzero(total)
+            words = [w[some] for w in words]
+            (c[some],) = self._look(f"gram{k}", _home(words, self.buckets, self.shares), _gram(words), 1)
             d1, d2, d3 = self.discounts[k]
             divide = np.maximum(total, 1)
             rest = (d1 * once + d2 * twice + d3 * more) / divide
