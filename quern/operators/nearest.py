@@ -3,8 +3,9 @@
 The exact search works on blocks: vectors are packed into rows of ``BLOCK``,
 each pair of a query block and a store block is one matrix product, and only
 the k best of a block leave it. A store whose size is known to be small is
-sent to every task; a larger one is dealt out. The approximate search uses
-locality-sensitive hashing and ranks its candidates exactly.
+sent to every task; a larger one is dealt into cells, of which a query visits
+those that can hold a neighbour (``cells``). The approximate searches use an
+inverted file (``ivf``) or locality-sensitive hashing, and rank exactly.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.columns import l2_distance, normalised, similarity
+from quern.operators import cells
 
 BLOCK = 2048
 #: A store of fewer bytes is sent to all tasks.
@@ -77,11 +79,13 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 1, ident: str = "vec_id",
     neighbour. An empty store gives no rows.
     """
     n_store, width = store.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
+    if n_store * (8 * width + 16) > SMALL_STORE_BYTES:
+        return cells.search(queries, store, k, ident, vector, same)[0]
     n_queries = queries.count()
     s = _packed(store, ident, vector, block, n_store).select(F.col("rows").alias("s"))
     q = _packed(queries, ident, vector, block, n_queries).select("b", F.col("rows").alias("q"))
     # One row a block: the product below has (queries / block) x (store / block) rows.
-    met = q.crossJoin(F.broadcast(s) if n_store * (8 * width + 16) <= SMALL_STORE_BYTES else s)
+    met = q.crossJoin(F.broadcast(s))
     parts = met.mapInArrow(lambda it: _best(it, k, same), "query_id long, neighbour_id long, distance double")
     best = parts.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k).alias("best"))
     one = best.select("query_id", F.posexplode("best").alias("rank", "b"))

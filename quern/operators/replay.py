@@ -3,7 +3,8 @@
 Whether a request is stored depends on every decision before it, so a
 configuration is replayed in order by one task and configurations run in
 parallel. A task streams its sorted partition and holds only what the cache
-itself holds, never the whole group.
+itself holds, never the whole group. Large configurations are settled in
+parallel rounds instead (``rounds``), with the same result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.columns import config_id, normalised, prompt_key
+from quern.operators import rounds
+from quern.operators.shared import few
 
 LLM, EXACT, SEMANTIC = "llm", "exact_cache", "semantic_cache"
 OUT = "config string, seq long, source string, similarity double, matched_seq long, stored boolean"
@@ -94,13 +97,20 @@ def _kernel(batches: Iterator[pa.RecordBatch], options: dict, carry: tuple[str,
         )
 
 
-def replay(requests: DataFrame, max_size: int | None = None, ttl: float | None = None, exact: bool = True, semantic: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def replay(
+    requests: DataFrame, max_size: int | None = None, ttl: float | None = None, exact: bool = True, semantic: bool = True, carry: tuple[str, ...] = (), hot: int | None = None, **sizes: int
+) -> DataFrame:
     """Decisions ``(config, seq, source, similarity, matched_seq, stored, *carry)``.
 
     ``requests``: config, seq (unique within it), prompt or key, and where used
     vector (array), threshold, now (seconds) and failed (whether a call for the
     request would fail: it then stores nothing). Vectors are normalised here.
     Columns named in ``carry`` pass through, so a result need not be joined.
+
+    Configurations of more than ``hot`` requests are settled in rounds, those of
+    up to ``hot`` by a task each (None: all). That takes an index that never
+    forgets, so with a lifetime or without vectors every one has its task.
+    ``sizes``: the rounds' ``block`` and ``front``.
     """
     has = set(requests.columns)
     rows = requests.select(
@@ -115,8 +125,24 @@ def replay(requests: DataFrame, max_size: int | None = None, ttl: float | None =
     )
     options = {"max_size": max_size, "ttl": ttl, "exact": exact, "semantic": semantic and "vector" in has}
     schema = ", ".join([OUT, *[f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in carry]])
-    ordered = rows.repartition("config").sortWithinPartitions("config", "seq")
-    return ordered.mapInArrow(lambda it: _kernel(it, options, carry), schema)
+
+    def by_task(some: DataFrame) -> DataFrame:
+        return some.repartition("config").sortWithinPartitions("config", "seq").mapInArrow(lambda it: _kernel(it, options, carry), schema)
+
+    if hot is None or ttl is not None or not options["semantic"]:
+        return by_task(rows)
+
+    def in_rounds(some: DataFrame) -> DataFrame:
+        got = rounds.settled(some.drop("now"), max_size, exact, **sizes)
+        return got.select("config", "seq", "source", "similarity", "matched_seq", "stored", *[F.col(f"carry_{c}").alias(c) for c in carry])
+
+    if hot <= 0:
+        return in_rounds(rows)
+    large = rows.groupBy("config").count().where(F.col("count") > hot).select("config")
+    n = large.count()
+    if not n:
+        return by_task(rows)
+    return in_rounds(rows.join(few(large, n), "config", "left_semi")).unionByName(by_task(rows.join(few(large, n), "config", "left_anti")))
 
 
 def outcome(hit, label):

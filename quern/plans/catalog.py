@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import l2_distance, norm, normalised, ratio, similarity, token_count
-from quern.operators import agreement, annotation, lookup, metrics, nearest, replay, sampling, serving, validation
+from quern.operators import agreement, annotation, cells, lookup, metrics, nearest, replay, sampling, serving, validation
 from quern.operators import embedding as emb
 from quern.plans import grid as grids
 from quern.plans import pairs as P
@@ -118,6 +118,13 @@ def nn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", F.col("rank").cast("long").alias("rank"), "neighbour_id", _r("distance"), _r("similarity"))
 
 
+@query
+def nn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by cells and the triangle inequality, as a store too large to send is searched."""
+    got = cells.search(*_search_sides(spark, sf_dir), k=10)[0]
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "neighbour_id", _r("distance"), _r("similarity"))
+
+
 @query
 def semantic_decisions_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = nearest.semantic_decisions(*_search_sides(spark, sf_dir), thresholds=list(P.CALIBRATED))
@@ -135,9 +142,10 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def greedy_semantic_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one configuration, settled in rounds: no task holds it."""
     e = P.read(spark, sf_dir, "embeddings")
     requests = e.select(F.lit("all").alias("config"), F.col("vec_id").alias("seq"), F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"), F.lit(0.47).alias("threshold"))
-    return replay.replay(requests).select("seq", "source", _r("similarity"), "matched_seq", "stored")
+    return replay.replay(requests, hot=0).select("seq", "source", _r("similarity"), "matched_seq", "stored")
 
 
 @query
