@@ -31,13 +31,15 @@ class Settings:
     cache_max_size: int = 1000
     pool_cap: int = 8
     index_backend: str = "auto"
+    index_recall: float = 0.95
+    index_folder: str = ""
     lsh_tables: int = 8
     lsh_width: float = 1.6
 
     def __post_init__(self) -> None:
         if not 0.0 <= self.similarity_threshold <= 1.0:
             raise ValueError("similarity_threshold must be in [0, 1]")
-        if self.index_backend not in ("auto", "exact", "lsh"):
+        if self.index_backend not in ("auto", "exact", "cells", "ivf", "lsh"):
             raise ValueError(f"unknown index backend {self.index_backend!r}")
 
     @classmethod

@@ -140,6 +140,24 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        other = b.column("i").to_numpy()
+        d = distances(x, _matrix(b.column("v"), b.num_rows))
+        d[ids[:, None] == other[None, :]] = np.inf
+        near = min(k, len(other))
+        q, n = np.nonzero((d <= np.partition(d, near - 1, axis=1)[:, near - 1][:, None]) & np.isfinite(d))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(other[n]), pa.array(d[q, n])], names=["query_id", "neighbour_id", "distance"])
+
+
+def scan(ids: list[int], x: np.ndarray, rows: DataFrame, k: int) -> DataFrame:
+    """``(query_id, neighbour_id, distance, rank)``: the k nearest of a few queries that every task is given, in one pass over ``rows(i, v)``."""
+    given = np.array(ids, np.int64)
+    return best(rows.mapInArrow(lambda it: _scan(it, given, x, k), "query_id long, neighbour_id long, distance double"), k)
+
+
 def search(queries: DataFrame, store: DataFrame, k: int = 1, ident: str = "vec_id", vector: str = "embedding", same: bool = False, pivots: int = PIVOTS, piece: int = PIECE, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(the min(k, size) nearest of each query, the pieces that each visited).
 

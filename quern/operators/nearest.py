@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.columns import l2_distance, normalised, similarity
-from quern.operators import cells
+from quern.operators import cells, ivf
+from quern.operators.shared import exists, scratch
 
 BLOCK = 2048
 #: A store of fewer bytes is sent to all tasks.
@@ -114,15 +115,32 @@ def lsh_neighbours(queries: DataFrame, store: DataFrame, radius: float, ident: s
     )
 
 
-def search(queries: DataFrame, store: DataFrame, backend: str = "auto", radius: float | None = None, **options) -> DataFrame:
-    """``exact``, ``lsh``, or ``auto``: exact at every size; hashing may lose neighbours and is used only by name."""
-    if backend not in ("auto", "exact", "lsh"):
+BACKENDS = ("auto", "exact", "cells", "ivf", "lsh")
+
+
+def search(queries: DataFrame, store: DataFrame, backend: str = "auto", radius: float | None = None, k: int = 1, recall: float = 0.95, folder: str | None = None, ident: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
+    """The ``k`` nearest by the backend of that name.
+
+    ``exact`` (and ``auto``, at every size) and ``cells`` lose nothing. ``ivf``
+    builds an inverted file in ``folder`` (by default one of its own in the
+    shared folder) or opens the one that is there; ``lsh`` gives neighbours
+    within ``radius``. Both may lose some and are used only by name.
+    """
+    if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend!r}")
     if backend == "lsh":
         if radius is None:
             raise ValueError("the lsh backend needs a radius")
-        return lsh_neighbours(queries, store, radius, **options)
-    return knn(queries, store, **options)
+        return lsh_neighbours(queries, store, radius, ident, vector, **options)
+    if backend == "cells":
+        return cells.search(queries, store, k, ident, vector, **options)[0]
+    if backend == "ivf":
+        if folder is not None and exists(store.sparkSession, f"{folder}/model"):
+            index = ivf.InvertedFile.open(store.sparkSession, folder)
+        else:
+            index = ivf.InvertedFile.build(store, folder or scratch(store.sparkSession, "ivf"), ident, vector, k, recall)
+        return index.search(queries, k, ident, vector, **options)
+    return knn(queries, store, k, ident, vector, **options)
 
 
 def max_distance(threshold: float) -> float:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import l2_distance, norm, normalised, ratio, similarity, token_count
-from quern.operators import agreement, annotation, cells, lookup, metrics, nearest, replay, sampling, serving, validation
+from quern.operators import agreement, annotation, cells, ivf, lookup, metrics, nearest, replay, sampling, serving, validation
 from quern.operators import embedding as emb
+from quern.operators.shared import scratch
 from quern.plans import grid as grids
 from quern.plans import pairs as P
 from quern.plans.oracle import SQL
@@ -33,23 +31,6 @@ def _r(c: str, digits: int = 6):
     return F.round(F.col(c).cast("double"), digits).alias(c)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder that executors share, removed at exit: in the checkpoint folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        folder = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        return folder
-    folder = tempfile.mkdtemp(prefix="quern-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
 # -- exact lookup -----------------------------------------------------------
 
 
@@ -125,6 +106,15 @@ def nn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", F.col("rank").cast("long").alias("rank"), "neighbour_id", _r("distance"), _r("similarity"))
 
 
+@query
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the inverted file finds at least 0.95 of the ten nearest of every twentieth vector."""
+    asked, store = _search_sides(spark, sf_dir)
+    found = nearest.search(asked, store, backend="ivf", k=10)
+    got = ivf.measured_recall(found, nearest.knn(asked, store, k=10))
+    return got.select("queries", "neighbours", (F.col("recall") >= 0.95).alias("reached"))
+
+
 @query
 def semantic_decisions_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = nearest.semantic_decisions(*_search_sides(spark, sf_dir), thresholds=list(P.CALIBRATED))
@@ -296,7 +286,7 @@ def remaining_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round_trip(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    folder = f"{_scratch(spark)}/pairs"
+    folder = f"{scratch(spark, "pairs")}/pairs"
     pairs = P.dataset(P.labelled(spark, sf_dir))
     if kind == "csv":
         sinks.save_csv(pairs, folder)

@@ -113,6 +113,8 @@ WHERE r = 1 AND key NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHER
 SELECT vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, round(u[1], 6) + 0.0 AS first, round(u[-1], 6) + 0.0 AS last FROM u""",
     "nn_top1": f"""WITH {_NEAREST} SELECT query_id, neighbour_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM ranked WHERE rank = 1""",
     "nn_topk": f"""WITH {_NEAREST} SELECT query_id, rank, neighbour_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM ranked WHERE rank <= 10""",
+    "ivf_recall": """SELECT count(*) AS queries, CAST(sum(least(10, n - 1)) AS BIGINT) AS neighbours, true AS reached
+FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 20 = 0""",
     "nn_cells": f"""WITH {_NEAREST} SELECT query_id, rank, neighbour_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM ranked WHERE rank <= 10""",
     "semantic_decisions_grid": f"""WITH {_NEAREST}, t AS (SELECT CAST(unnest([{_CALIBRATED}]) AS DOUBLE) AS threshold)
 SELECT query_id, threshold, 1 / (1 + distance) >= threshold AS hit, CASE WHEN 1 / (1 + distance) >= threshold THEN neighbour_id END AS matched_id, round(1 / (1 + distance), 6) AS similarity FROM ranked, t WHERE rank = 1""",
