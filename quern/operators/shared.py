@@ -78,3 +78,25 @@ def numbered(rows: DataFrame, by: str, *order: str, name: str = "pos") -> DataFr
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(by, "_range", (before - F.col("_first")).alias("_shift"))
     return ranged.join(starts, [by, "_range"]).withColumn(name, F.col("_row") + F.col("_shift")).drop("_row", "_range", "_shift")
+
+
+def filled(rows: DataFrame, by: str, *order: str, value: str, name: str, ahead: bool = False) -> DataFrame:
+    """``rows`` with ``name``: the last ``value`` that is not null up to a row, or with ``ahead`` the first from it on.
+
+    Along ``order`` within ``by``. As in ``numbered``, one value of ``by`` may hold
+    any part of the rows: each range is filled by itself, and only what
+    a range hands on to the others is put in order as a whole.
+    """
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = durable(tied.repartitionByRange(by, *order, "_tie").sortWithinPartitions(by, *order, "_tie").drop("_tie"))
+    ranged = ranged.withColumn("_row", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_row", 33))
+    inside, across = Window.partitionBy(by, "_range").orderBy("_row"), Window.partitionBy(by).orderBy("_range")
+    known = F.when(F.col(value).isNotNull(), F.col("_row"))
+    if ahead:
+        own = F.first(value, ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        edge, handed = F.min_by(value, known), F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    else:
+        own = F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        edge, handed = F.max_by(value, known), F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    edges = ranged.groupBy(by, "_range").agg(edge.alias("_edge")).select(by, "_range", handed.alias("_handed"))
+    return ranged.withColumn("_own", own).join(edges, [by, "_range"]).withColumn(name, F.coalesce("_own", "_handed")).drop("_row", "_range", "_own", "_handed")

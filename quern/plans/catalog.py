@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import l2_distance, norm, normalised, ratio, similarity, token_count
-from quern.operators import agreement, annotation, cells, ivf, lookup, metrics, nearest, replay, sampling, serving, validation
+from quern.operators import agreement, annotation, cells, expiry, ivf, lookup, metrics, nearest, replay, sampling, serving, validation
 from quern.operators import embedding as emb
 from quern.operators.shared import scratch
 from quern.plans import grid as grids
@@ -160,6 +160,14 @@ def ttl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(requests, ttl=86400.0, semantic=False).select(F.col("config").cast("long").alias("user_id"), "seq", "source", "matched_seq")
 
 
+@query
+def expiry_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as requests for their type, which live an hour: a handful of keys hold all rows, and none is a task."""
+    events = P.read(spark, sf_dir, "events")
+    requests = events.select(F.lit("all").alias("config"), F.col("event_id").alias("seq"), F.col("event_type").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("now"))
+    return expiry.replayed(requests, 3600.0).select("seq", "source", "matched_seq", "stored")
+
+
 def _sweep(spark: SparkSession, sf_dir: str, thresholds: tuple[float, ...]) -> DataFrame:
     return replay.sweep(P.by_model(P.labelled(spark, sf_dir)), P.grid(spark, thresholds))
 
