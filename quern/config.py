@@ -17,7 +17,9 @@ class Settings:
     llm_base_url: str = ""
     mock_latency_seconds: float = 0.0
     max_retries: int = 2
+    max_output_tokens: int = 256
     budget_cap_usd: float = 200.0
+    call_reserve_usd: float | None = None
     input_price_per_mtok: float = 5.0
     output_price_per_mtok: float = 25.0
     embedding_provider: str = "mock"
@@ -30,6 +32,7 @@ class Settings:
     cache_ttl_seconds: float | None = None
     cache_max_size: int = 1000
     pool_cap: int = 8
+    hot_requests: int = 200_000
     index_backend: str = "auto"
     index_recall: float = 0.95
     index_folder: str = ""

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.columns import mock_answer
+from quern.functions.columns import MOCK_PREFIX, mock_answer
 from quern.operators.serving import MOCK_MODEL
 
 ANSWER = "answer string, response_model string, input_tokens int, output_tokens int, error string"
@@ -104,7 +104,13 @@ def mock(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
 
 
 def remote(requests: DataFrame, make: Callable[[], Callable[[str], Answer]], prompt: str = "prompt", retries: int = 2, wait: float = 0.5) -> DataFrame:
-    """Requests with what the backend that ``make`` gives says to each distinct prompt; each is asked once."""
+    """Requests with what the backend that ``make`` gives says to each distinct prompt; each is asked once.
+
+    Rows that have ``seqs`` are chains (see ``dispatch``): for each place in
+    order the prompt is asked, until an answer comes.
+    """
+    if "seqs" in requests.columns:
+        return chains(requests, make, prompt, retries, wait)
     distinct = requests.select(F.col(prompt).alias("_p")).where("_p is not null").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,3 +121,54 @@ def remote(requests: DataFrame, make: Callable[[], Callable[[str], Answer]], pro
 
     answers = distinct.mapInPandas(run, f"_p string, {ANSWER}")
     return requests.join(answers, requests[prompt] == answers["_p"], "left").drop("_p")
+
+
+def chains(requests: DataFrame, make: Callable[[], Callable[[str], Answer]], prompt: str = "prompt", retries: int = 2, wait: float = 0.5) -> DataFrame:
+    """``(config, seq, key, segment, answer, ...)`` of the places of each row's ``seqs`` that were asked for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = make()
+        for b in batches:
+            rows = []
+            for config, key, segment, text, seqs in zip(b["config"], b["key"], b["segment"], b["prompt"], b["seqs"], strict=True):
+                for seq in seqs:
+                    got = _ask(ask, text, retries, wait)
+                    rows.append((config, int(seq), key, segment, *got))
+                    if got[-1] is None:
+                        break
+            yield pd.DataFrame(rows, columns=["config", "seq", "key", "segment", "answer", "response_model", "input_tokens", "output_tokens", "error"])
+
+    rows = requests.select("config", "key", "segment", F.col(prompt).alias("prompt"), "seqs")
+    return rows.mapInPandas(run, f"config string, seq long, key string, segment long, {ANSWER}")
+
+
+def by_settings(settings) -> Callable[[DataFrame], DataFrame]:
+    """The backend that ``llm_provider`` names: mock, chat-completions, local-generate or messages.
+
+    Keys come from the environment of the workers, never from a plan.
+    """
+    kind, url, model = settings.llm_provider, settings.llm_base_url, settings.llm_model
+    if kind == "mock" and not settings.mock_latency_seconds:
+        return mock
+    if kind not in ("mock", "chat-completions", "local-generate", "messages"):
+        raise ValueError(f"unknown backend provider {kind!r}")
+    latency, most, retries = settings.mock_latency_seconds, settings.max_output_tokens, settings.max_retries
+
+    def make() -> Callable[[str], Answer]:
+        import os
+
+        key = os.environ.get("QUERN_LLM_KEY", "")
+        if kind == "chat-completions":
+            return chat_completions(url, model, key)
+        if kind == "local-generate":
+            return local_generate(url, model)
+        if kind == "messages":
+            return messages(url, model, key, most)
+
+        def slow(prompt: str) -> Answer:
+            time.sleep(latency)
+            return Answer(MOCK_PREFIX + prompt[::-1], MOCK_MODEL, 0, 0)
+
+        return slow
+
+    return lambda df: remote(df, make, retries=retries)

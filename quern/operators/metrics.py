@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import ratio
@@ -105,9 +105,27 @@ def entry_counts(store: DataFrame, *by: str) -> DataFrame:
 
 
 def model_breakdown(store: DataFrame, *by: str) -> DataFrame:
-    """The entry counts of each group as one map."""
-    per = entry_counts(store, *by)
-    return per.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("canonical_name", "entries")))).alias("model_breakdown"), F.sum("entries").alias("index_size"))
+    """The entries of the exact store by model, as one map, and the size of the semantic index.
+
+    ``store`` has ``canonical_name``, ``in_exact`` and ``in_semantic``: an entry
+    that the exact store has dropped may still be in the index.
+    """
+    per = store.groupBy(*by, F.coalesce("canonical_name", F.lit("unknown")).alias("canonical_name")).agg(_long(F.col("in_exact")).alias("entries"), _long(F.col("in_semantic")).alias("indexed"))
+    listed = F.filter(F.sort_array(F.collect_list(F.struct("canonical_name", "entries"))), lambda e: e["entries"] > 0)
+    return per.groupBy(*by).agg(F.map_from_entries(listed).alias("model_breakdown"), F.sum("indexed").alias("index_size"))
+
+
+def held(stored: DataFrame, cap: int | None, semantic: bool, by: tuple[str, ...] = ("config",)) -> DataFrame:
+    """``stored(seq, key, ...)`` with ``in_exact`` (whether the first-in-first-out store still has it) and ``in_semantic``.
+
+    Of a key stored again only the last counts, and of these the last ``cap``.
+    """
+    newest = stored.groupBy(*by, "key").agg(F.max("seq").alias("seq"))
+    if cap is not None:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("seq")))
+        newest = newest.withColumn("_place", place).where(F.col("_place") <= max(1, cap)).drop("_place")
+    kept = newest.select(*by, "seq", F.lit(True).alias("in_exact"))
+    return stored.join(kept, [*by, "seq"], "left").withColumns({"in_exact": F.coalesce("in_exact", F.lit(False)), "in_semantic": F.lit(semantic)})
 
 
 def clear_report(store: DataFrame, *by: str) -> DataFrame:

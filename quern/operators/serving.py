@@ -15,6 +15,7 @@ ERRORS = {
     "pool_cap_exceeded": 400,
     "budget_exceeded": 402,
     "invalid_request": 422,
+    "unknown_model": 500,
     "provider_refusal": 502,
     "provider_error": 500,
 }
@@ -41,6 +42,12 @@ def route(requests: DataFrame, model: str, threshold: float) -> DataFrame:
     return requests.withColumn("pool_model", F.coalesce("embedding_model", F.lit(model))).withColumn("pool_threshold", F.coalesce(F.col("threshold").cast("double"), F.lit(threshold)))
 
 
+def full_at(requests: DataFrame, keys: list[str], cap: int = POOL_CAP, seq: str = "seq"):
+    """The arrival at which the pool has ``cap`` keys, None if it never has."""
+    first = requests.groupBy(*keys).agg(F.min(seq).alias("_first")).orderBy("_first", *keys).limit(cap).collect()
+    return first[-1]["_first"] if len(first) == cap else None
+
+
 def admit(requests: DataFrame, keys: list[str], cap: int = POOL_CAP, seq: str = "seq") -> DataFrame:
     """Requests with ``admitted``: whether their key is among the first ``cap`` seen.
 
@@ -55,18 +62,26 @@ def admit(requests: DataFrame, keys: list[str], cap: int = POOL_CAP, seq: str =
     return requests.join(F.broadcast(first), same, "left").withColumn("admitted", F.coalesce("_in", F.lit(False))).drop("_in", *[f"_k{i}" for i in range(len(keys))])
 
 
-def running_sum(rows: DataFrame, value: Column, order: list[str], bin: Column, by: tuple[str, ...] = (), name: str = "before") -> DataFrame:
-    """Rows with the sum of value over all rows before them in ``order``.
+def running_sums(rows: DataFrame, values: dict[str, Column], order: list[str], bin: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with, under each name, the sum of its value over all rows before them in ``order``.
 
     ``bin`` must not decrease along the order. Each bin is ordered by a task
     of its own, and only the bins' sums are ordered as a whole.
     """
-    binned = rows.withColumn("_bin", bin).withColumn("_v", value)
-    sums = binned.groupBy(*by, "_bin").agg(F.sum("_v").alias("_s"))
-    before_bin = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("_base", before_bin).drop("_s")
-    inside = F.coalesce(F.sum("_v").over(Window.partitionBy(*by, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return binned.withColumn("_inside", inside).join(sums, [*by, "_bin"]).withColumn(name, F.col("_base") + F.col("_inside")).drop("_bin", "_v", "_base", "_inside")
+    own = {n: f"_v{i}" for i, n in enumerate(values)}
+    binned = rows.withColumn("_bin", bin).withColumns({own[n]: v for n, v in values.items()})
+    zero = F.lit(0)
+    sums = binned.groupBy(*by, "_bin").agg(*[F.sum(v).alias(f"{v}s") for v in own.values()])
+    over = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_bin", *[F.coalesce(F.sum(f"{v}s").over(over), zero).alias(f"{v}b") for v in own.values()])
+    inside = Window.partitionBy(*by, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = binned.withColumns({f"{v}i": F.coalesce(F.sum(v).over(inside), zero) for v in own.values()}).join(sums, [*by, "_bin"])
+    return summed.withColumns({n: F.col(f"{v}b") + F.col(f"{v}i") for n, v in own.items()}).drop("_bin", *[f"{v}{x}" for v in own.values() for x in ("", "b", "i")])
+
+
+def running_sum(rows: DataFrame, value: Column, order: list[str], bin: Column, by: tuple[str, ...] = (), name: str = "before") -> DataFrame:
+    """One of ``running_sums``."""
+    return running_sums(rows, {name: value}, order, bin, by)
 
 
 def budget_guard(requests: DataFrame, cost: Column, cap: float, order: list[str], bin: Column, by: tuple[str, ...] = ()) -> DataFrame:

@@ -211,8 +211,11 @@ SELECT conv_id, turn, answer, len(list_filter(regexp_split_to_array(answer, '\\s
     "metrics_snapshot": f"""WITH {_TRAFFIC} SELECT event_type, {_COUNTERS}, round(avg(latency_ms), 4) AS avg_latency_ms, round(100.0 * count(*) FILTER (source <> 'llm') / count(*), 4) AS hit_rate_pct FROM done GROUP BY event_type""",
     "cache_stats_rollup": f"""WITH {_TRAFFIC} SELECT event_type, threshold, CAST(grouping(event_type) AS INTEGER) AS all_event_type, CAST(grouping(threshold) AS INTEGER) AS all_threshold, {_COUNTERS}, round(avg(latency_ms), 4) AS avg_latency_ms,
   round(count(*) FILTER (source <> 'llm') / count(*), 4) AS hit_rate FROM done GROUP BY ROLLUP (event_type, threshold)""",
-    "model_breakdown": """WITH c AS (SELECT source, coalesce(CASE WHEN doc_id % 4 <> 0 THEN lang END, 'unknown') AS name, count(*) AS n FROM documents GROUP BY ALL)
-SELECT source, sum(n)::BIGINT AS index_size, string_agg(name || '=' || n, ',' ORDER BY name) AS model_breakdown FROM c GROUP BY source""",
+    "model_breakdown": """WITH d AS (SELECT source, doc_id, text, coalesce(CASE WHEN doc_id % 4 <> 0 THEN lang END, 'unknown') AS name FROM documents),
+last AS (SELECT source, text, max(doc_id) AS doc_id FROM d GROUP BY source, text),
+kept AS (SELECT doc_id FROM last QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 40),
+c AS (SELECT source, name, count(*) FILTER (doc_id IN (SELECT doc_id FROM kept)) AS entries, count(*) FILTER (doc_id % 3 = 0) AS indexed FROM d GROUP BY source, name)
+SELECT source, sum(indexed)::BIGINT AS index_size, coalesce(string_agg(name || '=' || entries, ',' ORDER BY name) FILTER (entries > 0), '') AS model_breakdown FROM c GROUP BY source""",
     "clear_report": """SELECT source, count(*) AS exact_entries, count(*) FILTER (doc_id % 3 = 0) AS semantic_entries FROM documents GROUP BY source""",
     "budget_guard": """WITH e AS (SELECT event_id, CAST(round(abs("value") * 100) AS BIGINT) AS cents FROM events), s AS (SELECT *, coalesce(sum(cents) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM e)
 SELECT event_id, cents, spent_before, spent_before < 100000 AS sent FROM s""",

@@ -31,7 +31,7 @@ def test_responses_and_errors(spark):
     assert (miss.id, miss.cache_status, miss.cache_similarity, miss.input_tokens, miss.model) == ("msg_r", "MISS", None, 3, "backend")
     assert (hit.cache_status, hit.cache_similarity, hit.output_tokens, hit.model) == ("HIT", 1.0, 0, "asked")
     names = spark.createDataFrame([(n,) for n in (*serving.ERRORS, "else", None)], "e string")
-    assert [r.s for r in names.select(serving.error_status(F.col("e")).alias("s")).collect()] == [400, 402, 422, 502, 500, 500, None]
+    assert [r.s for r in names.select(serving.error_status(F.col("e")).alias("s")).collect()] == [400, 402, 422, 500, 502, 500, 500, None]
 
 
 def test_log_is_enough_to_replay(spark, tmp_path):
