@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.llm import packing, topk
 
-QUERIES = F.col("vec_id") % 5 == 0
+
+def every_fifth():
+    return F.col("vec_id") % 5 == 0
 
 
 def plain(rows, is_query, k):
@@ -35,7 +37,7 @@ def test_equals_all_products_with_ties_and_many_blocks(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = sorted(plain(rows, lambda q: q % 5 == 0, 10))
     for store, group in ((64, 16), (1024, 512)):
-        got = topk.top_k(df, QUERIES, store_rows=store, group_rows=group)
+        got = topk.top_k(df, every_fifth(), store_rows=store, group_rows=group)
         assert sorted(map(tuple, got.collect())) == want
 
 
@@ -44,9 +46,9 @@ def test_every_kind_of_row(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for c in ("row", "d", "block", "v", "share", "g", "n", "data", "score", "rank"):
         df = df.withColumn(c, F.lit(c))
-    got = sorted(map(tuple, topk.top_k(df, QUERIES, k=3).collect()), key=key)
+    got = sorted(map(tuple, topk.top_k(df, every_fifth(), k=3).collect()), key=key)
     assert got == sorted(plain(rows, lambda q: q % 5 == 0, 3), key=key)
-    assert topk.top_k(df.limit(0), QUERIES).count() == 0
+    assert topk.top_k(df.limit(0), every_fifth()).count() == 0
     assert topk.top_k(df, F.col("vec_id") < 0).count() == 0
 
 
@@ -56,7 +58,7 @@ def test_values_beyond_the_exact_range_of_doubles(spark, large):
     rows = [(i, [float(x) * large if i % 3 else float(x) for x in rng.uniform(-1, 1, 4)]) for i in range(40)]
     rows += [(40, [large, 1.0, 0.3, 0.0]), (45, [large, 1.0, 0.3, 1 / 1024])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, topk.top_k(df, QUERIES, store_rows=8).collect())) == sorted(plain(rows, lambda q: q % 5 == 0, 10))
+    assert sorted(map(tuple, topk.top_k(df, every_fifth(), store_rows=8).collect())) == sorted(plain(rows, lambda q: q % 5 == 0, 10))
 
 
 def block(x, first=0):
