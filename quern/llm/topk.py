@@ -176,14 +176,24 @@ def search(q: Block, s: Block, best: Best, step: int = STEP, dense: float = DENS
     return made
 
 
+def _shown(score: int) -> tuple[int, int, bytes]:
+    """The score as far as a long shows it, and what orders scores beyond: the side, and bytes that sort as they do."""
+    if _LONG[0] <= score <= _LONG[1]:
+        return score, 0, b""
+    size = abs(score)
+    data = ((size.bit_length() + 7) // 8).to_bytes(4) + size.to_bytes((size.bit_length() + 7) // 8)
+    return (_LONG[1], 1, data) if score > 0 else (_LONG[0], -1, bytes(255 - b for b in data))
+
+
 def _walk(batches: Iterator[pa.RecordBatch], k: int, scale: int) -> Iterator[pa.RecordBatch]:
-    """``(query_row, query_id, vec_id, score)`` of each group and share: first the group's row (block -1), then the share's blocks."""
+    """The best of each group and share: first the group's row (block -1), then the share's blocks."""
     now, group, best = None, None, None
 
     def found() -> pa.RecordBatch:
-        out = [(int(group.rows[i]), int(group.ids[i]), None if unknown else ident, min(max(-int(score), _LONG[0]), _LONG[1])) for i, rows in enumerate(best.rows) for score, unknown, ident in rows]
-        kinds = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
-        return pa.RecordBatch.from_arrays(kinds, names=["query_row", "query_id", "vec_id", "score"])
+        out = [(int(group.rows[i]), int(group.ids[i]), None if unknown else ident, *_shown(-int(score))) for i, rows in enumerate(best.rows) for score, unknown, ident in rows]
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = {"query_row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "side": pa.int32(), "beyond": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     for b in batches:
         for d, g, share, block, n, data in zip(*(b.column(c) for c in ("d", "g", "share", "block", "n", "data")), strict=True):
@@ -241,8 +251,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     met = store.join(F.broadcast(groups) if lengths <= 10_000 else groups, "d")
     met = met.select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), F.pmod("block", F.lit(shares)).cast("long").alias("share"), "block", "n", "data")
     dealt = heads.unionByName(met).repartition("d", "g", "share").sortWithinPartitions("d", "g", "share", "block")
-    walked = dealt.mapInArrow(lambda it: C.lean(_walk(it, k, scale)), "query_row long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    walked = dealt.mapInArrow(lambda it: C.lean(_walk(it, k, scale)), "query_row long, query_id long, vec_id long, score long, side int, beyond binary")
+    order = Window.partitionBy("query_row").orderBy(F.desc("side"), F.desc("score"), F.desc("beyond"), F.asc_nulls_last("vec_id"))
     return walked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
