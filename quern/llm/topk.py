@@ -4,9 +4,10 @@ Vectors are whole numbers and are stored in blocks with one row of numbers a
 dimension (vertically). A query's scores against a block are summed up over some
 dimensions at a time, those in which the queries weigh most first. After each
 such step the rest of a score is bounded by the mass that query and candidate
-have left (Cauchy-Schwarz), so candidates whose best case lies below the k-th
-best worst case go, and the sums go on over the survivors alone, packed
-together. What a block leaves is exact; no candidate is left out by chance.
+have left (Cauchy-Schwarz), so candidates whose best case lies below a score that
+k others reach for certain go, and the sums go on over the survivors alone, packed
+together. That score is the k-th best worst case, or the least whole score of the k
+that lead after the first steps. What a block leaves is exact; no candidate is left out by chance.
 
 Queries and store meet in blocks: the store is dealt into blocks once, the
 queries (a stated part of the rows) into groups, and each group walks over the
@@ -115,6 +116,13 @@ def _plain(q: Block, s: Block, best: Best) -> None:
         best.add(i, scores[other], s.known[other], s.ids[other])
 
 
+def _seeds(x: np.ndarray, y: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
+    """A score that k candidates of each query reach for certain: the least whole score of those that lead so far."""
+    lead = np.argpartition(sums, sums.shape[1] - k, axis=1)[:, sums.shape[1] - k :]
+    whole = np.einsum("dq,dqk->qk", x, y[:, lead])
+    return np.where(np.isfinite(np.take_along_axis(sums, lead, axis=1)), whole, -np.inf).min(axis=1)
+
+
 def search(q: Block, s: Block, best: Best, step: int = STEP, dense: float = DENSE) -> int:
     """Brings a block's rows into the best of a group; the number of products that were made."""
     if not s.x.shape[1]:
@@ -144,9 +152,11 @@ def search(q: Block, s: Block, best: Best, step: int = STEP, dense: float = DENS
             left_s -= (s.x[dims] ** 2).sum(axis=0)
             rest = np.sqrt(np.maximum(left_q, 0))[:, None] * np.sqrt(np.maximum(left_s, 0))[None, :]
             rest = rest * (1 + 1e-12) + (0.5 if done < d else 0.0)  # above any rounding; scores are whole
-            low = np.where(alive, sums - rest, -np.inf)
             if n > best.k:
+                low = np.where(alive, sums - rest, -np.inf)
                 floors = np.maximum(floors, np.partition(low, n - best.k, axis=1)[:, n - best.k])
+                if done <= 2 * step:
+                    floors = np.maximum(floors, _seeds(q.x[:, who], s.x, np.where(alive, sums, -np.inf), best.k))
             alive &= sums + rest >= floors[:, None]
             if alive.mean() < dense:
                 break
