@@ -53,6 +53,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def as_row(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """The given columns as one struct, so that no name of theirs meets one made inside."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -243,8 +243,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     any other; null text counts as empty and is rejected.
     """
     labels = C.table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null")
-    few = C.durable(labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)).select(F.col("doc_id").alias("__id"))
-    known = docs.join(F.broadcast(few), docs["doc_id"] == F.col("__id"), "left_semi")
+    few = C.durable(labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
+    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left_semi")
     rules = learn_from(C.durable(stats(known)), labels)
     # One expression, so that the counts of a text are made once however often the verdict refers to them.
     good = C.let(counts(F.col("text")), lambda c: ~base_failed(c) & (rejected(rules, features(c)) == 0))

@@ -282,7 +282,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Ids compare with nulls last, then by the row's hash; of wholly equal rows
     one stays. The columns are those of ``docs``.
     """
-    kept = alike(docs).groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.row_key").alias("__key"), F.col("s.doc_id").alias("__id"))
-    keyed = docs.withColumn("__row", C.row_key(F.col("doc_id").cast("long"), F.col("text")))
-    found = keyed.join(kept, (keyed["__row"] == kept["__key"]) & keyed["doc_id"].eqNullSafe(kept["__id"]))
-    return found.dropDuplicates(["__row", "__id"]).select(*[keyed[c] for c in docs.columns])
+    kept = alike(docs).groupBy("root").agg(F.min("first").alias("s")).select("s.row_key", F.col("s.doc_id").alias("id"))
+    ident = F.col("doc_id").cast("long")
+    keyed = docs.select(C.as_row(docs).alias("row"), C.row_key(ident, F.col("text")).alias("row_key"), ident.alias("own"))
+    found = keyed.join(kept, (keyed["row_key"] == kept["row_key"]) & keyed["own"].eqNullSafe(kept["id"]), "left_semi")
+    return found.dropDuplicates(["row_key", "own"]).select("row.*")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import common as C
 
@@ -220,8 +221,8 @@ def repeated(found: DataFrame) -> DataFrame:
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cutter = _cutter()
     for b in (x.slice(at, BATCH_TEXTS) for x in batches for at in range(0, x.num_rows, BATCH_TEXTS)):
-        given, texts, removed = b.column("__text"), [], []
-        for i, gone in enumerate(b.column("__gone").to_pylist()):
+        given, texts, removed = b.column("text"), [], []
+        for i, gone in enumerate(b.column("gone").to_pylist()):
             out = {k for run in gone or () for k in range(run >> 32, run & 0xFFFFFFFF)}
             text = given[i].as_py()
             removed.append(len(out))
@@ -230,12 +231,11 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # A kept sentence is followed by its own gap, or by the line break that a removed neighbour had.
                 text = "".join(s + g for k, (s, g) in enumerate(zip(sentences, gaps, strict=True)) if k not in out).rstrip()
             texts.append(text)
-        keep = [n for n in b.schema.names if n not in ("__text", "__gone")]
-        yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=[*keep, "__text", "__removed"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["row", "text", "n_removed"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with their text less its repeated spans, and how many sentences were ``__removed``.
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``(row, text, n_removed)``: each row's other columns, its text less its repeated spans, and how many sentences those were.
 
     Every row stays, also where nothing of its text is left (empty) and where
     the text is null. Rows that share an id count as one document and keep each
@@ -248,26 +248,37 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     key = C.row_key(ident, text)
-    gone = repeated(spans(docs, id_col, text_col, min_words)).select(F.col("place").alias("__place"), F.col("row_key").alias("__key"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("__row", key).withColumn("__at", _place(ident, key))
-    joined = keyed.join(gone, (keyed["__row"] == gone["__key"]) & (keyed["__at"] == gone["__place"]), "left")
-    others = [c for c in docs.columns if c != text_col]
-    rows = joined.select(*[F.col(c) for c in others], text.alias("__text"), "__gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", __text string, __removed int"
+    gone = repeated(spans(docs, id_col, text_col, min_words))
+    keyed = docs.select(C.as_row(docs, (text_col,)).alias("row"), text.alias("text"), key.alias("row_key"), _place(ident, key).alias("place"))
+    rows = keyed.join(gone, ["place", "row_key"], "left").select("row", "text", "gone")
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.IntegerType())])
     return rows.mapInArrow(lambda it: C.lean(_rebuild(it)), schema)
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``cleaned`` with the given columns side by side: the new text is ``__text``, the number of sentences ``__removed``.
+
+    Given columns of these two names give way to them.
+    """
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text_col, "__text", "__removed")]
+    return cleaned(docs, id_col, text_col, min_words).select(*own, F.col("text").alias("__text"), F.col("n_removed").alias("__removed"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document's text without repeated spans."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = dedup(docs)
-    return got.select("doc_id", F.col("__removed").alias("n_removed"), F.col("__text").alias("text"))
+    return cleaned(docs).select("row.doc_id", "n_removed", "text")
 
 
 def drop_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts lose repeated spans; a document of which no word is left goes."""
-    got = dedup(docs)
-    left = got.where("__removed = 0 or __text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    text = F.col("__text").alias("text")
-    n_chars = F.when(F.col("__removed") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
-    return left.select(*[text if c == "text" else n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Pipeline stage: texts lose repeated spans; a document of which no word is left goes.
+
+    Rows with a null text stay as they are, as do all rows that lose nothing.
+    The columns are those of ``docs``; ``n_chars``, where it is one, counts the
+    text that is left. An empty table gives no rows.
+    """
+    left = cleaned(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    columns = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[columns[c].alias(c) for c in docs.columns])

@@ -172,3 +172,13 @@ def test_lists_agree_with_plain_covering(spark, seed):
     rows = _rows(lambda r: (r["x"] > 7 and r["y"] < 5) or (r["z"] > 6 and r["x"] < 3), seed, noise=0.01)
     got = _learned(spark, rows, ["x", "y", "z"])
     assert got == _covering(rows, ["x", "y", "z"]) and len(got) >= 2
+
+
+def test_stage_keeps_columns_named_as_internal_ones(spark, sf001):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    extra = docs.withColumns({c: F.lit(f"given {c}") for c in ("__id", "part", "bad", "quality", "c", "n_words", "rule")})
+    got = quality.keep_good(spark, extra, sf001)
+    assert got.columns == extra.columns and got.where("__id != 'given __id'").count() == 0
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in quality.keep_good(spark, docs, sf001).select("doc_id").collect())

@@ -169,3 +169,13 @@ def test_stage_on_trouble_keeps_one_of_each(spark, dirty, nothing, sf001):
     left = simhash.keep_one(spark, dirty, sf001)
     assert left.columns == dirty.columns
     assert sorted(str(r.doc_id) for r in left.select("doc_id").collect()) == ["1", "1", "2", "5", "6", "7", "8", "None"]
+
+
+def test_stage_keeps_columns_named_as_internal_ones(spark, dirty):
+    from pyspark.sql import functions as F
+
+    names = ("__row", "__key", "__id", "row", "row_key", "own", "id", "root", "first", "cls", "bands", "hashes")
+    extra = dirty.withColumns({c: F.lit(f"given {c}") for c in names})
+    got = simhash.keep_one(spark, extra, "")
+    assert got.columns == extra.columns and all(r[c] == f"given {c}" for r in got.collect() for c in names)
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in simhash.keep_one(spark, dirty, "").collect())

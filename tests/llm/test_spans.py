@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import spans
 
@@ -171,3 +172,13 @@ def test_scripts_without_spaces(spark):
 
 def test_capitals_alone_end_no_sentence():
     assert len(spans.cut("Der Hund und die Katze gingen. Dann kam Anna", CUTTER)[0]) == 2
+
+
+def test_columns_named_as_internal_ones_stay_as_they_are(spark, dirty):
+    names = ("__text", "__removed", "__row", "__at", "__key", "__place", "__gone", "row", "gone", "row_key", "place", "n_removed", "h1", "h2", "first", "again", "run")
+    extra = dirty.withColumns({c: F.lit(f"given {c}") for c in names})
+    want = sorted(map(str, spans.drop_spans(spark, dirty, "").select(dirty.columns).collect()))
+    got = spans.drop_spans(spark, extra, "")
+    assert got.columns == extra.columns and all(r[c] == f"given {c}" for r in got.collect() for c in names)
+    assert sorted(map(str, got.select([c for c in dirty.columns if c not in names]).collect())) == sorted(map(str, spans.drop_spans(spark, dirty, "").select([c for c in dirty.columns if c not in names]).collect())) and want
+    assert spans.dedup(extra).count() == extra.count()
