@@ -61,6 +61,22 @@ def test_core_works_without_the_optional_parts(tmp_path):
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
 
 
+def test_core_works_where_an_optional_package_is_missing(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    code = (
+        "import sys\n"
+        "class Missing:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name.partition('.')[0] in ('public_tokenizers', 'tokenizers', 'xxhash'):\n"
+        "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
+        "sys.meta_path.insert(0, Missing())\n"
+        f"sys.path.insert(0, {str(root)!r})\n"
+        "import __spark_entry__ as e\n"
+        "assert 'confusion_sweep' in e.queries() and 'confusion_sweep' in e.oracle_sql() and 'pipeline' not in e.queries()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
 def test_nothing_else_imports_the_optional_parts():
     root = Path(__file__).resolve().parent.parent
     for path in (root / "quern").rglob("*.py"):
