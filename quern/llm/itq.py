@@ -13,11 +13,15 @@ the threshold are made from the sample (a vector moved along the difference of
 two others, so they lie as the data do), and the tables and the distance are the
 least that keep ``RECALL`` of them.
 
-Candidates are joined into groups. A vector then travels once to its group,
-which is worked through in blocks of bounded size as matrix products of the
-original vectors in double precision, so no link below the threshold is ever
-reported. Of a block only sums and a star of links leave, never pairs. Equal
-vectors are one entry with a count.
+No candidate is joined with another one before their cosine has been taken:
+with many vectors, chance candidates alone would join most of them into one
+group. A pair is looked at once, in the first table in which it meets. Where a
+bucket holds few candidates for its size they leave it as pairs, and the two
+vectors are fetched; where it holds many, as copies with small differences do,
+the vectors travel to the bucket, which is worked through in blocks of bounded
+size as matrix products, and only sums and a star of links leave it. Cosines are of
+the original vectors in double precision, so no link below the threshold is ever
+reported. Equal vectors are one entry with a count.
 """
 
 from __future__ import annotations
@@ -40,8 +44,10 @@ ITERATIONS = 40
 BLOCK = 2048
 #: Tables at most; parts get shorter, and buckets longer, before there are more.
 MAX_TABLES = 96
-#: Words of code that travel and are compared.
+#: Words of code that are compared.
 CHECK_WORDS = 4
+#: Candidates an entry, in the mean of a block, beyond which the block's vectors travel to it instead of pairs.
+MANY = 4
 _PROBES = 2048
 _PAIRS = 1 << 18
 _WORD = 64
@@ -134,11 +140,32 @@ def fit(sample: np.ndarray, bits: int = 64, iterations: int = ITERATIONS, seed:
 
 def codes(unit: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Each vector's part of every table as whole numbers, and its code (``CHECK_WORDS`` at most) as 64-bit words."""
+    part, code = whole_codes(unit, model)
+    return part, np.ascontiguousarray(code[:, :CHECK_WORDS])
+
+
+def whole_codes(unit: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Parts, and all words of the code, from which ``parts_of`` gets them again."""
     ones = model.ones(unit)
-    part = ones[:, : model.count * model.bits].reshape(len(unit), model.count, model.bits) @ (1 << np.arange(model.bits, dtype=np.int64))
-    ones = ones[:, : CHECK_WORDS * _WORD]
     packed = np.packbits(np.pad(ones, ((0, 0), (0, -ones.shape[1] % _WORD))), axis=1)
-    return part, packed.view(np.int64).reshape(len(unit), -1)
+    return _parts(ones, model), packed.view(np.int64).reshape(len(unit), -1)
+
+
+def _parts(ones: np.ndarray, model: Model) -> np.ndarray:
+    return ones[:, : model.count * model.bits].reshape(len(ones), model.count, model.bits) @ (1 << np.arange(model.bits, dtype=np.int64))
+
+
+def parts_of(code: np.ndarray, model: Model) -> np.ndarray:
+    """The parts that a code was packed of."""
+    return _parts(np.unpackbits(np.ascontiguousarray(code).view(np.uint8), axis=1), model)
+
+
+def _first_here(part: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+    """Whether rows i and j meet in no table before this one."""
+    met = np.zeros(len(i), bool)
+    for t in range(table):
+        met |= part[i, t] == part[j, t]
+    return ~met
 
 
 def _matrix(lists: pa.Array, d: int) -> np.ndarray:
@@ -164,7 +191,7 @@ def _postings(batches: Iterator[pa.RecordBatch], models: dict[int, Model]) -> It
             model = models[d]
             for at in range(0, every.num_rows, 1024):
                 some = every.slice(at, 1024)
-                part, code = codes(_unit(_matrix(some.column("v"), d)), model)
+                part, code = whole_codes(_unit(_matrix(some.column("v"), d)), model)
                 key = (d << 40) | (np.arange(model.count) << 32) | part
                 flat = np.repeat(np.arange(len(part)), model.count)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), some.column("cid").take(pa.array(flat)), _lists(code[flat])], names=["k", "cid", "code"])
@@ -183,51 +210,102 @@ def _spread(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], reach: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Stars ``(a, b)`` that join the entries of a bucket whose codes are within reach."""
+_FOUND = "dense boolean, a long, b long, k long, lo int, hi int, part int"
+
+
+def _table_of(key: int) -> tuple[int, int]:
+    """(length of the vectors, table) of a bucket's key."""
+    return key >> 40, key >> 32 & 0xFF
+
+
+def _own(p: np.ndarray, i: np.ndarray, j: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Whether a pair of a block's rows is this block's to look at."""
+    return i < j if lo == hi else (p[i] == lo) & (p[j] == hi)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], models: dict[int, Model]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``(a, b)`` whose codes are within reach, or, of a block that has many, its entries ``a`` alone."""
     for t, starts in C.whole_groups(batches, ["k", "lo", "hi"]):
-        key, cid = t.column("k").to_numpy(), t.column("cid").to_numpy()
+        key, lo, hi, place, cid = (t.column(c).to_numpy() for c in ("k", "lo", "hi", "part", "cid"))
         code = t.column("code").combine_chunks()
-        a, b = [], []
+        out: list[tuple] = []
         for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
             if e - s < 2:
                 continue
-            d = int(key[s]) >> 40
-            words = np.ascontiguousarray(_matrix(code.slice(s, e - s), len(code[int(s)])).T).view(np.uint64)  # of signed ones the absolute value's bits would count
-            label, m = np.arange(e - s), int(e - s)
+            d, table = _table_of(int(key[s]))
+            model = models[d]
+            own = _matrix(code.slice(s, e - s), len(code[int(s)]))
+            words = np.ascontiguousarray(own[:, :CHECK_WORDS].T).view(np.uint64)  # of signed ones the absolute value's bits would count
+            p, part, m = place[s:e], parts_of(own, model), int(e - s)
             step = max(1, _PAIRS // m)
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            busy, found = np.zeros(m, bool), 0
             for at in range(0, m, step):
                 far = np.zeros((min(step, m - at), m), np.uint16)
                 for w in words:
                     far += np.bitwise_count(w[at : at + step, None] ^ w[None, :])
-                i, j = np.nonzero(far <= reach[d])
-                label = _spread(label, i + at, j)
-            hit = np.flatnonzero(label != np.arange(m))
-            a.append(cid[s:e][hit])
-            b.append(cid[s:e][label[hit]])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+                i, j = np.nonzero(far <= model.reach)
+                i += at
+                mine = _own(p, i, j, lo[s], hi[s])
+                i, j = i[mine], j[mine]
+                new = _first_here(part, i, j, table)
+                i, j = i[new], j[new]
+                busy[i] = busy[j] = True
+                found += len(i)
+                if found <= MANY * m:
+                    pairs.append((i, j))
+                else:
+                    pairs.clear()
+            own_cid = cid[s:e]
+            if found > MANY * m:
+                some = np.flatnonzero(busy)
+                same = [np.full(len(some), x[s]) for x in (key, lo, hi)]
+                out.append((np.ones(len(some), bool), own_cid[some], np.zeros(len(some), np.int64), *same, p[some]))
+            elif found:
+                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                none = np.zeros(len(i), np.int64)
+                out.append((np.zeros(len(i), bool), own_cid[i], own_cid[j], none, none, none, none))
+        if out:
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["dense", "a", "b", "k", "lo", "hi", "part"])
+
+
+def _check(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """``(cid, links, root)`` of the pairs that are links, a row for either side; root is the pair's first."""
+    for batch in batches:
+        for b in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
+            size = np.asarray(b.column("va").value_lengths())
+            for d in map(int, np.unique(size)):
+                one = b.filter(pa.array(size == d)) if (size != d).any() else b
+                x, y = (_unit(_matrix(one.column(c), d)) for c in ("va", "vb"))
+                hit = np.einsum("ij,ij->i", x, y) >= threshold
+                p, q, np_, nq = (one.column(c).to_numpy()[hit] for c in ("a", "b", "na", "nb"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in ((p, q), (nq, np_), (p, p))], names=["cid", "links", "root"])
 
 
-def _rank(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """``(cid, links, root)`` of each group's block: exact links, counted with copies, and a star of them."""
+def _rank(batches: Iterator[pa.RecordBatch], models: dict[int, Model], threshold: float) -> Iterator[pa.RecordBatch]:
+    """``(cid, links, root)`` of each block of a dense bucket: exact links, counted with copies, and a star of them."""
     for t, starts in C.whole_groups(batches, ["k", "lo", "hi"]):
-        lo, hi, part, cid, copies = (t.column(c).to_numpy() for c in ("lo", "hi", "part", "cid", "copies"))
+        key, lo, hi, place, cid, copies = (t.column(c).to_numpy() for c in ("k", "lo", "hi", "part", "cid", "copies"))
         vectors = t.column("v").combine_chunks()
         sizes = np.asarray(vectors.value_lengths())
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
             if e - s < 2:
                 continue
+            d, table = _table_of(int(key[s]))
             x = _unit(_matrix(vectors.slice(s, e - s), int(sizes[s])))
-            p, n, m = part[s:e], copies[s:e], int(e - s)
+            part = codes(x, models[d])[0]
+            p, n, m = place[s:e], copies[s:e], int(e - s)
             links, label = np.zeros(m, np.int64), np.arange(m)
             step = max(1, _PAIRS // m)
             for at in range(0, m, step):
                 i, j = np.nonzero(x[at : at + step] @ x.T >= threshold)
                 i += at
-                right = i < j if lo[s] == hi[s] else (p[i] == lo[s]) & (p[j] == hi[s])
-                i, j = i[right], j[right]
+                mine = _own(p, i, j, lo[s], hi[s])
+                i, j = i[mine], j[mine]
+                new = _first_here(part, i, j, table)
+                i, j = i[new], j[new]
                 label = _spread(label, i, j)
                 np.add.at(links, i, n[j])
                 np.add.at(links, j, n[i])
@@ -271,12 +349,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         chosen[len(r.v)].append(r.v)
     models = {d: learn(np.array(x, np.float64).reshape(-1, d), by_size[d], threshold) for d, x in chosen.items()}
     posted = classes.select("cid", "v").mapInArrow(lambda it: C.lean(_postings(it, models)), "k long, cid long, code array<long>")
-    reach = {d: m.reach for d, m in models.items()}
-    near = C.blocked(posted, F.col("cid"), BLOCK).select("k", "lo", "hi", "cid", "code").mapInArrow(lambda it: C.lean(_candidates(it, reach)), "a long, b long")
-    groups = C.components(near).select(F.col("node").alias("cid"), F.col("root").alias("k"))
-    members = classes.join(groups, "cid").select("k", "cid", "copies", "v")
-    met = C.blocked(members, F.col("cid"), BLOCK).select("k", "lo", "hi", "part", "cid", "copies", "v")
-    ranked = C.durable(met.mapInArrow(lambda it: C.lean(_rank(it, threshold)), "cid long, links long, root long"))
+    dealt = C.blocked(posted, F.col("cid"), BLOCK).select("k", "lo", "hi", "part", "cid", "code")
+    found = C.durable(dealt.mapInArrow(lambda it: C.lean(_candidates(it, models)), _FOUND))
+    # A pair's vectors are fetched by its two ids, those of a dense bucket once a block.
+    a = classes.select(F.col("cid").alias("a"), F.col("copies").alias("na"), F.col("v").alias("va"))
+    b = classes.select(F.col("cid").alias("b"), F.col("copies").alias("nb"), F.col("v").alias("vb"))
+    links = "cid long, links long, root long"
+    pairs = found.where("not dense").select("a", "b").join(a, "a").join(b, "b").mapInArrow(lambda it: C.lean(_check(it, threshold)), links)
+    members = found.where("dense").select("k", "lo", "hi", "part", F.col("a").alias("cid")).join(classes.select("cid", "copies", "v"), "cid")
+    met = members.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi").select("k", "lo", "hi", "part", "cid", "copies", "v")
+    ranked = C.durable(pairs.unionByName(met.mapInArrow(lambda it: C.lean(_rank(it, models, threshold)), links)))
     counted = ranked.groupBy("cid").agg(F.sum("links").alias("links"))
     rooted = C.components(ranked.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
     full = classes.drop("v").join(counted, "cid", "left").join(rooted, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -126,3 +126,52 @@ def test_other_columns_and_floats(spark, planted):
     assert sorted(itq.near_duplicates(busy).collect()) == sorted(itq.near_duplicates(plain).collect())
     single = np.array([x.astype(np.float32) for x in planted[1200:1300]], np.float64)
     assert {r.vec_id: r.n_links for r in itq.near_duplicates(plain).collect()} == dict(enumerate(exact(single).sum(1).tolist()))
+
+
+def test_chance_candidates_are_not_joined_before_they_are_checked(spark, monkeypatch):
+    """Where all vectors share a direction chance candidates are many; what is compared exactly stays in proportion to them."""
+    v = leaning(30_000, DIM, 0.7)
+    near = partners(v[:50], 0.95, True)
+    every = np.vstack([v, near])
+    seen = {}
+    real = itq.C.durable
+
+    def noted(df):
+        kept = real(df)
+        if "dense" in df.columns:
+            seen["pairs"], seen["entries"] = kept.where("not dense").count(), kept.where("dense").count()
+        return kept
+
+    monkeypatch.setattr(itq.C, "durable", noted)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "vec_id long, embedding array<double>")
+    got = itq.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links.loc[30_000:] >= 1).mean() >= 0.93
+    assert got.groupby("component_id").size().max() <= 4
+    assert seen["pairs"] <= 10 * len(every) and seen["entries"] <= len(every)
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_pairs_and_dense_blocks_find_the_same_links(spark, planted, monkeypatch, many):
+    monkeypatch.setattr(itq, "BLOCK", 31)
+    x = np.vstack([planted[:200], planted[900:1100], planted[1200:]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    real = itq._candidates
+
+    def forced(batches, given, limit=many, inner=real):
+        import quern.llm.itq as module
+
+        module.MANY = limit
+        return inner(batches, given)
+
+    monkeypatch.setattr(itq, "_candidates", forced)
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(df).collect()}
+    linked = exact(x).sum(1)
+    n = np.array([got[i] for i in range(len(x))])
+    assert (n <= linked).all() and n.sum() >= 0.97 * linked.sum()
+
+
+def test_parts_come_back_from_the_whole_code(planted):
+    unit = planted[:500] / np.linalg.norm(planted[:500], axis=1, keepdims=True)
+    model = itq.learn(unit[:300], 10**9)
+    part, code = itq.whole_codes(unit, model)
+    assert (itq.parts_of(code, model) == part).all() and code.shape[1] * 64 >= model.count * model.bits
