@@ -162,10 +162,10 @@ def ttl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def expiry_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as requests for their type, which live an hour: a handful of keys hold all rows, and none is a task."""
-    events = P.read(spark, sf_dir, "events")
-    requests = events.select(F.lit("all").alias("config"), F.col("event_id").alias("seq"), F.col("event_type").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("now"))
-    return expiry.replayed(requests, 3600.0).select("seq", "source", "matched_seq", "stored")
+    """Documents as requests for their source, a second apart, that live fifty: a source may hold any part of the rows, and none is a task."""
+    docs = P.read(spark, sf_dir, "documents")
+    requests = docs.select(F.lit("all").alias("config"), F.col("doc_id").alias("seq"), F.coalesce("source", F.lit("")).alias("key"), F.col("doc_id").cast("double").alias("now"))
+    return expiry.replayed(requests, 50.0).select("seq", "source", "matched_seq", "stored")
 
 
 def _sweep(spark: SparkSession, sf_dir: str, thresholds: tuple[float, ...]) -> DataFrame:

@@ -144,12 +144,12 @@ r AS (
   SELECT lang, i, CASE WHEN e > 0 THEN store ELSE list_append(CASE WHEN len(store) >= 50 THEN store[2:] ELSE store END, {'key': key, 'id': doc_id}) END, doc_id, e, CASE WHEN e > 0 THEN store[e].id END
   FROM (SELECT q.lang, q.i, q.doc_id, q.key, r.store, coalesce(list_position(list_transform(r.store, lambda s: s.key), q.key), 0)::INTEGER AS e FROM r JOIN q ON q.lang = r.lang AND q.i = r.i + 1))
 SELECT lang, seq, CASE WHEN e > 0 THEN 'exact_cache' ELSE 'llm' END AS source, matched AS matched_seq, e = 0 AS stored FROM r WHERE i > 0""",
-    "expiry_hot_keys": """WITH RECURSIVE q AS (SELECT event_type, event_id, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS now FROM events),
+    "expiry_hot_keys": """WITH RECURSIVE q AS (SELECT coalesce(source, '') AS key, doc_id FROM documents),
 stores AS (
-  SELECT event_type, min(event_id) AS seq FROM q GROUP BY event_type
+  SELECT key, min(doc_id) AS seq FROM q GROUP BY key
   UNION ALL
-  SELECT s.event_type, min(n.event_id) FROM stores s JOIN q o ON o.event_id = s.seq JOIN q n ON n.event_type = s.event_type AND n.event_id > s.seq AND n.now > o.now + 3600 GROUP BY s.event_type),
-matched AS (SELECT q.event_id AS seq, s.seq AS held FROM q ASOF JOIN stores s ON s.event_type = q.event_type AND q.event_id >= s.seq)
+  SELECT s.key, min(n.doc_id) FROM stores s JOIN q n ON n.key = s.key AND n.doc_id > s.seq + 50 GROUP BY s.key),
+matched AS (SELECT q.doc_id AS seq, s.seq AS held FROM q ASOF JOIN stores s ON s.key = q.key AND q.doc_id >= s.seq)
 SELECT seq, CASE WHEN held = seq THEN 'llm' ELSE 'exact_cache' END AS source, CASE WHEN held <> seq THEN held END AS matched_seq, held = seq AS stored FROM matched""",
     "ttl_replay": """WITH RECURSIVE q AS (SELECT user_id, event_type, event_id, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS now, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
 r AS (
