@@ -26,6 +26,7 @@ class Settings:
     embedding_model: str = "all-MiniLM-L6-v2"
     embedding_url: str = "http://localhost:11434/api/embeddings"
     trust_remote_code: bool = False
+    memo_folder: str = ""
     enable_exact_cache: bool = True
     enable_semantic_cache: bool = True
     similarity_threshold: float = 0.85

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.config import Settings
 from quern.functions.columns import prompt_key, token_count
-from quern.operators import backends, dispatch, embedding, metrics, nearest, replay, serving
+from quern.operators import backends, dispatch, embedding, memo, metrics, nearest, replay, serving
 from quern.operators.shared import durable
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -45,13 +45,15 @@ class Engine:
         """``(pool_model, prompt, canonical_name, embedding)``: each distinct prompt by the model of its pool key.
 
         Each model has an embedder and a prefix of its own; there are at most
-        as many models as the pool has keys.
+        as many models as the pool has keys. With a memo folder in the settings
+        only prompts that no run has embedded yet are.
         """
         out = None
         for r in rows.select("pool_model").distinct().orderBy("pool_model").limit(self.settings.pool_cap).collect():
             known = embedding.REGISTRY.get(r.pool_model) or embedding.Model(r.pool_model, "")  # a name that mock and http embedders take as it is
             prompts = rows.where(F.col("pool_model") == r.pool_model).select("prompt").distinct()
-            got = embedding.embed(prompts, self.embedder or self._embedder(r.pool_model), known.canonical_name, text="prompt", prefix=known.prefix)
+            embed = memo.Memo(rows.sparkSession, self.settings.memo_folder).embed if self.settings.memo_folder else embedding.embed
+            got = embed(prompts, self.embedder or self._embedder(r.pool_model), known.canonical_name, text="prompt", prefix=known.prefix)
             got = got.select(F.lit(r.pool_model).alias("pool_model"), "prompt", F.lit(known.canonical_name).alias("canonical_name"), "embedding")
             out = got if out is None else out.unionByName(got)
         return out if out is not None else rows.sparkSession.createDataFrame([], "pool_model string, prompt string, canonical_name string, embedding array<double>")

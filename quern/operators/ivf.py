@@ -116,22 +116,69 @@ def _probe(batches: Iterator[pa.RecordBatch], model: Model, probes: int) -> Iter
         for at in range(0, b.num_rows, 2048):
             some = b.slice(at, 2048)
             near = model.order(C._matrix(some.column("v"), some.num_rows))[:, :probes]
-            flat = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([some.column("i").take(flat), some.column("v").take(flat), pa.array(near.ravel().astype(np.int32))], names=["i", "v", "cell"])
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]).astype(np.int32)), pa.array(near.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([some.column("i"), some.column("v"), cells], names=["i", "v", "cells"])
+
+
+class Nearest:
+    """The ``depth`` nearest of each of some queries, from what pieces bring one after the other."""
+
+    def __init__(self, queries: np.ndarray, depth: int):
+        self.ids, self.depth = np.sort(queries), depth
+        self.bound = np.full(len(queries), np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, q: np.ndarray, n: np.ndarray, d: np.ndarray) -> None:
+        near = d <= self.bound[np.searchsorted(self.ids, q)]
+        self.found.append((q[near], n[near], d[near]))
+        self.rows += int(near.sum())
+        if self.rows > 4 * self.depth * len(self.ids) + (1 << 16):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, n, d = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((n, d, q))
+        q, n, d = q[order], n[order], d[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.depth - 1
+        self.bound[np.searchsorted(self.ids, q[last])] = d[last]
+        keep = place < self.depth
+        self.found, self.rows = [(q[keep], n[keep], d[keep])], int(keep.sum())
+        return self.found[0]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], model: Model, depth: int, same: bool) -> Iterator[pa.RecordBatch]:
-    """``(query_id, neighbour_id, distance)`` by code: the best of a piece for each query that probes it."""
+    """``(query_id, neighbour_id, distance)`` by code: first the queries of a part and share, then the pieces that they probe."""
+    now, best, at, x, probed = None, None, None, None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in best.cut()], names=["query_id", "neighbour_id", "distance"])
+
     for b in batches:
-        for cell, queries, ids, codes in zip(b.column("cell").to_pylist(), b.column("q"), b.column("ids"), b.column("codes"), strict=True):
-            flat = queries.values
-            qi, si = flat.field("i").to_numpy(), ids.values.to_numpy()
-            d = model.rough(C._matrix(flat.field("v"), len(qi)), cell, np.frombuffer(codes.as_py(), np.uint8).reshape(len(si), -1))
+        for part, share, cell, queries, ids, codes in zip(*(b.column(c) for c in ("part", "share", "cell", "q", "ids", "codes")), strict=True):
+            key = (part.as_py(), share.as_py())
+            if key != now:
+                if best is not None and best.found:
+                    yield done()
+                now, best = key, None
+            if queries.is_valid:  # the part's row, which sorts first
+                flat = queries.values
+                at, x, probed = flat.field("i").to_numpy(), C._matrix(flat.field("v"), len(flat)), C._matrix(flat.field("cells"), len(flat))
+                best = Nearest(at, depth)
+                continue
+            who = np.flatnonzero((probed == cell.as_py()).any(axis=1))
+            if best is None or not len(who):
+                continue
+            si = ids.values.to_numpy()
+            d = model.rough(x[who], cell.as_py(), np.frombuffer(codes.as_py(), np.uint8).reshape(len(si), -1))
             if not same:
-                d[qi[:, None] == si[None, :]] = np.inf
+                d[at[who][:, None] == si[None, :]] = np.inf
             near = min(depth, d.shape[1])
             a, c = np.nonzero((d <= np.partition(d, near - 1, axis=1)[:, near - 1][:, None]) & np.isfinite(d))
-            yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(si[c]), pa.array(np.sqrt(d[a, c]))], names=["query_id", "neighbour_id", "distance"])
+            best.add(at[who][a], si[c], np.sqrt(d[a, c]))
+    if best is not None and best.found:
+        yield done()
 
 
 class InvertedFile:
@@ -189,10 +236,16 @@ class InvertedFile:
     def candidates(self, asked: DataFrame, probes: int, depth: int, same: bool = False) -> DataFrame:
         """``(query_id, neighbour_id, distance, rank)``: the ``depth`` best by code for ``asked(i, v)``."""
         model = self.model
-        near = asked.mapInArrow(lambda it: _probe(it, model, probes), "i long, v array<double>, cell int")
+        near = asked.mapInArrow(lambda it: _probe(it, model, probes), "i long, v array<double>, cells array<int>")
         parts = max(1, -(-asked.count() // C.PART))
-        grouped = near.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(parts))).groupBy("cell", "part").agg(F.collect_list(F.struct("i", "v")).alias("q"))
-        met = grouped.join(self._read("cells"), "cell").select("cell", "q", "ids", "codes")
+        grouped = durable(near.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("i", "v", "cells")).alias("q")))
+        # As many shares of the cells as keep the tasks busy; a share's pieces follow each other, so only its best leave it.
+        shares = max(1, -(-4 * self.spark.sparkContext.defaultParallelism // parts))
+        of_cell = F.pmod(F.xxhash64("cell"), F.lit(shares)).cast("int")
+        wanted = durable(grouped.select("part", F.explode(F.array_distinct(F.flatten("q.cells"))).alias("cell")))
+        pieces = wanted.join(self._read("cells").select("cell", "ids", "codes"), "cell").select("part", of_cell.alias("share"), "cell", F.lit(1).alias("kind"), "ids", "codes")
+        heads = grouped.select("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), "q")
+        met = heads.unionByName(pieces, allowMissingColumns=True).repartition("part", "share").sortWithinPartitions("part", "share", "kind")
         return C.best(met.mapInArrow(lambda it: _candidates(it, model, depth, same), "query_id long, neighbour_id long, distance double"), depth)
 
     def _exact(self, found: DataFrame, asked: DataFrame) -> DataFrame:
