@@ -166,12 +166,19 @@ _GRANTED = ("licensed", "licenced", "license", "licence", "licensing", "released
 _BEFORE = rf"(?:^| )(?:{'|'.join(_GRANTED)})(?: (?:under|is|are))?(?: the)?(?: terms of)?(?: the)?(?: gnu)?$"
 
 
+#: Says of a rule that it holds for a later part of an SPDX expression, however long that is.
+PART = "part of an expression"
+_TAG = "spdx license identifier"
+#: What an expression may be made of besides numbers.
+EXPRESSION = tuple(sorted({w for _, _, short, _, _ in _NAMED for w in re.findall(r"\w+", short)} | {"cc", "by", "sa", "nc", "nd", "cc0", "exception", "later", "only", "or", "and", "with", "clause"} | {w for x in _EXCEPTIONS for w in x.split()}))
+
+
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` over single-spaced words; its word number ``back`` is one of ``keys``.
 
     A text must hold one of ``gates``; ``before``, where not empty, must be
-    found in the words before the match.
+    found in the words before the match, or is ``PART``.
     """
 
     keys: tuple[str, ...]
@@ -227,14 +234,12 @@ def _number(version: str) -> str:
 def rules() -> tuple[Rule, ...]:
     """All rules in order: highest priority first."""
     later = "[or] [any] [later|only] [version]"
-    spdx = sorted({w for _, _, short, _, _ in _NAMED for w in short.split()} | {"cc", "by", "sa", "nc", "nd", "cc0", "exception", "later", "only", "or", "and", "with", "clause"} | {w for x in _EXCEPTIONS for w in x.split()})
-    joined = rf"(?:^| )spdx license identifier(?: (?:{'|'.join(spdx)}|\d+))* (?:or|and|with)$"
     out: list[Rule] = []
 
     def declared(label: str, words: str) -> None:
         """An identifier after the SPDX tag, alone or as a part of an expression."""
         out.append(rule(label, 95, f"spdx license identifier {words}"))
-        out.append(rule(label, 94, words, joined, ("spdx",)))
+        out.append(rule(label, 94, words, PART, ("spdx",)))
 
     for label, name, short, versions, vague in _NAMED:
         out.append(rule(label, 60, name))
@@ -266,7 +271,7 @@ def rules() -> tuple[Rule, ...]:
         out.append(rule("cc0-1.0", 80, words))
     declared("cc0-1.0", "cc0 1 0")
     for name in _EXCEPTIONS:
-        out.append(rule(name.replace(" ", "-") + "-exception", 93, f"{name} [exception]", joined, ("spdx",)))
+        out.append(rule(name.replace(" ", "-") + "-exception", 93, f"{name} [exception]", PART, ("spdx",)))
     out += [rule(label, 85, words) for label, words in _ADDRESSES]
     out += [rule(label, priority, words) for label, priority, words in _WORDED]
     return tuple(sorted(set(out), key=lambda r: (-r.priority, r.label, r.pattern)))
@@ -281,6 +286,26 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def _expressions(trimmed: Column) -> Column:
+    """``struct(first, end)`` of every SPDX expression of a text: its first word, and the word after its last.
+
+    The text is cut at the tags; how many words stand before a piece is summed up
+    along the pieces, and the expression is as long as the piece goes on in its words.
+    """
+    pieces = F.split(F.concat(trimmed, F.lit(" ")), f"(?:^|(?<= )){_TAG} ")
+    size = lambda p: _count(p, " ")  # noqa: E731  a piece ends with a space after its last word
+    none = F.array().cast("array<struct<first:int,end:int>>")
+    # The first word that is none of them ends it; there is one, as nothing follows the last space.
+    long = lambda p: F.array_position(F.transform(F.split(p, " "), lambda x: x.isin(*EXPRESSION) | F.rlike(x, F.lit("^[0-9]+$"))), False) - 1
+
+    def step(held: Column, p: Column) -> Column:
+        first = held["before"] + len(_TAG.split())
+        return F.struct((first + size(p)).cast("int").alias("before"), F.concat(held["found"], F.array(F.struct(first.cast("int").alias("first"), (first + long(p)).cast("int").alias("end")))).alias("found"))
+
+    start = F.struct(size(F.get(pieces, F.lit(0))).cast("int").alias("before"), none.alias("found"))
+    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda held: held["found"])
+
+
 def _detections(trimmed: Column) -> Column:
     """Surviving ``struct(start, priority, n, label)`` of a single-spaced text, by start."""
     by_key: dict[str, list[dict]] = {}
@@ -290,12 +315,14 @@ def _detections(trimmed: Column) -> Column:
     # One literal, folded to a map when the plan is optimised.
     known = F.from_json(F.lit(json.dumps(by_key)), "map<string,array<struct<pattern:string,label:string,priority:int,back:int,before:string>>>")
 
-    def at(w: Column, i: Column) -> Column:
+    def at(w: Column, i: Column, inside: Column) -> Column:
         def tried(r: Column) -> Column:
             start = i - r["back"]
             window = F.array_join(F.slice(w, start + 1, F.lit(WINDOW)), " ")
             before = F.array_join(F.slice(w, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))), " ")
-            stands = lambda x: F.when(x.isNotNull() & ((r["before"] == "") | F.rlike(before, r["before"])), F.struct(start.alias("start"), r["priority"].alias("priority"), (_count(x, " ") + 1).alias("n"), r["label"].alias("label")))
+            part = F.get(w, start - 1).isin("or", "and", "with") & F.exists(inside, lambda e: (e["first"] < start) & (start <= e["end"]))
+            meant = F.when(r["before"] == "", True).when(r["before"] == PART, F.coalesce(part, F.lit(False))).otherwise(F.rlike(before, r["before"]))
+            stands = lambda x: F.when(x.isNotNull() & meant, F.struct(start.alias("start"), r["priority"].alias("priority"), (_count(x, " ") + 1).alias("n"), r["label"].alias("label")))
             return F.when(start >= 0, C.let(F.regexp_substr(window, r["pattern"]), stands))
 
         return F.filter(F.transform(F.try_element_at(known, F.get(w, i)), tried), lambda x: x.isNotNull())
@@ -317,7 +344,9 @@ def _detections(trimmed: Column) -> Column:
 
     def scan(w: Column) -> Column:
         places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*KEYS), i)), lambda i: i.isNotNull())
-        return C.let(C.let(F.sort_array(F.flatten(F.transform(places, lambda i: at(w, i)))), best), kept)
+        # Most texts have no tag and so no expression to look for.
+        tagged = F.when(F.contains(trimmed, F.lit(f"{_TAG} ")), _expressions(trimmed)).otherwise(F.array().cast("array<struct<first:int,end:int>>"))
+        return C.let(tagged, lambda inside: C.let(C.let(F.sort_array(F.flatten(F.transform(places, lambda i: at(w, i, inside)))), best), kept))
 
     return C.let(F.split(trimmed, " "), scan)
 

@@ -32,6 +32,15 @@ CASES = [
 COMPILED = [(re.compile(r.pattern), re.compile(r.before), r) for r in licenses.RULES]
 
 
+def in_expression(w, i):
+    """Whether word i follows an SPDX tag with nothing but an expression's words between them, however many."""
+    while i > 0 and (w[i - 1] in licenses.EXPRESSION or w[i - 1].isdigit()):
+        i -= 1
+        if w[max(0, i - 3) : i] == ["spdx", "license", "identifier"]:
+            return True
+    return False
+
+
 def scanned(text):
     """Every rule at every word, without gates or keys; then the best of a start, then what lies within better ones."""
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -39,9 +48,10 @@ def scanned(text):
     best = {}
     for i in range(len(w)):
         window, before = " ".join(w[i : i + licenses.WINDOW]), " ".join(w[max(0, i - licenses.CONTEXT) : i])
+        part = i > 0 and w[i - 1] in ("or", "and", "with") and in_expression(w, i)
         for pattern, needed, r in COMPILED:
             m = pattern.match(window)
-            if m and (not r.before or needed.search(before)):
+            if m and (not r.before or (part if r.before == licenses.PART else needed.search(before))):
                 best[i] = max(best.get(i, (0, 0, "")), (r.priority, m[0].count(" ") + 1, r.label))
     found = [(i, *x) for i, x in sorted(best.items())]
 
@@ -139,3 +149,16 @@ def test_query_columns(spark, sf001):
 def test_there_are_hundreds_of_rules():
     assert len(licenses.RULES) > 300
     assert len({(r.pattern, r.before) for r in licenses.RULES}) > 300
+
+
+def test_expressions_of_any_length(spark):
+    names = ["EPL-2.0", "ISC", "Zlib", "AFL-3.0", "MIT", "Apache-2.0", "MPL-2.0", "BSL-1.0"]
+    long = "x y\nSPDX-License-Identifier: " + " OR ".join((names * 5)[:40]) + "\nthen more words or mit rules"
+    twice = "SPDX-License-Identifier: MIT AND ISC\nplain or zlib words SPDX-License-Identifier: Zlib WITH Classpath-exception-2.0"
+    huge = "SPDX-License-Identifier: " + "MIT OR " * 20_000 + "ISC"
+    rows = [(1, long), (2, twice), (3, "spdx license identifier"), (4, "or mit"), (5, huge)]
+    got = {r.doc_id: r.detections for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:4]:
+        assert [(d.start, d.priority, d.n, d.label) for d in got[i]] == scanned(text), i
+    assert len([d for d in got[1] if d.priority >= 94]) == 40 and {d.label for d in got[1]} >= {"epl-2.0", "isc", "zlib", "afl-3.0"}
+    assert len(got[5]) == 20_001 and {d.label for d in got[5]} == {"mit", "isc"}
