@@ -27,7 +27,7 @@ def test_stage_functions_are_the_operators():
     assert [f for _, f in corpus_pipeline.STAGES] == [quality.keep_good, simhash.keep_one, spans.drop_spans, mixing.mix_stage, bpe.encode_stage]
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_thirteen_queries_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.QUERIES) | {"pipeline"} <= set(names)
