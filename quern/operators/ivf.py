@@ -28,7 +28,7 @@ from quern.operators import cells as C
 from quern.operators.shared import durable, few
 
 #: Rows that the fit sees at most, rows held out to measure recall, cells and candidates a query, at most.
-SAMPLE, HELD, CELLS, DEPTH = 32768, 256, 4096, 2000
+SAMPLE, HELD, CELLS, DEPTH = 16384, 256, 4096, 2000
 ROUNDS, WORDS, BOOK_ROWS = 12, 256, 8192
 RECALL = 0.95
 
