@@ -90,13 +90,12 @@ def filled(rows: DataFrame, by: str, *order: str, value: str, name: str, ahead:
     tied = rows.withColumn("_tie", F.monotonically_increasing_id())
     ranged = durable(tied.repartitionByRange(by, *order, "_tie").sortWithinPartitions(by, *order, "_tie").drop("_tie"))
     ranged = ranged.withColumn("_row", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_row", 33))
-    inside, across = Window.partitionBy(by, "_range").orderBy("_row"), Window.partitionBy(by).orderBy("_range")
+    # Ahead is back along the turned order: a frame that grows is summed up once, one that shrinks would be read anew for each row.
+    along = (lambda c: F.desc(c)) if ahead else (lambda c: F.asc(c))
+    inside = Window.partitionBy(by, "_range").orderBy(along("_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    across = Window.partitionBy(by).orderBy(along("_range")).rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col(value).isNotNull(), F.col("_row"))
-    if ahead:
-        own = F.first(value, ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        edge, handed = F.min_by(value, known), F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        own = F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        edge, handed = F.max_by(value, known), F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    own, handed = F.last(value, ignorenulls=True).over(inside), F.last("_edge", ignorenulls=True).over(across)
+    edge = F.min_by(value, known) if ahead else F.max_by(value, known)
     edges = ranged.groupBy(by, "_range").agg(edge.alias("_edge")).select(by, "_range", handed.alias("_handed"))
     return ranged.withColumn("_own", own).join(edges, [by, "_range"]).withColumn(name, F.coalesce("_own", "_handed")).drop("_row", "_range", "_own", "_handed")
