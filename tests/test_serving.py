@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.config import Settings
-from quern.operators import embedding, lookup, nearest, serving
+from quern.operators import embedding, lookup, lsh, nearest, serving
 from quern.plans import grid
 from quern.sources import datasets, sinks
 
@@ -125,3 +125,24 @@ def test_auto_search_is_exact_at_every_size(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
     got = nearest.search(df, df, radius=0.5, k=2)
     assert got.columns == nearest.knn(df, df, k=2).columns and got.count() == 12
+
+
+def test_lsh_is_that_of_plain_code_and_moves_no_candidate_pair(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 12))
+    x[:5] = 0.0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None] + [0.0] * 10), (902, [float("nan")] + [0.0] * 11), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    d = np.sqrt(((u[:, None] - u[None]) ** 2).sum(2))
+    for width in (1.6, 0.3):
+        sign = lsh.signatures(u, lsh.directions(3, 12, 42), width)
+        met = (sign[:, None] == sign[None]).any(axis=2)
+        want = {(i, j) for i in range(0, 400, 20) for j in range(400) if i != j and met[i, j] and d[i, j] <= 1.0}
+        found = lsh.neighbours(df.where("vec_id % 20 = 0"), df, 1.0, tables=3, width=width, piece_bytes=1 << 13)
+        got = [(r.query_id, r.neighbour_id) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    # One exchange, in front of the search: pairs are made where the vectors are.
+    plan = found._jdf.queryExecution().executedPlan().toString().rpartition("== Initial Plan ==")[2]
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+    assert lsh.neighbours(df, df.limit(0), 1.0).count() == lsh.neighbours(df.limit(0), df, 1.0).count() == 0
