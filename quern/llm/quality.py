@@ -159,24 +159,29 @@ def learn(
     # In cells a feature is its bin: value > cuts[i] is bin > i, and value <= cuts[i] is bin <= i.
     binned = {n: F.col(n) for n in names}
     index = lambda r: tuple(Condition(c.feature, c.above, float(cuts[c.feature].index(c.threshold))) for c in r)
+    # One grouping set a feature: what leaves a task is a row a bin. A rule that was given up leaves the rows as they were, so the counts that open the next one are kept.
+    bins = lambda df: (df.groupingSets([[F.col(n)] for n in names], *names).agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("q")).collect())
     total = lambda df: (df.agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("n")).first())
     rules: list[Rule] = []
     rest = cells
     given_up: set[Condition] = set()
+    opening: tuple | None = None
     while len(rules) < max_rules and len(given_up) <= max_failures:
         rule: Rule = ()
         grow = rest.where("grow")
-        p0, n0 = (x or 0 for x in total(grow))
-        if p0 < min_support:
-            break
+        if opening is None:
+            p0, n0 = (x or 0 for x in total(grow))
+            if p0 < min_support:
+                break
+            opening = p0, n0, bins(grow)
+        p0, n0, got = opening
         while len(rule) < max_conditions and p0 / (p0 + n0) < grown:
-            inside = grow.where(_all(index(rule), binned))
-            pair = F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("b")) for n in names])).alias("x")
-            got = inside.select("bad", "n", pair).groupBy("x.f", "x.b").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("q")).collect()
+            if rule:
+                got = bins(grow.where(_all(index(rule), binned)))
             best, found = 1e-9, None
             for n in names:
                 p = q = 0
-                by = {r.b: (r.p, r.q) for r in got if r.f == n}
+                by = {r[n]: (r.p, r.q) for r in got if r[n] is not None}
                 for i, cut in enumerate(cuts[n]):
                     p, q = p + by.get(i, (0, 0))[0], q + by.get(i, (0, 0))[1]
                     for above, pp, qq in ((False, p, q), (True, p0 - p, n0 - q)):
@@ -197,7 +202,7 @@ def learn(
             given_up.add(rule[0])
             continue
         rules.append(rule[:k])
-        rest = rest.where(~_all(index(rule[:k]), binned))
+        rest, opening = rest.where(~_all(index(rule[:k]), binned)), None
     return rules
 
 

@@ -182,3 +182,23 @@ def test_stage_keeps_columns_named_as_internal_ones(spark, sf001):
     got = quality.keep_good(spark, extra, sf001)
     assert got.columns == extra.columns and got.where("__id != 'given __id'").count() == 0
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in quality.keep_good(spark, docs, sf001).select("doc_id").collect())
+
+
+def test_an_opening_is_counted_once_when_rules_are_given_up(spark, monkeypatch):
+    # Labels that follow nothing: one rule after the other is given up, and each opens from the same rows.
+    rows = _rows(lambda r: False, 7, noise=0.3)
+    counted = []
+    kind = type(spark.range(1))
+    plain = kind.groupingSets
+
+    def noted(self, *args):
+        counted.append(self.semanticHash())
+        return plain(self, *args)
+
+    def never(*args):
+        raise AssertionError("a row for each feature is made of each cell")
+
+    monkeypatch.setattr(kind, "groupingSets", noted)
+    monkeypatch.setattr(quality.F, "explode", never)
+    assert _learned(spark, rows, ["x", "y", "z"]) == _covering(rows, ["x", "y", "z"])
+    assert len(counted) > 5 and counted.count(counted[0]) == 1
