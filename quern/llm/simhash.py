@@ -17,10 +17,12 @@ Only distinct fingerprints are indexed, so copies cost one entry. Lists are
 worked through in blocks of bounded size, and what leaves a block is a star of
 links for each group found, never its pairs.
 
-The pipeline stage does not use these fingerprints: at a Jaccard similarity of
-0.8 two of them differ in some ten bits and share two bytes, so no list short
-enough finds such pairs. It takes sets of five-word shingles, gathers
-candidates by bands of min-hashes and checks each by its sets (``alike``).
+The pipeline stage fingerprints sets of five-word shingles and gathers
+candidates by the same index with a wider bound of its own: at most six
+differing bits, so at least two shared bytes, and lists for all 28 pairs of
+positions. At a Jaccard similarity of 0.8 fingerprints differ in some ten bits;
+what lies beyond the bound is gathered by bands of min-hashes beside it. Every
+candidate, of either kind, is checked by its sets (``alike``).
 """
 
 from __future__ import annotations
@@ -47,6 +49,9 @@ TRIPLES = tuple(
 FOURS = tuple(combinations(range(POSITIONS), MIN_SHARED))
 #: Distinct fingerprints up to which lists are keyed by three bytes: some dozens a list by chance.
 MANY = 1 << 29
+#: The stage's bound: so many bits differ at most, so two bytes are shared at least, and some list has both.
+STAGE_BITS, STAGE_SHARED = 6, 2
+TWOS = tuple(combinations(range(POSITIONS), STAGE_SHARED))
 BLOCK = 4096
 _CHUNK, _ROWS = 1 << 15, 512
 #: The stage: words a shingle, least Jaccard similarity (a fraction), bands of min-hashes and hashes a band.
@@ -58,20 +63,23 @@ BLOCK_SHINGLES, SET_WEIGHT = 1 << 21, 512
 FEW_KEYS = 1 << 20
 
 
+def _majority(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each row's fingerprint: the majority of each bit over its hashes, zero where it has none."""
+    ones = np.zeros((len(sizes), 64), dtype=np.int64)
+    owner, flat = np.repeat(np.arange(len(sizes)), sizes), flat.view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(flat), _CHUNK):
+        own = owner[at : at + _CHUNK]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        bits = np.unpackbits(flat[at : at + _CHUNK], axis=1, bitorder="little")
+        ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The majority of each bit over a row's hashes, some rows at a time."""
     for b in (x.slice(at, _ROWS) for x in batches for at in range(0, x.num_rows, _ROWS)):
         lists = b.column("hashes")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8)
-        sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-        ones = np.zeros((len(sizes), 64), dtype=np.int64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        for at in range(0, len(flat), _CHUNK):
-            own = owner[at : at + _CHUNK]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            bits = np.unpackbits(flat[at : at + _CHUNK], axis=1, bitorder="little")
-            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        value = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+        value = _majority(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(value, pa.int64())], names=["doc_id", "row_key", "fp"])
 
 
@@ -100,14 +108,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lambda it: C.lean(_fold(it)), "doc_id long, row_key long, fp long")
 
 
-def _close(v: np.ndarray, others: np.ndarray) -> np.ndarray:
+def _close(v: np.ndarray, others: np.ndarray, least: int = MIN_SHARED, bits: int = MAX_BITS) -> np.ndarray:
     """Which of others share enough positional bytes with v and differ in few bits."""
     differ = others ^ v
     shared = (differ.view(np.uint8).reshape(-1, POSITIONS) == 0).sum(axis=1)
-    return (shared >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)
+    return (shared >= least) & (np.bitwise_count(differ) <= bits)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterator[pa.RecordBatch]:
     for t, starts in C.whole_groups(batches, ["k", "lo", "hi"]):
         fp = t.column("fp").to_numpy().view(np.uint64)
         a, b = [], []
@@ -117,7 +125,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 root, left = left[0], left[1:]
                 queue = [root]
                 while queue and len(left):
-                    hit = _close(queue.pop(), left)
+                    hit = _close(queue.pop(), left, least, bits)
                     if hit.any():
                         new, left = left[hit], left[~hit]
                         queue.extend(new)
@@ -126,8 +134,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
-def links(fps: DataFrame, sets: tuple[tuple[int, ...], ...] = TRIPLES, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` that join exactly the distinct ``fp`` within reach of each other."""
+def links(fps: DataFrame, sets: tuple[tuple[int, ...], ...] = TRIPLES, block: int = BLOCK, least: int = MIN_SHARED, bits: int = MAX_BITS) -> DataFrame:
+    """Links ``(a, b)`` that join exactly the distinct ``fp`` within reach of each other.
+
+    Within reach are those that share ``least`` bytes and differ in at most
+    ``bits`` bits; ``sets`` has one within every ``least`` positions.
+    """
 
     def key(n: int, positions: tuple[int, ...]) -> Column:
         out = F.lit(n)
@@ -136,7 +148,7 @@ def links(fps: DataFrame, sets: tuple[tuple[int, ...], ...] = TRIPLES, block: in
         return out
 
     posting = F.explode(F.array(*[key(n, s) for n, s in enumerate(sets)]))
-    return C.blocked(fps.select("fp", posting.alias("k")), F.col("fp"), block).select("k", "lo", "hi", "fp").mapInArrow(lambda it: C.lean(_stars(it)), "a long, b long")
+    return C.blocked(fps.select("fp", posting.alias("k")), F.col("fp"), block).select("k", "lo", "hi", "fp").mapInArrow(lambda it: C.lean(_stars(it, least, bits)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -186,8 +198,13 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints of sets."""
+    return _majority(np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array([len(s) for s in sets], np.int64))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their set's digest (``cls``, zero for the empty set) and bands."""
+    """Rows with their set's digest (``cls``, zero for the empty set), fingerprint and bands."""
     import xxhash
 
     for b in (x.slice(at, _ROWS) for x in batches for at in range(0, x.num_rows, _ROWS)):
@@ -198,19 +215,22 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if full:
             for i, keys in zip(full, _bands([sets[i] for i in full]).view(np.int64), strict=True):
                 bands[i] = keys
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(cls), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row_key", "cls", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(cls), pa.array(_prints(sets)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row_key", "cls", "fp", "bands"])
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (x.slice(at, _ROWS) for x in batches for at in range(0, x.num_rows, _ROWS)):
         sets = [s.view(np.int64) for s in _sets(b.column("hashes"))]
         bands = _bands([s.view(np.uint64) for s in sets]).view(np.int64) if sets else []
-        columns = [b.column("k"), b.column("cls"), pa.array(list(bands), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["k", "cls", "bands", "hashes", "n"])
+        columns = [b.column("k"), b.column("cls"), pa.array(_prints(sets)), pa.array(list(bands), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["k", "cls", "fp", "bands", "hashes", "n"])
 
 
-def _group(sets: list[np.ndarray], bands: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that join exactly the sets that share a band and are alike; each pair of such sets is measured by its elements."""
+def _group(sets: list[np.ndarray], fps: np.ndarray, bands: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join exactly the sets that are candidates and alike; each pair of candidates is measured by its elements.
+
+    Candidates have fingerprints within reach of each other, or share a band.
+    """
     part, whole = ALIKE
     sizes = np.array([len(s) for s in sets])
     left = np.arange(len(sets))
@@ -220,7 +240,7 @@ def _group(sets: list[np.ndarray], bands: np.ndarray) -> Iterator[tuple[int, int
         while queue and len(left):
             v = queue.pop()
             own = sets[v]
-            fits = (whole * np.minimum(sizes[left], len(own)) >= part * np.maximum(sizes[left], len(own))) & (bands[left] == bands[v]).any(axis=1)
+            fits = (whole * np.minimum(sizes[left], len(own)) >= part * np.maximum(sizes[left], len(own))) & (_close(fps[v], fps[left], STAGE_SHARED, STAGE_BITS) | (bands[left] == bands[v]).any(axis=1))
             near = np.flatnonzero(fits)
             if not len(near):
                 continue
@@ -236,42 +256,58 @@ def _group(sets: list[np.ndarray], bands: np.ndarray) -> Iterator[tuple[int, int
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, starts in C.whole_groups(batches, ["k", "lo", "hi"]):
-        cls = t.column("cls").to_numpy()
+        cls, fps = t.column("cls").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
         a, b = [], []
         for s, e in zip(starts, [*starts[1:], t.num_rows], strict=True):
             some = t.slice(s, e - s).combine_chunks()
             hashes, bands = (some.column(c).combine_chunks() for c in ("hashes", "bands"))
             sizes = np.cumsum(np.asarray(hashes.value_lengths()).astype(np.int64))
             flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)  # sorted as such
-            for i, j in _group(np.split(flat, sizes[:-1]), bands.flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)):
+            for i, j in _group(np.split(flat, sizes[:-1]), fps[s:e], bands.flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)):
                 a.append(cls[s + i])
                 b.append(cls[s + j])
         yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"])
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that join the ``cls`` of ``classes(cls, fp, bands)`` that may be alike.
+
+    By fingerprints through the index of byte positions, and by a shared band
+    where those lie beyond its bound. The empty set (no bands) joins nothing.
+    """
+    full = classes.where("bands is not null")
+    prints = full.groupBy("fp").agg(F.min("cls").alias("first"))
+    near = links(prints.select("fp"), TWOS, least=STAGE_SHARED, bits=STAGE_BITS).distinct()
+    of = lambda side: prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_cls"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
+    # A fingerprint that several classes have is one key more beside their bands.
+    keys = F.concat("bands", F.array("fp"))
+    posting = full.select("cls", F.posexplode(keys).alias("band", "key")).select("cls", F.xxhash64("band", "key").alias("k"))
+    lists = posting.groupBy("k").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").select(C.apart(F.col("k")).alias("k"), "b")
+    met = posting.withColumn("k", C.apart(F.col("k"))).join(lists, "k").select(F.col("cls").alias("a"), "b")
+    return near.unionByName(met)
+
+
 def alike(docs: DataFrame, shingle: int = STAGE_SHINGLE, block: int = BLOCK_SHINGLES) -> DataFrame:
     """``(first, root)`` for every distinct shingle set of ``docs``: its least row, and the component it belongs to.
 
-    Links are pairs with a Jaccard similarity of 0.8 or more, found by a shared
-    band and checked by their sets. Candidates are first joined into components
-    by their bands, so that a set travels once (or once a block of a large one).
+    Links are pairs with a Jaccard similarity of 0.8 or more, found by their
+    fingerprints or a shared band and checked by their sets. Candidates are
+    first joined into components (``candidates``), so that a set travels once (or once a block of a large one).
     """
     ident, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     keyed = docs.select(ident.alias("doc_id"), C.row_key(ident, text).alias("row_key"), text.alias("text"))
-    signed = keyed.select("doc_id", "row_key", _shingles(F.col("text"), shingle).alias("hashes")).mapInArrow(lambda it: C.lean(_signed(it)), "doc_id long, row_key long, cls long, bands array<long>")
+    signed = keyed.select("doc_id", "row_key", _shingles(F.col("text"), shingle).alias("hashes")).mapInArrow(lambda it: C.lean(_signed(it)), "doc_id long, row_key long, cls long, fp long, bands array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
-    classes = C.durable(signed.groupBy("cls").agg(first, F.min("bands").alias("bands")))
-    posting = classes.select("cls", F.posexplode("bands").alias("band", "key")).select("cls", F.xxhash64("band", "key").alias("k"))
-    lists = posting.groupBy("k").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").select(C.apart(F.col("k")).alias("k"), "b")
-    met = posting.withColumn("k", C.apart(F.col("k"))).join(lists, "k").select(F.col("cls").alias("a"), "b")
-    groups = C.components(met).select(F.col("node").alias("cls"), F.col("root").alias("k"))
+    classes = C.durable(signed.groupBy("cls").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    groups = C.components(candidates(classes)).select(F.col("node").alias("cls"), F.col("root").alias("k"))
     members = C.durable(classes.join(groups, "cls").select("k", "cls", F.col("first.row_key").alias("row_key"), F.col("first.doc_id").alias("id")))
     few = F.broadcast(members) if members.count() <= FEW_KEYS else members
     # Of wholly equal rows one is enough.
     texts = keyed.join(few, (keyed["row_key"] == few["row_key"]) & keyed["doc_id"].eqNullSafe(few["id"])).select("k", "cls", _shingles(F.col("text"), shingle).alias("hashes"))
-    made = texts.mapInArrow(lambda it: C.lean(_distinct(it)), "k long, cls long, bands array<long>, hashes array<long>, n long")
+    made = texts.mapInArrow(lambda it: C.lean(_distinct(it)), "k long, cls long, fp long, bands array<long>, hashes array<long>, n long")
     sets = C.durable(made.dropDuplicates(["cls"]))
-    dealt = C.blocked(sets, F.col("cls"), block, F.col("n") + SET_WEIGHT).select("k", "lo", "hi", "cls", "bands", "hashes")
+    dealt = C.blocked(sets, F.col("cls"), block, F.col("n") + SET_WEIGHT).select("k", "lo", "hi", "cls", "fp", "bands", "hashes")
     joined = C.components(dealt.mapInArrow(lambda it: C.lean(_alike(it)), "a long, b long"))
     return classes.join(joined, classes.cls == joined.node, "left").select("first", F.coalesce("root", "cls").alias("root"))
 

@@ -179,3 +179,25 @@ def test_stage_keeps_columns_named_as_internal_ones(spark, dirty):
     got = simhash.keep_one(spark, extra, "")
     assert got.columns == extra.columns and all(r[c] == f"given {c}" for r in got.collect() for c in names)
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in simhash.keep_one(spark, dirty, "").collect())
+
+
+def test_stage_gathers_candidates_by_its_fingerprints(spark):
+    rng = np.random.default_rng(9)
+    fps = [int(x) for x in rng.integers(0, 2**62, 40)]
+    near = [(i, f ^ sum(1 << int(b) for b in rng.choice(62, 5 + i % 3, replace=False))) for i, f in enumerate(fps)]  # 5, 6 or 7 bits away
+    none = iter(range(10**6))  # no band is shared
+    bands = lambda: [next(none) for _ in range(simhash.BANDS)]
+    rows = [(i, f, bands()) for i, f in enumerate(fps)] + [(100 + i, f, bands()) for i, f in near] + [(500, fps[0], bands()), (600, 0, None), (601, 0, None)]
+    got = {r.node: r.root for r in common.components(simhash.candidates(spark.createDataFrame(rows, "cls long, fp long, bands array<long>"))).collect()}
+    want = {100 + i: i for i in range(40) if 5 + i % 3 <= simhash.STAGE_BITS}
+    assert got == want | {i: i for i in want.values()} | {500: 0}
+    # Within a group too: sets alike by nine tenths whose bands all differ are linked if their fingerprints are near.
+    sets = [np.arange(100, dtype=np.uint64), np.arange(5, 100, dtype=np.uint64), np.arange(6, 106, dtype=np.uint64)]
+    apart = np.arange(3 * simhash.BANDS).reshape(3, -1)
+    assert list(simhash._group(sets, np.array([7, 6, 2**64 - 1], np.uint64), apart)) == [(1, 0)]
+
+
+@pytest.mark.parametrize("least", [2, 3, 4])
+def test_every_positions_hold_a_listed_set(least):
+    sets = {2: simhash.TWOS, 4: simhash.TRIPLES}.get(least, simhash.TWOS)
+    assert all(any(set(t) <= set(p) for t in sets) for p in combinations(range(8), least))
