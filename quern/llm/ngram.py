@@ -20,12 +20,12 @@ see ``ORDER``.
 from __future__ import annotations
 
 import json
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +33,8 @@ from quern.llm import common as C
 from quern.llm.packing import mapped, new_folder, pack, unpack, write
 
 BLOCK_BYTES = 12 << 20
-#: Distinct words that a task counts before it hands them on.
-BLOCK_WORDS = 1 << 19
+#: The same of a block whose words alone are counted, and bytes of text that are split at a time.
+WORDS_BYTES, _SLICE = 40 << 20, 1 << 20
 #: The order of the model that the query trains, two or more.
 ORDER = 3
 #: Bytes of text for each bucket; a frequent word is dealt to one bucket in so many.
@@ -97,48 +97,79 @@ class _Block:
     rows: list  # what the caller gave with each document
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], order: int, extra: list[str], size: int = BLOCK_BYTES) -> Iterator[_Block]:
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of texts, how many each has), A-Z in lower case; these functions have just the white space and the case that count here."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(kind)))
+    lists = pc.ascii_split_whitespace(trimmed)
+    flat, sizes = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    empty = pc.binary_length(trimmed).to_numpy() == 0  # these are split into one empty word
+    if empty.any():
+        sizes[empty] = 0
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat.cast(pa.large_string()) if kind == pa.string() else flat, sizes
+
+
+def _tokenized(batches: Iterator[pa.RecordBatch], extra: list[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """Blocks of texts: (hashes of the distinct words, words as places in hashes, words of each text, what else was asked for)."""
     import xxhash
 
-    codes: dict[bytes, int] = defaultdict()
-    codes.default_factory = codes.__len__
-    seqs: list[np.ndarray] = []
+    flats: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
     rows: list[tuple] = []
-    held = 0
 
-    def block() -> _Block:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in codes), np.uint64, len(codes))
-        return _Block(hashes, np.concatenate(seqs), np.array([len(s) - order + 1 for s in seqs]), rows)
+    def block():
+        coded = pa.concat_arrays(flats).dictionary_encode()
+        distinct = coded.dictionary.view(pa.large_binary()).to_pylist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in distinct), np.uint64, len(distinct))
+        return hashes, coded.indices.to_numpy().astype(np.int64), np.concatenate(sizes), rows
 
+    held = 0
     for b in batches:
-        given = zip(*[b.column(c).to_pylist() for c in extra], strict=True) if extra else iter([()] * b.num_rows)
-        for row, text in zip(given, b.column("text"), strict=True):
-            # Bytes have just the white space and the case that count here.
-            words = (text.as_py() or b"").lower().split()
-            if not codes:
-                codes[_START], codes[_END]
-            seq = np.zeros(len(words) + order, np.int64)
-            seq[-1] = 1
-            seq[order - 1 : -1] = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-            seqs.append(seq)
-            rows.append(row)
-            held += 8 * len(words)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, side="right")))
+            some = b.slice(at, to - at)
+            flat, n = _split(some.column("text"))
+            flats.append(flat)
+            sizes.append(n)
+            rows.extend(zip(*[some.column(c).to_pylist() for c in extra], strict=True) if extra else [()] * some.num_rows)
+            held += 8 * len(flat)
+            at = to
             if held >= size:
                 yield block()
-                codes.clear()
-                seqs, rows, held = [], [], 0
-    if seqs:
+                flats, sizes, rows, held = [], [], [], 0
+    if sizes:
         yield block()
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], order: int, extra: list[str], size: int = BLOCK_BYTES) -> Iterator[_Block]:
+    import xxhash
+
+    edges = np.array([xxhash.xxh64_intdigest(w, 7) for w in (_START, _END)], np.uint64)
+    for hashes, words, sizes, rows in _tokenized(batches, extra, size):
+        tokens = np.zeros(len(words) + order * len(sizes), np.int64)
+        tokens[np.arange(len(words)) + np.repeat(np.arange(len(sizes)) * order + order - 1, sizes)] = words + 2
+        tokens[np.cumsum(sizes + order) - 1] = 1
+        yield _Block(np.concatenate([edges, hashes]), tokens, sizes + 1, rows)
+
+
 def _grams(b: _Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order from one on: (a place of each distinct n-gram, the n-gram at each token), tokens but the starts."""
     at = np.flatnonzero(b.tokens != 0)
-    _, first, every = np.unique(b.tokens[at], return_index=True, return_inverse=True)
-    out = [(at[first], every)]
+    every = b.tokens[at] - 1  # the block's words are numbered as it is, and each stands somewhere
+    places = np.zeros(len(b.hashes) - 1, np.int64)
+    places[every] = at
+    out = [(places, every)]
     for k in range(1, order):
-        _, first, every = np.unique(b.tokens[at - k] << 32 | every, return_index=True, return_inverse=True)
-        out.append((at[first], every))
+        keys = b.tokens[at - k] << 32 | every
+        by = np.argsort(keys)
+        keys = keys[by]
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        every = np.empty(len(by), np.int64)
+        every[by] = np.cumsum(new) - 1
+        out.append((at[by[new]], every))
     return out
 
 
@@ -150,21 +181,10 @@ def _words(ids: np.ndarray, b: _Block, places: np.ndarray, order: int) -> list[n
 def _count_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    counts: Counter[bytes] = Counter()
-
-    def counted() -> Iterator[pa.RecordBatch]:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in counts), np.uint64, len(counts))
-        n = np.fromiter(counts.values(), np.int64, len(counts))
-        return _deal(_bucket(hashes, buckets), 1, [hashes], (n,))
-
-    for b in batches:
-        for text in b.column("text"):
-            counts.update((text.as_py() or b"").lower().split())
-            counts[_END] += 1
-            if len(counts) >= BLOCK_WORDS:
-                yield from counted()
-                counts.clear()
-    yield from counted()
+    end = np.array([xxhash.xxh64_intdigest(_END, 7)], np.uint64)
+    for hashes, words, sizes, _ in _tokenized(batches, [], WORDS_BYTES):
+        hashes, n = np.append(hashes, end), np.append(np.bincount(words, minlength=len(hashes)), len(sizes))
+        yield from _deal(_bucket(hashes, buckets), 1, [hashes], (n,))
 
 
 def _number_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:

@@ -119,3 +119,20 @@ def test_trouble_and_large_counts(spark, dirty, nothing):
     want = sorted(((str(d), *plain.score(t)) for d, t in rows), key=lambda x: (x[0], x[1], x[4]))
     for r, w in zip(got, want, strict=True):
         close(r, w[1:])
+
+
+def test_words_and_ngrams_of_a_block_are_those_of_plain_code():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [None, b"", b" \t", bytes(range(256)).replace(b"A", b"AB \x0b\x1c\x85"), "Ünï ÇA b c  X b c".encode(), b"a b c a b c a", b"\x1d \x1f b\r\n"]
+    words = [(t or b"").lower().split() for t in texts]
+    flat, sizes = ngram._split(pa.array(texts, pa.binary()))
+    assert flat.view(pa.large_binary()).to_pylist() == [w for some in words for w in some] and sizes.tolist() == [len(w) for w in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    (block,) = ngram._blocks(iter([batch, batch.slice(0, 0)]), 3, ["doc_id"])
+    assert block.sizes.tolist() == [len(w) + 1 for w in words] and [r[0] for r in block.rows] == list(range(len(texts)))
+    at = np.flatnonzero(block.tokens)
+    for k, (places, every) in enumerate(ngram._grams(block, 3)):
+        gram = lambda p: tuple(block.tokens[p - k : p + 1].tolist())  # noqa: B023, E731
+        assert [gram(p) for p in places[every]] == [gram(p) for p in at] and len({gram(p) for p in places}) == len(places)
